@@ -21,8 +21,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language the classifier rejects: no letter, or no clear winner."""
     ship(spark)
     model = langid.fit(docs.filter(fold(5) != 0).select("doc_id", "text", F.col("lang").alias("label")))
-    kept = langid.predict(docs.withColumn("own_text", F.col("text")), model).filter(~F.col("rejected"))
-    return kept.withColumn("text", F.col("own_text")).select(docs.columns)
+    found = langid.predict(docs, model, [F.col(c) for c in docs.columns])
+    return found.filter(~F.col("rejected")).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

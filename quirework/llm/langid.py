@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LETTER, buffers, spans, text_bytes
@@ -142,7 +142,7 @@ def fit_rows(rows: list[tuple[str, bytes, bytes]], epochs: int = 4, batch: int =
     p = _softmax(raw / t)
     right = p.argmax(axis=1) == y[held]
     least = float(np.quantile(p.max(axis=1)[right], reject, method="lower")) if right.any() else 0.0
-    return Model(labels, (emb @ out).astype(np.float32), bias.astype(np.float64), t, min(0.5, least))
+    return Model(labels, (emb @ out).astype(np.float32), bias.astype(np.float64), t, min(1.2 / len(labels), least))  # little better than chance at most
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, **options: float) -> Model:
@@ -171,8 +171,8 @@ def score_block(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarr
     return _softmax((sums / np.maximum(live, 1)[:, None] + model.bias) / model.temperature)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score, rejected; columns named in ``docs`` beyond these are not kept."""
+def predict(docs: DataFrame, model: Model, keep: list[Column]) -> DataFrame:
+    """row (a struct of the kept columns, so that no name can clash), lang_pred, score, rejected."""
     held = docs.sparkSession.sparkContext.broadcast(Model(model.labels, np.asfortranarray(model.table), model.bias, model.temperature, model.threshold))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +190,6 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             arrays = [batch.column(0), pa.array(names[best], pa.string()), pa.array(np.clip(score, 0, 1)), pa.array((best == len(m.labels)) | (score < m.threshold))]
             yield pa.RecordBatch.from_arrays(arrays, names=["row", "lang_pred", "score", "rejected"])
 
-    lettered = F.coalesce(F.col("text").rlike(LETTER), F.lit(False))
-    shape = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row")).schema["row"].dataType.simpleString()
-    out = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), text_bytes(), lettered.alias("lettered"))
-    return out.mapInArrow(run, f"row {shape}, lang_pred string, score double, rejected boolean").select("row.*", "lang_pred", "score", "rejected")
+    lettered = F.coalesce(F.col("text").rlike(LETTER), F.lit(False)).alias("lettered")
+    given = docs.select(F.struct(*keep).alias("row"), text_bytes(), lettered)
+    return given.mapInArrow(run, f"row {given.schema['row'].dataType.simpleString()}, lang_pred string, score double, rejected boolean")

@@ -18,7 +18,8 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.filter(fold(5) != 0).select("doc_id", "text", F.col("lang").alias("label")))
-    return langid.predict(docs.select("doc_id", (fold(5) == 0).alias("held_out"), "text"), model)
+    found = langid.predict(docs, model, [F.col("doc_id"), (fold(5) == 0).alias("held_out")])
+    return found.select("row.doc_id", "row.held_out", "lang_pred", "score", "rejected")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
