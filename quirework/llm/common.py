@@ -149,12 +149,15 @@ def random_words(n: int, seed: int) -> np.ndarray:
 
 
 class Words:
-    """The words of a block of texts: start and end byte, row, and a 64-bit hash of each."""
+    """The words of a block of texts: start and end byte, row, and a 64-bit hash of each.
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, seed: int = 1):
+    ``inside`` tells for each of the 256 bytes whether it is part of a word (None: all but white space).
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, seed: int = 1, inside: np.ndarray | None = None):
         self.rows = len(offsets) - 1
         n = len(data)
-        word = ~_SPACE[data]
+        word = ~_SPACE[data] if inside is None else inside[data]
         first = np.zeros(n + 1, bool)
         first[offsets[:-1]] = True
         begins = word.copy()

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, langid, packing, substring_dedup, suffix_dedup
+from . import jaccard_join, langid, packing, quality, substring_dedup, suffix_dedup, toxicity
 from .common import fold, table
+from .labelled import labelled_sample
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +28,20 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(labelled_sample(docs, labels, "quality"))
+    found = quality.score(docs, model, [F.col("doc_id"), (fold(5) == 0).alias("held_out")])
+    return found.select("row.doc_id", "row.held_out", "score", "predicted")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    field = toxicity.fit(labelled_sample(docs, labels, "toxic"))
+    found = toxicity.score(docs, field, [F.col("doc_id"), (fold(5) == 0).alias("held_out")])
+    return found.select("row.doc_id", "row.held_out", "score", "predicted", "spans")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.filter(fold(5) != 0).select("doc_id", "text", F.col("lang").alias("label")))
@@ -39,6 +54,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_packing": op6_packing,
+    "op8_quality": op8_quality,
+    "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
 }
 
