@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, langid, packing, quality, substring_dedup, suffix_dedup, toxicity
+from . import ann, decontaminate, jaccard_join, langid, packing, quality, substring_dedup, suffix_dedup, toxicity
 from .common import fold, table
 from .labelled import labelled_sample
 
@@ -24,6 +24,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.linked(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_packing": op6_packing,
     "op8_quality": op8_quality,
