@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirework.llm import langid, packing
+from quirework.llm import decontaminate, jaccard_join, langid, packing, suffix_dedup
 from quirework.llm.common import Stage, fold, ship, table
 
 Step = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -25,6 +25,23 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.filter(~F.col("rejected")).select("row.*")
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document, the one of least doc_id, of each group of near duplicates."""
+    ship(spark)
+    return jaccard_join.keep_one(docs)
+
+
+def repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts from texts all bytes inside stretches of 400 that also stand elsewhere."""
+    ship(spark)
+    return suffix_dedup.dedup(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts what is left into sequences of powers of two."""
     ship(spark)
@@ -33,6 +50,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Step]] = [
     ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("repeated_bytes", repeated_bytes),
+    ("decontamination", decontamination),
     ("packing", pack),
 ]
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, jaccard_join, langid, packing, quality, substring_dedup, suffix_dedup, toxicity
+from . import ann, decontaminate, jaccard_join, langid, lm, packing, quality, substring_dedup, suffix_dedup, toxicity
 from .common import fold, table
 from .labelled import labelled_sample
 
@@ -36,6 +36,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.fit(labelled_sample(docs, labels, "quality"))
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_packing": op6_packing,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
