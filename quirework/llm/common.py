@@ -108,6 +108,37 @@ def release_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+# ---------------------------------------------------------------- which keys repeat
+
+BITS = 1 << 26
+
+
+def repeated_bits(keys: DataFrame) -> np.ndarray:
+    """A bitmap of BITS positions (8 MB, whatever the input) with the places of all values of ``key``,
+    a fingerprint, that occur more than once.
+
+    It lets a second pass leave out nearly all rows of unique keys before they travel. What it lets
+    through is checked exactly afterwards, so a full bitmap costs time, not results."""
+    place = F.pmod(F.col("key"), F.lit(BITS)) + 1
+    again = keys.groupBy("key").count().filter("count > 1")
+    parts = again.groupBy(F.bitmap_bucket_number(place).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    out = np.zeros(BITS // 8, np.uint8)
+    for at, bits in parts.toLocalIterator():
+        out[(at - 1) * 4096 : at * 4096] = np.frombuffer(bytes(bits), np.uint8)
+    return out
+
+
+def in_bits(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys & np.uint64(BITS - 1)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def key_batch(keys: np.ndarray) -> pa.RecordBatch:
+    """Each distinct key once, or twice if it occurs more than once: all that ``repeated_bits`` needs."""
+    found, n = np.unique(keys, return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([found, found[n > 1]]).view(np.int64))], names=["key"])
+
+
 # ---------------------------------------------------------------- numpy views of texts
 
 

@@ -1,11 +1,13 @@
 """Which windows repeat, over all documents: the exchanges behind suffix-array and substring dedup.
 
-1. ``scan``: every document's runs (see anchors) with fingerprints, and one row of figures for the
-   document itself, written to the shared folder.
-2. ``narrow``: keeps runs whose leading stretch occurs again, at doubling lengths.
-3. ``settle``: runs equal as a whole are settled at once; of those with the same leading stretch but
+1. ``run_keys``: a fingerprint of the leading stretch of every run (see anchors), each once for a batch
+   of texts; those that occur again make a bitmap of fixed size.
+2. ``scan``: reads the texts once more and writes the runs that the bitmap lets through, with one row
+   of figures for each document, to the shared folder.
+3. ``narrow``: keeps runs whose leading stretch occurs again, at doubling lengths.
+4. ``settle``: runs equal as a whole are settled at once; of those with the same leading stretch but
    different surroundings one of each kind stays open.
-4. ``open_windows``: the windows of open runs are compared one by one.
+5. ``open_windows``: the windows of open runs are compared one by one, by a bitmap first again.
 
 Counts are summed before they travel, and what is joined back is unique in its key, so a passage in
 a third of all documents makes one large side that Spark may split, never a group in one task.
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import Shape, Symbols, each_run, window_prints
-from .common import Stage, buffers, release_shuffles, text_bytes, text_key
+from .common import Stage, buffers, in_bits, key_batch, release_shuffles, repeated_bits, text_bytes, text_key
 
 Kept = tuple[int, int, int, bytes, bytes]  # removed symbols, spans, symbols, kept bytes, all bytes
 KEY = ["doc_id", "text_key"]
@@ -35,8 +37,21 @@ def same_row(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"])
 
 
-def scan(docs: DataFrame, symbols_of: Symbols, shape: Shape, shares: int, figures: Callable[[bytes], tuple[int, str]]) -> DataFrame:
-    """Rows of runs, and for each document one with ``size`` and ``sha`` (of it all), whose pos is null."""
+def run_keys(docs: DataFrame, symbols_of: Symbols, shape: Shape, shares: int) -> DataFrame:
+    """The first key of every run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = buffers(batch.column(0))
+            yield key_batch(np.concatenate([np.zeros(0, np.uint64), *(r.keys[0] for r in each_run(data, offsets, symbols_of, shape, shares))]))
+
+    return docs.select(text_bytes()).mapInArrow(run, "key long")
+
+
+def scan(docs: DataFrame, symbols_of: Symbols, shape: Shape, shares: int, figures: Callable[[bytes], tuple[int, str]], bits: np.ndarray) -> DataFrame:
+    """Rows of runs whose first key is in ``bits``, and for each document one with ``size`` and ``sha`` (of
+    it all), whose pos is null."""
+    held = docs.sparkSession.sparkContext.broadcast(bits)
     names = ["doc_id", "text_key", "pos", "windows", *(f"key{i}" for i in range(shares)), "e1", "e2", "size", "sha"]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * (shares + 2), pa.int64(), pa.string()]
     schema = pa.schema(list(zip(names, kinds, strict=True)))
@@ -49,11 +64,12 @@ def scan(docs: DataFrame, symbols_of: Symbols, shape: Shape, shares: int, figure
             yield pa.RecordBatch.from_arrays([doc, key, *none, pa.array([m[0] for m in measured], pa.int64()), pa.array([m[1] for m in measured], pa.string())], schema=schema)
             data, offsets = buffers(batch.column(2))
             for r in each_run(data, offsets, symbols_of, shape, shares):
-                if not len(r.row):
+                pick = np.flatnonzero(in_bits(held.value, r.keys[0]))
+                if not len(pick):
                     continue
-                row = pa.array(r.row)
-                found = [pa.array(x.view(np.int64)) for x in (*r.keys, *r.whole)]
-                yield pa.RecordBatch.from_arrays([doc.take(row), key.take(row), pa.array(r.start, pa.int32()), pa.array(r.windows, pa.int32()), *found, pa.nulls(len(row), pa.int64()), pa.nulls(len(row), pa.string())], schema=schema)
+                row = pa.array(r.row[pick])
+                found = [pa.array(x[pick].view(np.int64)) for x in (*r.keys, *r.whole)]
+                yield pa.RecordBatch.from_arrays([doc.take(row), key.take(row), pa.array(r.start[pick], pa.int32()), pa.array(r.windows[pick], pa.int32()), *found, pa.nulls(len(row), pa.int64()), pa.nulls(len(row), pa.string())], schema=schema)
 
     ddl = ", ".join(f"{n} {'string' if pa.types.is_string(t) else 'int' if t == pa.int32() else 'long'}" for n, t in zip(names, kinds, strict=True))
     return keyed(docs).mapInArrow(run, ddl)
@@ -83,25 +99,38 @@ def settle(runs: DataFrame, earlier: bool) -> DataFrame:
     return found.select(*KEY, "pos", "windows", whole.alias("whole"), opened.alias("open")).filter("whole or open")
 
 
-def open_windows(touched: DataFrame, symbols_of: Symbols, length: int) -> DataFrame:
-    """A row with two fingerprints for every window of every open run."""
+def open_windows(touched: DataFrame, symbols_of: Symbols, length: int, bits: np.ndarray | None) -> DataFrame:
+    """Without ``bits`` one fingerprint, ``key``, of every window of every open run; with them a row with
+    two fingerprints for each window that they hold."""
+    held = touched.sparkSession.sparkContext.broadcast(bits)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, key, text, runs in zip(*batch.columns, strict=True):
-                own = [r for r in runs.as_py() if r["open"]]
-                if not own:
-                    continue
+    def windows(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for doc, key, text, runs in zip(*batch.columns, strict=True):
+            own = [r for r in runs.as_py() if r["open"]]
+            if own:
                 data = np.frombuffer(text.as_py(), np.uint8)
                 symbols, _ = symbols_of(data, np.array([0, len(data)]))
                 starts = np.concatenate([np.arange(r["pos"], r["pos"] + r["windows"]) for r in own])
-                w1, w2 = window_prints(symbols, starts, length)
-                n = len(starts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc.as_py()] * n, pa.int64()), pa.array([key.as_py()] * n, pa.int64()), pa.array(starts, pa.int32()), pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64))],
-                    names=["doc_id", "text_key", "pos", "w1", "w2"],
-                )
+                yield doc.as_py(), key.as_py(), starts, *window_prints(symbols, starts, length)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                yield key_batch(np.concatenate([np.zeros(0, np.uint64), *(w[3] for w in windows(batch.slice(at, 1000)))]))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, key, starts, w1, w2 in windows(batch):
+                pick = np.flatnonzero(in_bits(held.value, w1))
+                n = len(pick)
+                if n:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([doc] * n, pa.int64()), pa.array([key] * n, pa.int64()), pa.array(starts[pick], pa.int32()), pa.array(w1[pick].view(np.int64)), pa.array(w2[pick].view(np.int64))],
+                        names=["doc_id", "text_key", "pos", "w1", "w2"],
+                    )
+
+    if bits is None:
+        return touched.mapInArrow(keys, "key long")
     return touched.mapInArrow(run, "doc_id long, text_key long, pos int, w1 long, w2 long")
 
 
@@ -144,20 +173,26 @@ def apply_cuts(touched: DataFrame, singles: DataFrame, cut: Callable[[bytes, lis
 def find(docs: DataFrame, label: str, symbols_of: Symbols, shape: Shape, shares: int, earlier: bool, figures: Callable[[bytes], tuple[int, str]]) -> tuple[DataFrame, Stage, DataFrame]:
     """(figures of every document, touched documents with their runs, starts of single windows)."""
     spark = docs.sparkSession
-    scanned = Stage(scan(docs, symbols_of, shape, shares, figures), f"{label}-runs")
+    bits = repeated_bits(run_keys(docs, symbols_of, shape, shares))
+    release_shuffles(spark)
+    scanned = Stage(scan(docs, symbols_of, shape, shares, figures, bits), f"{label}-runs")
     runs = scanned.df.filter("pos is not null").drop("size", "sha")
     keys = [f"key{i}" for i in range(shares)]
     for i in range(shares):
         runs = narrow(runs, keys[: i + 1], keys[i + 1] if i + 1 < shares else "e1")
     settled = Stage(settle(runs, earlier), f"{label}-settled")
+    all_docs = Stage(scanned.df.filter("pos is null").select(*KEY, "size", "sha"), f"{label}-documents")
+    scanned.drop()
+    release_shuffles(spark)
     per = settled.df.groupBy(*KEY).agg(F.collect_list(F.struct("pos", "windows", "whole", "open")).alias("runs"))
     given, per = keyed(docs), per.hint("shuffle_hash")
     touched = Stage(given.join(per, same_row(given, per)).select(given["doc_id"], given["text_key"], "text", "runs"), f"{label}-touched")
     settled.drop()
     release_shuffles(spark)
-    windows = Stage(open_windows(touched.df, symbols_of, shape.length), f"{label}-windows")
-    all_docs = scanned.df.filter("pos is null").select(*KEY, "size", "sha")
-    return all_docs, touched, repeated_windows(windows.df, earlier)
+    bits = repeated_bits(open_windows(touched.df, symbols_of, shape.length, None))
+    release_shuffles(spark)
+    windows = Stage(open_windows(touched.df, symbols_of, shape.length, bits), f"{label}-windows")
+    return all_docs.df, touched, repeated_windows(windows.df, earlier)
 
 
 def with_cuts(all_docs: DataFrame, cuts: DataFrame) -> DataFrame:

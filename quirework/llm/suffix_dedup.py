@@ -4,10 +4,10 @@ A suffix array puts positions with long common prefixes side by side. Prefix dou
 rounds: positions are ranked by their first h bytes, then by the pair (rank here, rank h further
 on), which ranks them by 2h bytes. Dedup needs only ties, so a rank is named by a fingerprint
 rather than by its place, a position leaves as soon as its rank is unique, and the rounds end once
-the prefix is past the threshold: 100, 200, then the whole neighbourhood of 400 and more.
+the prefix is past the threshold: 150, 300, then the whole neighbourhood of 400 and more.
 
 Ranked positions are anchors (see anchors): of every 400-byte string one position among its first
-200 that depends on its content alone. A string repeats only if its anchor stays tied to the end.
+101 that depends on its content alone. A string repeats only if its anchor stays tied to the end.
 
 Every byte covered by a ``LENGTH``-byte string that also starts anywhere else (same document
 included; overlaps count) is removed. Null text is empty. Repeated rows are documents of their
@@ -27,7 +27,7 @@ from . import repeats
 from .anchors import Shape, byte_symbols
 
 LENGTH = 400
-SHAPE = Shape(length=LENGTH, reach=201, k=24)
+SHAPE = Shape(length=LENGTH, reach=101, k=24)
 
 
 def _figures(text: bytes) -> tuple[int, str]:
