@@ -1 +1,142 @@
-"""..."""
+"""Page geometry queries: boxes, matching of lines and objects, columns, captions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import geometry as G
+from ..operators import aggregates as A
+from ..registry import query, table
+from .fixtures import LINES, OBJECTS, box, lines, objects
+
+_OVER = "greatest(0.0, least(l.x1, o.x1) - greatest(l.x0, o.x0)) * greatest(0.0, least(l.y1, o.y1) - greatest(l.y0, o.y0))"
+_AREA_L = "((l.x1 - l.x0) * (l.y1 - l.y0))"
+_AREA_O = "((o.x1 - o.x0) * (o.y1 - o.y0))"
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines beside objects of the same page; the page is the join key, so no pair crosses pages."""
+    ls = lines(spark, sf_dir).select("page", "line_id", "chars", box().alias("l"))
+    ob = objects(spark, sf_dir).select("page", "object_id", "kind", box().alias("o"))
+    return ls.join(ob, "page")
+
+
+@query("X15_bbox_kit", f"WITH {LINES}, {OBJECTS} SELECT line_id, object_id, round({_OVER}, 4) AS overlap, round({_OVER} / ({_AREA_L} + {_AREA_O} - {_OVER}), 6) AS iou FROM lines l JOIN objects o ON l.page = o.page WHERE {_OVER} > 0")
+def x15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared = G.overlap(F.col("l"), F.col("o"))
+    return _pairs(spark, sf_dir).filter(shared > 0).select("line_id", "object_id", F.round(shared, 4).alias("overlap"), F.round(G.iou(F.col("l"), F.col("o")), 6).alias("iou"))
+
+
+@query("X16_alignment", f"WITH {LINES} SELECT line_id, CASE WHEN abs((x0 + x1) / 2 - 306) <= 6 THEN 'centered' WHEN abs(x0 - 72) <= 6 THEN 'left' WHEN abs(x1 - 540) <= 6 THEN 'right' ELSE 'other' END AS alignment FROM lines")
+def x16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines(spark, sf_dir).select("line_id", G.alignment(box(), F.lit(72.0), F.lit(540.0)).alias("alignment"))
+
+
+@query("X17_font_helpers", f"WITH {LINES} SELECT line_id, CASE WHEN abs(font_size - round_even(font_size, 0)) <= 0.25 THEN round_even(font_size, 0) ELSE round_even(font_size, 1) END AS nominal FROM lines")
+def x17(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines(spark, sf_dir).select("line_id", G.nominal_size(F.col("font_size")).alias("nominal"))
+
+
+@query("F09_valid_bbox", f"WITH {LINES} SELECT count(*) FILTER (WHERE x1 > x0 AND y1 > y0) AS valid, count(*) FILTER (WHERE x0 >= -2 AND y0 >= -2 AND x1 <= 514 AND y1 <= 702) AS inside FROM lines")
+def f09(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines(spark, sf_dir).agg(F.count_if(G.valid(box())).alias("valid"), F.count_if(G.inside_page(box(), F.lit(512.0), F.lit(700.0))).alias("inside"))
+
+
+@query("F13_body_lines", f"WITH {LINES} SELECT page, count(*) AS n FROM lines WHERE chars >= 20 AND font_size BETWEEN 7.5 AND 12.5 AND x0 >= 36 AND x1 <= 520 GROUP BY page")
+def f13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines(spark, sf_dir).filter((F.col("chars") >= 20) & F.col("font_size").between(7.5, 12.5) & (F.col("x0") >= 36) & (F.col("x1") <= 520)).groupBy("page").agg(F.count("*").alias("n"))
+
+
+@query("J08_native_object_match", f"""WITH {LINES}, {OBJECTS}, m AS (SELECT line_id, object_id, {_OVER} / {_AREA_L} AS cov, {_AREA_O} AS a FROM lines l JOIN objects o ON l.page = o.page WHERE {_OVER} / {_AREA_L} >= 0.35)
+ SELECT line_id, object_id, round(cov, 6) AS coverage FROM (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY cov DESC, a DESC, object_id) AS n FROM m) WHERE n = 1""")
+def j08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cov = G.coverage(F.col("l"), F.col("o"))
+    found = _pairs(spark, sf_dir).withColumn("cov", cov).filter("cov >= 0.35")
+    best = F.max_by(F.struct("object_id", "cov"), F.struct(F.col("cov"), G.area(F.col("o")), -F.col("object_id")))
+    return found.groupBy("line_id").agg(best.alias("b")).select("line_id", "b.object_id", F.round("b.cov", 6).alias("coverage"))
+
+
+@query("J07_spatial_fusion", f"""WITH {LINES}, {OBJECTS}, e AS (SELECT page, object_id, x0 - 3 AS x0, y0 - 3 AS y0, x1 + 3 AS x1, y1 + 3 AS y1 FROM objects), m AS (SELECT object_id, line_id, l.chars, {_OVER} / {_AREA_L} AS r FROM lines l JOIN e o ON l.page = o.page WHERE {_OVER} / {_AREA_L} >= 0.45)
+ SELECT object_id, count(*) AS lines, CAST(sum(chars) AS BIGINT) AS chars, round(avg(r), 6) AS spatial_score FROM m GROUP BY object_id""")
+def j07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    share = G.coverage(F.col("l"), G.expand(F.col("o"), 3.0))
+    return _pairs(spark, sf_dir).withColumn("r", share).filter("r >= 0.45").groupBy("object_id").agg(F.count("*").alias("lines"), F.sum("chars").alias("chars"), F.round(F.avg("r"), 6).alias("spatial_score"))
+
+
+def _narrow(a: str, b: str) -> str:
+    return f"(greatest(0.0, least({a}.x1, {b}.x1) - greatest({a}.x0, {b}.x0)) / least({a}.x1 - {a}.x0, {b}.x1 - {b}.x0))"
+
+
+@query("J11_caption_pairing", f"""WITH {LINES}, {OBJECTS}, c AS (SELECT * FROM lines WHERE chars >= 40), m AS (SELECT line_id, object_id, abs(l.y0 - o.y1) - {_narrow('l', 'o')} AS cost FROM c l JOIN objects o ON l.page = o.page WHERE {_narrow('l', 'o')} >= 0.25 AND l.y0 >= o.y1 - 3)
+ SELECT line_id, object_id, round(cost, 6) AS cost FROM (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY round(cost, 9), object_id) AS n FROM m) WHERE n = 1""")
+def j11(spark: SparkSession, sf_dir: str, least: float = 0.25, slack: float = 3.0) -> DataFrame:
+    """Each caption's nearest object above it; thresholds are the profile's."""
+    share = G.horizontal_overlap(F.col("l"), F.col("o"))
+    near = _pairs(spark, sf_dir).filter(F.col("chars") >= 40).filter((share >= least) & (F.col("l.y0") >= F.col("o.y1") - slack))
+    near = near.withColumn("cost", F.abs(F.col("l.y0") - F.col("o.y1")) - share)
+    best = F.min_by(F.struct("object_id", "cost"), F.struct(F.round("cost", 9), "object_id"))
+    return near.groupBy("line_id").agg(best.alias("b")).select("line_id", "b.object_id", F.round("b.cost", 6).alias("cost"))
+
+
+@query("J24_overlapping_neighbours", f"WITH {LINES} SELECT line_id FROM lines l WHERE chars < 5 AND EXISTS (SELECT 1 FROM lines o WHERE o.page = l.page AND o.line_id <> l.line_id AND {_OVER} > 0)")
+def j24(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ls = lines(spark, sf_dir).select("page", "line_id", "chars", box().alias("l"))
+    other = ls.select("page", F.col("line_id").alias("other"), F.col("l").alias("o"))
+    small = ls.filter("chars < 5")
+    return small.join(other, (small.page == other.page) & (small.line_id != other.other) & (G.overlap(small.l, other.o) > 0), "left_semi").select("line_id")
+
+
+@query("A15_column_geometry", f"""WITH {LINES}, b AS (SELECT * FROM lines WHERE chars >= 20 AND x0 >= 36 AND x1 <= 588), s AS (SELECT page, CASE WHEN x0 < 229.5 THEN 'left' WHEN x0 > 255 THEN 'right' END AS side, x0 FROM b),
+ n AS (SELECT page, side, count(*) AS n, min(x0) AS edge FROM s WHERE side IS NOT NULL GROUP BY 1, 2)
+ SELECT page, coalesce(max(CASE WHEN side = 'left' THEN n END), 0) AS left_lines, coalesce(max(CASE WHEN side = 'right' THEN n END), 0) AS right_lines, coalesce(max(CASE WHEN side = 'left' THEN n END), 0) >= 5 AND coalesce(max(CASE WHEN side = 'right' THEN n END), 0) >= 5 AS two_columns, max(CASE WHEN side = 'right' THEN edge END) - max(CASE WHEN side = 'left' THEN edge END) AS pitch FROM n GROUP BY page""")
+def a15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = lines(spark, sf_dir).filter((F.col("chars") >= 20) & (F.col("x0") >= 36) & (F.col("x1") <= 588))
+    side = F.when(F.col("x0") < 229.5, "left").when(F.col("x0") > 255, "right")
+    n = body.withColumn("side", side).filter("side is not null").groupBy("page").pivot("side", ["left", "right"]).agg(F.count(F.lit(1)).alias("n"), F.min("x0").alias("edge"))
+    left, right = F.coalesce("left_n", F.lit(0)), F.coalesce("right_n", F.lit(0))
+    return n.select("page", left.alias("left_lines"), right.alias("right_lines"), ((left >= 5) & (right >= 5)).alias("two_columns"), (F.col("right_edge") - F.col("left_edge")).alias("pitch"))
+
+
+@query("A12_block_style", f"""WITH {LINES}, f AS (SELECT page, font, sum(chars) AS w FROM lines GROUP BY 1, 2), d AS (SELECT page, font FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY w DESC, font) AS n FROM f) WHERE n = 1), g AS (SELECT page, lead(y1) OVER (PARTITION BY page ORDER BY y1, line_id) - y1 AS gap FROM lines)
+ SELECT d.page, d.font, (SELECT median(gap) FROM g WHERE g.page = d.page AND gap > 0) AS median_gap FROM d""")
+def a12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ls = lines(spark, sf_dir)
+    gap = F.lead("y1").over(Window.partitionBy("page").orderBy("y1", "line_id")) - F.col("y1")
+    gaps = ls.withColumn("gap", gap).filter("gap > 0").groupBy("page").agg(F.median("gap").alias("median_gap"))
+    return A.dominant(ls, ["page"], "font", "chars").join(gaps, "page", "left").select("page", "font", "median_gap")
+
+
+@query("A17_paragraph_metrics", f"WITH {LINES}, g AS (SELECT page, x0 - lag(x0) OVER w AS indent, y0 - lag(y0) OVER w AS gap FROM lines WINDOW w AS (PARTITION BY page ORDER BY y0, x0, line_id)) SELECT page, median(indent) FILTER (WHERE indent > 0) AS indent, median(gap) FILTER (WHERE gap > 0) AS gap FROM g GROUP BY page")
+def a17(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("page").orderBy("y0", "x0", "line_id")
+    g = lines(spark, sf_dir).select("page", (F.col("x0") - F.lag("x0").over(w)).alias("indent"), (F.col("y0") - F.lag("y0").over(w)).alias("gap"))
+    return g.groupBy("page").agg(F.median(F.when(F.col("indent") > 0, F.col("indent"))).alias("indent"), F.median(F.when(F.col("gap") > 0, F.col("gap"))).alias("gap"))
+
+
+@query("A24_caption_geometry", f"WITH {LINES} SELECT page, count(*) FILTER (WHERE abs((x0 + x1) / 2 - 306) <= 6) AS centered, count(*) FILTER (WHERE abs(x0 - 72) <= 6) AS left_aligned, count(*) FILTER (WHERE x0 >= 72 AND x1 <= 540) AS inside FROM lines WHERE chars >= 40 GROUP BY page")
+def a24(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b: Column = box()
+    return lines(spark, sf_dir).filter("chars >= 40").groupBy("page").agg(F.count_if(F.abs((b["x0"] + b["x1"]) / 2 - 306) <= 6).alias("centered"), F.count_if(F.abs(b["x0"] - 72) <= 6).alias("left_aligned"), F.count_if((b["x0"] >= 72) & (b["x1"] <= 540)).alias("inside"))
+
+
+@query("A33_hanging_indent", f"WITH {LINES}, m AS (SELECT page, round_even(x0 / 4, 0) AS bin, count(*) AS n FROM lines GROUP BY 1, 2) SELECT page, bin * 4 AS edge, n FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY n DESC, bin) AS r FROM m) WHERE r <= 2")
+def a33(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.relational import top_per_group
+
+    bins = lines(spark, sf_dir).groupBy("page", F.bround(F.col("x0") / 4).alias("bin")).agg(F.count("*").alias("n"))
+    return top_per_group(bins, ["page"], [F.desc("n"), F.asc("bin")], 2).select("page", (F.col("bin") * 4).alias("edge"), "n")
+
+
+@query("S09_page_objects", f"WITH {OBJECTS} SELECT page, kind, count(*) AS n, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM objects GROUP BY page, kind")
+def s09(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return objects(spark, sf_dir).groupBy("page", "kind").agg(F.count("*").alias("n"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+
+
+@query("J13_as_of_start_page", """WITH roots AS (SELECT o_custkey AS doc, o_orderkey AS root, o_orderkey % 50 AS start FROM orders), r AS (SELECT doc, start, min(root) AS root FROM roots GROUP BY 1, 2), f AS (SELECT c_custkey AS doc, c_custkey % 60 AS page FROM customer), m AS (SELECT f.doc, f.page, max(start) AS start FROM f JOIN r ON f.doc = r.doc AND r.start <= f.page GROUP BY 1, 2)
+ SELECT m.doc, m.page, r.root FROM m JOIN r ON m.doc = r.doc AND m.start = r.start""")
+def j13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roots = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("doc"), (F.col("o_orderkey") % 50).alias("start")).agg(F.min("o_orderkey").alias("root"))
+    facts = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc"), (F.col("c_custkey") % 60).alias("page"))
+    return facts.join(roots, "doc").filter("start <= page").groupBy("doc", "page").agg(F.max_by("root", "start").alias("root"))

@@ -100,10 +100,10 @@ def j15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(lab.filter("quality = 0"), "doc_id", "left_semi").select("doc_id", "lang")
 
 
-@query("J16_anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("J16_anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 def j16(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, o = _t(spark, sf_dir, "customer", "orders")
-    return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
+    return c.join(o.filter("o_totalprice > 400000"), c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
 
 
 @query("J21_inner_joins", "SELECT n_name, r_name, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal > 0 GROUP BY n_name, r_name")
