@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Words, patterns and classes that results depend on.
 STOP_TERMS = ["什么", "哪些", "怎么", "如何", "为什么", "论文", "这篇", "作者"]
@@ -34,12 +35,12 @@ NUMBER = r"(?U)(?<![\w.])[-+]?\d+(?:\.\d+)?%?(?![\w.])"
 UUID_NAMESPACE_URL = "6ba7b8119dad11d180b400c04fd430c8"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkd_key(s: pd.Series) -> pd.Series:
     def key(x: str | None) -> str | None:
         if x is None:
