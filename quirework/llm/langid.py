@@ -48,13 +48,13 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
     code = shown.astype(np.uint32)
     for order in range(2, max(ORDERS) + 1):
         step = np.zeros(n, np.uint32)
-        step[: n - order + 1] = shown[order - 1 :]
+        step[: max(0, n - order + 1)] = shown[order - 1 :]
         code = code * np.uint32(257) + step
         if order in ORDERS:
             bucket = ((code * np.uint32(2654435761) + np.uint32(order * 40503)) >> np.uint32(17)).astype(np.int32)
             dead = left < order
             for inner in range(1, order - 1):
-                dead[: n - inner] |= blank[inner:]
+                dead[: max(0, n - inner)] |= blank[inner:]
             if order == 2:
                 dead[:-1] |= blank[:-1] & blank[1:]
             bucket[dead] = BUCKETS
