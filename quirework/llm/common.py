@@ -7,18 +7,17 @@ Texts travel to Python as UTF-8 bytes. A word is a run of bytes outside 0x20 and
 from __future__ import annotations
 
 import atexit
-import shutil
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 LETTER = r"\p{L}"
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -26,21 +25,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def ship(spark: SparkSession) -> None:
-    """Gives executors this package, once for each application."""
-    context = spark.sparkContext
-    if getattr(context, "_quirework_shipped", False):
-        return
-    top = Path(__file__).resolve().parent.parent
-    folder = tempfile.mkdtemp(prefix="quirework-")
-    atexit.register(shutil.rmtree, folder, True)
-    with zipfile.ZipFile(f"{folder}/quirework.zip", "w") as archive:
-        for path in top.rglob("*.py"):
-            archive.write(path, path.relative_to(top.parent))
-    context.addPyFile(f"{folder}/quirework.zip")
-    context._quirework_shipped = True
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
