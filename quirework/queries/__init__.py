@@ -1,3 +1,3 @@
 """Queries over the driver's tables, family by family; importing this registers them all."""
 
-from . import aggregates, evidence, layout, more, relational, streams, text, windows  # noqa: F401
+from . import aggregates, evidence, layout, more, relational, rest, streams, text, windows  # noqa: F401
