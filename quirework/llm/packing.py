@@ -52,7 +52,8 @@ class WordIds(dict):
     """word (bytes) -> its ids as little-endian 32-bit words; white space never reaches an id.
 
     The tokenizer drops white space and never merges across it, so a text's ids are its words' ids
-    in a row. Kept entries are bounded; what does not fit is computed anew.
+    in a row. Kept entries are bounded: a full cache becomes the old one, from which words that come
+    again are taken over, and the one before that is let go.
     """
 
     def __init__(self, path: str):
@@ -62,24 +63,31 @@ class WordIds(dict):
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
+        self.old: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
 
     def piece(self, p: str) -> bytes:
         if (ids := self.pieces.get(p)) is None:
-            shown = p.encode().decode("latin-1").translate(byte_alphabet())
-            ids = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+            if (ids := self.old_pieces.get(p)) is None:
+                shown = p.encode().decode("latin-1").translate(byte_alphabet())
+                ids = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
             if len(self.pieces) >= _MOST_CACHED:
-                self.pieces.clear()
-            self.pieces[p] = ids
+                self.old_pieces, self.pieces = self.pieces, {}
+            if len(p) < 64:
+                self.pieces[p] = ids
         return ids
 
     def __missing__(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        if _PLAIN.fullmatch(text) and "<|" not in text:
-            ids = b"".join(map(self.piece, _PIECE.findall(text.lower())))
-        else:
-            ids = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.old.get(word)
+        if ids is None:
+            text = word.decode("utf-8", "replace")
+            if _PLAIN.fullmatch(text) and "<|" not in text:
+                ids = b"".join(map(self.piece, _PIECE.findall(text.lower())))
+            else:
+                ids = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self) >= _MOST_CACHED:
+            self.old = dict(self)
             self.clear()
         if len(word) < 64:
             self[word] = ids
