@@ -25,8 +25,8 @@ def score(chunks: DataFrame, question: str, preferred: list[str]) -> DataFrame:
 
 
 def top(scored: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """The k best by score, then keys; if no score is above 0.01 all are equal, and keys alone decide."""
-    return scored.orderBy(F.desc("score"), *keys).limit(k)
+    """The k best by score (to nine digits), then keys; if no score is above 0.01 all are equal, and keys alone decide."""
+    return scored.orderBy(F.desc(F.round("score", 9)), *keys).limit(k)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -33,7 +33,7 @@ def r02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).select("doc_id", "block_no", F.round("score", 6).alias("score"))
 
 
-@query("R03_retrieve_topk", f"WITH {BLOCKS}, {_SCORED} SELECT doc_id, block_no, round(score, 6) AS score FROM scored ORDER BY score DESC, doc_id, block_no LIMIT 15")
+@query("R03_retrieve_topk", f"WITH {BLOCKS}, {_SCORED} SELECT doc_id, block_no, round(score, 6) AS score FROM scored ORDER BY round(score, 9) DESC, doc_id, block_no LIMIT 15")
 def r03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.top(_scored(spark, sf_dir), ["doc_id", "block_no"], 15).select("doc_id", "block_no", F.round("score", 6).alias("score"))
 
@@ -160,7 +160,7 @@ def j18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.coalesce(F.when(F.col("l_tax") > 0.05, F.col("l_partkey")), F.when(F.col("l_discount") > 0.05, F.col("l_suppkey")), F.lit(-1)).alias("standard_id"))
 
 
-@query("J19_evidence_in_order", "SELECT l_orderkey, string_agg(p_name, '; ' ORDER BY l_linenumber) AS quotes FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey")
+@query("J19_evidence_in_order", "SELECT l_orderkey, string_agg(p_name, '; ' ORDER BY l_linenumber, p_name) AS quotes FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey")
 def j19(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     parts = F.array_sort(F.collect_list(F.struct("l_linenumber", "p_name")))

@@ -99,9 +99,9 @@ def p18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").isNotNull().alias("has_words"), F.size(words).cast("long").alias("words"))
 
 
-@query("P21_item_record", "SELECT l_orderkey, array_to_string(list_sort(list_distinct(list(l_suppkey % 10))), ',') AS pages, arg_min(l_partkey, l_linenumber) AS first_annotation FROM lineitem GROUP BY l_orderkey")
+@query("P21_item_record", "SELECT l_orderkey, array_to_string(list_sort(list_distinct(list(l_suppkey % 10))), ',') AS pages, arg_min(l_partkey, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey) AS first_annotation FROM lineitem GROUP BY l_orderkey")
 def p21(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set(F.col("l_suppkey") % 10)).cast("array<string>"), ",").alias("pages"), F.min_by("l_partkey", "l_linenumber").alias("first_annotation"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set(F.col("l_suppkey") % 10)).cast("array<string>"), ",").alias("pages"), F.min_by("l_partkey", F.struct("l_linenumber", "l_partkey")).alias("first_annotation"))
 
 
 @query("X05_split_at_token_limit")

@@ -47,7 +47,7 @@ def p20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).filter(G.valid(box()) & (F.col("page") >= 1) & (F.col("chars") > 48)).select("line_id", "page", "x0", "y0")
 
 
-@query("P22_compact_payload", "SELECT l_orderkey, array_to_string(list_slice(list(l_partkey ORDER BY l_linenumber), 1, 3), ',') AS parts FROM lineitem GROUP BY l_orderkey")
+@query("P22_compact_payload", "SELECT l_orderkey, array_to_string(list_slice(list(l_partkey ORDER BY l_linenumber, l_partkey), 1, 3), ',') AS parts FROM lineitem GROUP BY l_orderkey")
 def p22(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey")))
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.slice(parts, 1, 3), lambda p: p["l_partkey"].cast("string")), ",").alias("parts"))
@@ -71,10 +71,10 @@ def s16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("target")).agg(F.count("*").alias("rules"))
 
 
-@query("J04_block_repair", f"WITH {BLOCKS}, r AS (SELECT doc_id, block_no, CASE WHEN block_no % 4 = 0 THEN upper(content) END AS raw FROM blocks) SELECT b.doc_id, b.block_no, md5(coalesce(r.raw, b.content)) AS content_md5 FROM blocks b LEFT JOIN r ON b.doc_id = r.doc_id AND b.block_no = r.block_no")
+@query("J04_block_repair", f"WITH {BLOCKS}, r AS (SELECT doc_id, block_no, CASE WHEN block_no % 4 = 0 THEN 'x' || content END AS raw FROM blocks) SELECT b.doc_id, b.block_no, md5(coalesce(r.raw, b.content)) AS content_md5 FROM blocks b LEFT JOIN r ON b.doc_id = r.doc_id AND b.block_no = r.block_no")
 def j04(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = blocks(spark, sf_dir)
-    raw = b.filter("block_no % 4 = 0").select("doc_id", "block_no", F.upper("content").alias("raw"))
+    raw = b.filter("block_no % 4 = 0").select("doc_id", "block_no", F.concat(F.lit("x"), "content").alias("raw"))
     return b.join(raw, ["doc_id", "block_no"], "left").select("doc_id", "block_no", F.md5(F.coalesce("raw", "content")).alias("content_md5"))
 
 
@@ -117,7 +117,7 @@ def a35(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.dominant(lines(spark, sf_dir), ["page"], "font", "chars").drop("weight").join(o, "page")
 
 
-@query("X10_cells_to_matrix", "SELECT l_orderkey, string_agg(cells, chr(10) ORDER BY r) AS matrix FROM (SELECT l_orderkey, l_linenumber % 2 AS r, string_agg(l_partkey, '|' ORDER BY l_linenumber) AS cells FROM lineitem GROUP BY 1, 2) GROUP BY l_orderkey")
+@query("X10_cells_to_matrix", "SELECT l_orderkey, string_agg(cells, chr(10) ORDER BY r) AS matrix FROM (SELECT l_orderkey, l_linenumber % 2 AS r, string_agg(l_partkey, '|' ORDER BY l_linenumber, l_partkey) AS cells FROM lineitem GROUP BY 1, 2) GROUP BY l_orderkey")
 def x10(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey")))
     rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", (F.col("l_linenumber") % 2).alias("r")).agg(F.array_join(F.transform(cells, lambda c: c["l_partkey"].cast("string")), "|").alias("cells"))
