@@ -8,9 +8,9 @@ fixed size; a wrong estimate costs time, not results), then goes by hash.
    least node is its head.
 2. Group pairs: groups meet at shared prefix shingles. Within a shingle and size class every head is
    first compared with one pivot only, so a family of m copies costs m pairs, not m squared.
-3. Members: every node is verified against its head, and, where the verified links leave nodes at
-   one shingle in different components, all pairs across these components that pass the size,
-   position and bitmap filters are expanded and verified on whole sets.
+3. Members: every node is verified against its head, and, where the verified links leave nodes of one
+   group, or nodes at one shingle, in different components, all pairs across these components that
+   pass the size, position and bitmap filters are expanded and verified on whole sets.
 
 Pairs inside one component are not expanded, since they can't change it. Verification counts the
 intersection of whole sets: documents link when 100 * intersection >= ``percent`` * union.
@@ -224,27 +224,34 @@ def linked(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFra
     links = links_of(docs, first.df, nodes.df, size, percent)
     roots = components(links.df, "jaccard")
 
-    # members of groups that share a shingle across components
-    member = nodes.df.select("gid", "sig", "parity").join(roots.df.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    placed = shared.df.select("gid", "n", "at", "shingle").join(member, "gid")
+    # members of one group across components: they share the whole prefix, so they meet at the group itself
+    member = nodes.df.select("gid", "sig", "n", "parity").join(roots.df.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    member = Stage(member, "jaccard-members")
+    split = member.df.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("gid")
+    fellows = member.df.join(split, "gid", "left_semi")
+
+    # members of different groups that share a shingle across components
+    placed = shared.df.select("gid", "n", "at", "shingle").join(member.df.drop("n"), "gid")
     open_ = placed.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("shingle")
-    left = Stage(placed.join(open_, "shingle", "left_semi").select("shingle", "sig", "root", "n", "at", "parity"), "jaccard-open")
-    x, y = left.df.alias("x"), left.df.alias("y")
+    left = Stage(placed.join(open_, "shingle", "left_semi").select("shingle", "gid", "sig", "root", "n", "at", "parity"), "jaccard-open")
     need = F.ceil((F.col("x.n") + F.col("y.n")) * percent / F.lit(100 + percent))
     most = F.least("x.at", "y.at") + 1 + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) - 1
     # each member of the symmetric difference flips one bit, so it has at least as many as bits differ
     differ = sum((F.bit_count(F.col("x.parity")[i].bitwiseXOR(F.col("y.parity")[i])) for i in range(1, PARITY)), F.bit_count(F.col("x.parity")[0].bitwiseXOR(F.col("y.parity")[0])))
     both = F.col("x.n") + F.col("y.n")
     close = (both - differ) * (100 + percent) >= both * 2 * percent
-    across = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.sig") > F.col("y.sig")) & (F.col("x.root") != F.col("y.root")) & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & (most >= need) & close)
-    second = across.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).distinct()
+    apart = (F.col("x.sig") > F.col("y.sig")) & (F.col("x.root") != F.col("y.root")) & close
+    within = fellows.alias("x").join(fellows.alias("y"), (F.col("x.gid") == F.col("y.gid")) & apart)
+    across = left.df.alias("x").join(left.df.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.gid") != F.col("y.gid")) & apart & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & (most >= need))
+    pair = [F.col("x.sig").alias("a"), F.col("y.sig").alias("b")]
+    second = within.select(*pair).union(across.select(*pair)).distinct()
     done = first.df.union(first.df.select(F.col("b").alias("a"), F.col("a").alias("b")))
     more = links_of(docs, second.join(done, ["a", "b"], "left_anti"), nodes.df, size, percent)
     ends = roots
     if not more.df.isEmpty():
         ends = components(more.df.union(roots.df.select(F.col("node").alias("a"), F.col("root").alias("b"))), "jaccard")
         roots.drop()
-    for stage in (shared, first, links, left, more, nodes):
+    for stage in (shared, first, links, member, left, more, nodes):
         stage.drop()
     release_shuffles(spark)
 
