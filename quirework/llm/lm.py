@@ -10,9 +10,10 @@ indicator features of words in a class, which is their relative frequency, smoot
 place for unknown words as in the base.
 
 Counts cover all training documents. Gradient updates are distributed: every block of documents
-starts from the current weights, takes steps on its own training events (each ``stride``-th word of
-every training document), and the blocks' weights are averaged row by row, weighted by how often
-each block saw the row, in a tree of partial sums. Weights are BUCKETS x CLASSES, whatever the input.
+starts from the current weights, takes steps on its own training events, and the blocks' weights are
+averaged row by row, weighted by how often each block saw the row, in a tree of partial sums. Round r
+of ``rounds`` takes each ``rounds``-th token from the r-th on, so that together they take every token
+of every training document once. Weights are BUCKETS x CLASSES, whatever the input.
 
 Word counts grow with the input and are never gathered in one place: documents stay in blocks, every
 block asks for its distinct words only, and what comes back to it are the counts of words that other
@@ -202,7 +203,7 @@ def _round(blocks: DataFrame, table: np.ndarray, bias: np.ndarray, own: dict[str
     return out
 
 
-def score(docs: DataFrame, modulus: int = 7, held_out: int = 2, rounds: int = 2, stride: int = 4) -> DataFrame:
+def score(docs: DataFrame, modulus: int = 7, held_out: int = 2, rounds: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
     spark = docs.sparkSession
     blocks = Stage(_blocks(docs, modulus, held_out), "lm-blocks")
@@ -229,7 +230,7 @@ def score(docs: DataFrame, modulus: int = 7, held_out: int = 2, rounds: int = 2,
     tasks = blocks.df.rdd.getNumPartitions()
     if ends:
         for r in range(rounds):
-            table = _round(blocks.df, table, bias, own, stride, r % stride, tasks)
+            table = _round(blocks.df, table, bias, own, rounds, r, tasks)
     shared = counts.filter("blocks > 1").select("word", "c")
     answers = asks.df.select("block", "word").join(shared, "word").select("block", "word", "c")
     held = spark.sparkContext.broadcast((table, bias, own, n_class, v_class, total, distinct, ends))
