@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, Words, buffers, in_bits, key_batch, mix, random_words, release_shuffles, repeated_bits, spans
+from .common import Stage, Words, buffers, in_bits, key_batch, mix, random_words, release_shuffles, repeated_bits, spans, text_key
 from .components import components
 from .repeats import keyed, same_row
 
@@ -197,8 +197,8 @@ def links_of(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, size: int, per
     return links
 
 
-def linked(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, text_key, n_shingles, component_id for every row."""
+def rooted(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, text_key, n_shingles, component_id, root (names a component that has shingles) for every row."""
     spark = docs.sparkSession
     profiled = Stage(profiles(docs, common_shingles(docs, size), size, percent), "jaccard-profiles")
     nodes = Stage(profiled.df.filter("n > 0").dropDuplicates(["sig"]), "jaccard-nodes")
@@ -259,17 +259,30 @@ def linked(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFra
     least = named.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     out = named.join(least, "root", "left")
     own = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), own.alias("component_id"), "root")
 
 
-def keep_one(docs: DataFrame, **options: int) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each component, its least doc_id (least text fingerprint
-    on a tie; rows equal in both stay together unless deduplicated by their writer). Rows without
-    shingles and rows of components without an id all stay."""
-    found = linked(docs, **options)
-    stay = found.filter("n_shingles = 0 or component_id is null or doc_id = component_id")
-    stay = stay.groupBy("component_id", F.when(F.col("n_shingles") == 0, F.col("text_key")).alias("empty"), F.when(F.col("component_id").isNull(), F.col("text_key")).alias("unnamed")).agg(F.min(F.struct("doc_id", "text_key")).alias("one")).select(F.col("one.doc_id").alias("_doc"), F.col("one.text_key").alias("_key"))
-    from .common import text_key
+def linked(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, text_key, n_shingles, component_id for every row."""
+    return rooted(docs, size, percent).drop("root")
 
+
+def keep_one(docs: DataFrame, **options: int) -> DataFrame:
+    """The rows of ``docs`` that stay: exactly one of each component, its least doc_id (null ids come
+    last; least text fingerprint on a tie; of rows equal in both the one of least fingerprint over all
+    columns). Rows without shingles are nobody's copies and all stay."""
+    found = rooted(docs, **options)
+    copies = found.filter("n_shingles > 0").groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key", "n")).alias("one")
+    one = copies.groupBy("root").agg(first).select("one.doc_id", "one.text_key", (F.col("one.n") > 1).alias("again"))
+    bare = found.filter("n_shingles = 0").select("doc_id", "text_key", F.lit(False).alias("again")).distinct()
+    stay = Stage(one.union(bare), "jaccard-stay").df.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), "again")
     row = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long"), text_key())
-    return row.join(stay, row["doc_id"].eqNullSafe(stay["_doc"]) & (row["text_key"] == stay["_key"]), "left_semi").select("row.*")
+
+    def held(again: bool) -> DataFrame:
+        wanted = stay.filter(F.col("again") == again)
+        return row.join(wanted, row["doc_id"].eqNullSafe(wanted["_doc"]) & (row["text_key"] == wanted["_key"]), "left_semi")
+
+    # only rows that repeat in doc_id and text are grouped
+    equal = held(True).groupBy("doc_id", "text_key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return held(False).select("row.*").union(equal.select("row.*"))
