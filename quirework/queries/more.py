@@ -51,8 +51,7 @@ def f15(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("F19_first_match", f"WITH {BLOCKS} SELECT doc_id, block_no, CASE WHEN contains(lower(content), 'abstract') THEN 'abstract' WHEN contains(lower(content), 'introduction') THEN 'introduction' WHEN contains(lower(content), 'method') OR contains(lower(content), 'model') THEN 'method' ELSE 'body' END AS role FROM blocks WHERE NOT regexp_matches(lower(content), 'background|related work|data|experiment|implement|evaluat|result|comparison|analysis|ablation|approach|limit|future|conclu|referen|bibliog|append|supple')")
 def f19(spark: SparkSession, sf_dir: str) -> DataFrame:
-    other = "background|related work|data|experiment|implement|evaluat|result|comparison|analysis|ablation|approach|limit|future|conclu|referen|bibliog|append|supple"
-    return blocks(spark, sf_dir).filter(~F.lower("content").rlike(other)).select("doc_id", "block_no", X.classify_section(F.array("content")).alias("role"))
+    return blocks(spark, sf_dir).select("doc_id", "block_no", X.classify_section(F.array("content")).alias("role"))
 
 
 @query("P01_section_path", f"""WITH {BLOCKS}, h AS (SELECT doc_id, block_no, content, CASE WHEN block_no % 9 = 0 THEN 1 WHEN block_no % 3 = 0 THEN 2 END AS level FROM blocks), a AS (SELECT *, last_value(CASE WHEN level = 1 THEN block_no END IGNORE NULLS) OVER w AS h1, last_value(CASE WHEN level = 2 THEN block_no END IGNORE NULLS) OVER w AS h2 FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY block_no ROWS UNBOUNDED PRECEDING))

@@ -112,7 +112,7 @@ def x29(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("X35_markdown_preview", r"SELECT doc_id, left(trim(regexp_replace(regexp_replace(text, '[#*_`>|]+', '', 'g'), '\s+', ' ', 'g')), 260) AS preview FROM documents WHERE NOT regexp_matches(text, '\[|\]')")
 def x35(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, _D).filter(~F.col("text").rlike(r"\[|\]")).select("doc_id", X.preview(F.col("text")).alias("preview"))
+    return table(spark, sf_dir, _D).select("doc_id", X.preview(F.col("text")).alias("preview"))
 
 
 @query("F11_spurious_heading", rf"WITH {BLOCKS} SELECT doc_id, block_no FROM blocks WHERE regexp_matches(content, '^(?:\d+\s+){{2,}}\d+$')")
