@@ -143,7 +143,7 @@ def t03(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("T04_nulls_last", "SELECT d.doc_id, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY l.toxic DESC NULLS LAST, d.doc_id LIMIT 30")
 def t04(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, lab = _t(spark, sf_dir, "documents", "labels")
-    return d.select("doc_id").join(lab.select("doc_id", "toxic"), "doc_id", "left").orderBy(F.desc_nulls_last("toxic"), "doc_id").limit(30)
+    return d.select("doc_id").join(lab.select("doc_id", "toxic"), "doc_id", "left").orderBy(F.desc_nulls_last("toxic"), "doc_id")
 
 
 @query("T05_latest_fifty", "SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")
