@@ -1,7 +1,7 @@
-"""Substring dedup: relative Lempel-Ziv parsing of documents against all earlier text.
+"""Substring dedup: windows of words that stand in earlier text, in place of a relative Lempel-Ziv parse.
 
-Documents are read as words and factored greedily: from a word on, the longest stretch that already
-stands in earlier text is one factor. Factors of at least ``LENGTH`` words are duplicate spans.
+Documents are read as words. Nothing is parsed greedily: windows of ``LENGTH`` words that repeat are
+found by anchors, as in suffix_dedup, and a factor is a maximal run of words that such windows cover.
 
 The reference is all documents, earlier first, indexed in blocks: a block is one partition of the
 anchors' fingerprints (see anchors), so a phrase meets every earlier place that could hold it in
