@@ -7,10 +7,14 @@ fixed size; a wrong estimate costs time, not results), then goes by hash.
 1. Documents with equal sets are one node; nodes with equal prefixes and sizes are one group, whose
    least node is its head.
 2. Group pairs: groups meet at shared prefix shingles. Within a shingle and size class every head is
-   first compared with one pivot only, so a family of m copies costs m pairs, not m squared.
-3. Members: every node is verified against its head, and, where the verified links leave nodes of one
-   group, or nodes at one shingle, in different components, all pairs across these components that
-   pass the size, position and bitmap filters are expanded and verified on whole sets.
+   first compared with one pivot only, so a family of m copies costs m pairs, not m squared. Every
+   member is verified against its head.
+3. Where that leaves nodes of one shingle in different components, ``ROUNDS`` more rounds compare each
+   member with up to PIVOTS others, drawn anew for each shingle and round, until families have joined.
+4. Members: nodes of one group, or at one shingle, that are in different components even then are
+   expanded into pairs. One side holds only nodes outside the component that has most nodes at the
+   shingle, so what joined before is not compared with itself. Pairs that pass the size, position and
+   bitmap filters are verified on whole sets.
 
 Pairs inside one component are not expanded, since they can't change it. Verification counts the
 intersection of whole sets: documents link when 100 * intersection >= ``percent`` * union.
@@ -28,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stage, Words, buffers, in_bits, key_batch, mix, random_words, release_shuffles, repeated_bits, spans, text_key
@@ -37,7 +41,9 @@ from .repeats import keyed, same_row
 
 SIZE = 5
 PERCENT = 80
-PARITY = 8  # 64-bit words of a node's parity bitmap
+PARITY = 8  # 64-bit words of a node's folded parity bitmap, and of the least whole one
+ROUNDS = 2
+PIVOTS = 4
 COUNTERS = 1 << 22
 KEPT_COUNTERS = 1 << 16
 _SHIFT = np.uint64(64 - 22)
@@ -93,21 +99,41 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
-def parity(own: np.ndarray) -> np.ndarray:
-    """A bitmap in which each member of the set flips one bit."""
-    at = (mix(own + np.uint64(77)) % np.uint64(64 * PARITY)).astype(np.int64)
-    odd = np.bincount(at, minlength=64 * PARITY) & 1
+def parity(own: np.ndarray, words: int = PARITY) -> np.ndarray:
+    """A bitmap in which each member of the set flips one bit.
+
+    Half as many words give the halves' exclusive or, so bitmaps of different sizes stay comparable."""
+    at = (mix(own + np.uint64(77)) % np.uint64(64 * words)).astype(np.int64)
+    odd = np.bincount(at, minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def parity_words(n: int) -> int:
+    """Two bits a member, a power of two of words: 0.25 to 0.5 bytes a word of text."""
+    return max(PARITY, 1 << (-(-2 * n // 64) - 1).bit_length())
+
+
+def differing(a: str, b: str) -> Column:
+    """How many bits of two parity arrays differ, once the longer is folded to the shorter's size."""
+
+    def folded(x: str, y: str) -> Column:
+        size = F.least(F.size(x), F.size(y))
+        half = F.zip_with(F.slice(x, 1, size), F.slice(x, size + 1, size), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(x) > size, half).otherwise(F.col(x))
+
+    each = F.zip_with(folded(a, b), folded(b, a), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    return F.aggregate(each, F.lit(0), lambda total, x: total + x)
+
+
 def profiles(docs: DataFrame, levels: np.ndarray, size: int, percent: int) -> DataFrame:
-    """doc_id, text_key, n (set size), sig (of the set), gid (of prefix and size), parity, prefix."""
+    """doc_id, text_key, n (set size), sig (of the set), gid (of prefix and size), parity (folded),
+    bits (whole parity), prefix."""
     held = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lv = held.value
         for batch in batches:
-            ns, sigs, gids, parities, prefixes = [], [], [], [], []
+            ns, sigs, gids, wholes, prefixes = [], [], [], [], []
             for own in _each(batch, 2, size):
                 n = len(own)
                 level = lv[(own >> _SHIFT).astype(np.int64)]
@@ -116,14 +142,16 @@ def profiles(docs: DataFrame, levels: np.ndarray, size: int, percent: int) -> Da
                 ns.append(n)
                 sigs.append(int(mix(mix(own).sum(keepdims=True) + np.uint64(n)).view(np.int64)[0]))
                 gids.append(int(mix(mix(head).sum(keepdims=True) * np.uint64(3) + np.uint64(n)).view(np.int64)[0]))
-                parities.append(parity(own))
+                wholes.append(parity(own, parity_words(n)))
                 prefixes.append(head)
             at = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             flat = np.concatenate([*prefixes, np.zeros(0, np.uint64)]).view(np.int64)
-            arrays = [batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(sigs, pa.int64()), pa.array(gids, pa.int64()), pa.array(parities, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_key", "n", "sig", "gid", "parity", "prefix"])
+            arrays = [batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(sigs, pa.int64()), pa.array(gids, pa.int64())]
+            folded = [np.bitwise_xor.reduce(w.reshape(-1, PARITY), axis=0) for w in wholes]
+            arrays += [pa.array(x, pa.list_(pa.int64())) for x in (folded, wholes)] + [pa.ListArray.from_arrays(pa.array(at), pa.array(flat))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_key", "n", "sig", "gid", "parity", "bits", "prefix"])
 
-    return keyed(docs).mapInArrow(run, "doc_id long, text_key long, n long, sig long, gid long, parity array<long>, prefix array<long>")
+    return keyed(docs).mapInArrow(run, "doc_id long, text_key long, n long, sig long, gid long, parity array<long>, bits array<long>, prefix array<long>")
 
 
 def prefix_shingles(nodes: DataFrame, bits: np.ndarray | None) -> DataFrame:
@@ -163,15 +191,18 @@ def whole_sets(texts: DataFrame, size: int) -> DataFrame:
 
 
 def hopeful(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that sizes and prefixes still allow.
+    """The pairs (a, b) that sizes, bitmaps and prefixes still allow.
 
+    Each member of the symmetric difference flips one bit, so it has at least as many as bits differ.
     Past the prefix that ends first in the common order nothing of the other set's prefix is left, so
     the intersection is at most what the prefixes share and the rest of one of the sets."""
-    a = nodes.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa"))
-    b = nodes.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
+    a = nodes.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"), F.col("prefix").alias("pa"))
+    b = nodes.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"), F.col("prefix").alias("pb"))
+    total = F.col("na") + F.col("nb")
     most = F.size(F.array_intersect("pa", "pb")) + F.greatest(F.col("na") - F.size("pa"), F.col("nb") - F.size("pb"))
     both = pairs.join(b, "b").join(a, "a").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    return both.filter(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
+    near = both.filter((total - differing("ba", "bb")) * (100 + percent) >= total * 2 * percent)
+    return near.filter(most * (100 + percent) >= total * percent).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -197,6 +228,63 @@ def links_of(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, size: int, per
     return links
 
 
+def close(percent: int) -> Column:
+    """Whether sizes and folded bitmaps let x and y be similar enough."""
+    differ = sum((F.bit_count(F.col("x.parity")[i].bitwiseXOR(F.col("y.parity")[i])) for i in range(1, PARITY)), F.bit_count(F.col("x.parity")[0].bitwiseXOR(F.col("y.parity")[0])))
+    both = F.col("x.n") + F.col("y.n")
+    return (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & ((both - differ) * (100 + percent) >= both * 2 * percent)
+
+
+def merged(roots: DataFrame, links: DataFrame) -> Stage:
+    """Components after ``links`` between nodes that have ``roots``: links are lifted to roots first."""
+    a, b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+    lifted = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    above = components(lifted, "jaccard")
+    moved = roots.join(above.df.withColumnRenamed("root", "top"), roots["root"] == above.df["node"], "left").select(roots["node"], F.coalesce("top", "root").alias("root"))
+    fresh = above.df.join(roots, "node", "left_anti").select("node", "root")
+    out = Stage(moved.union(fresh), "jaccard-roots")
+    above.drop()
+    return out
+
+
+def unsettled(shared: DataFrame, nodes: DataFrame, roots: DataFrame) -> tuple[Stage, Stage]:
+    """(all nodes with their root, the rows of members at shingles that hold several roots)."""
+    member = nodes.select("gid", "sig", "n", "parity").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    member = Stage(member, "jaccard-members")
+    # the roots that each group holds, which is one in nearly all cases, decide which shingles stay open
+    of_group = member.df.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    placed = shared.select("gid", "step", "at", "shingle")
+    opened = placed.join(of_group, "gid").groupBy("shingle").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo != hi").select("shingle")
+    rows = placed.join(opened, "shingle", "left_semi").join(member.df, "gid")
+    return member, Stage(rows.select("shingle", "step", "gid", "sig", "root", "n", "at", "parity"), "jaccard-open")
+
+
+def drawn(rows: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of open members with pivots of other components: for each shingle and size class the
+    member of least hash in each of PIVOTS parts, drawn anew for each shingle and ``turn``."""
+    draw = F.xxhash64("sig", "shingle", F.lit(turn))
+    part = F.pmod(F.xxhash64("sig", F.lit(turn)), F.lit(PIVOTS))
+    pivots = rows.groupBy("shingle", "step", part.alias("part")).agg(F.min_by(F.struct("sig", "root", "n", "parity"), draw).alias("p")).select("shingle", "step", "p.*")
+    met = rows.alias("x").join(pivots.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.step") == F.col("y.step")) & (F.col("x.root") != F.col("y.root")) & close(percent))
+    return met.select(F.greatest("x.sig", "y.sig").alias("a"), F.least("x.sig", "y.sig").alias("b")).distinct()
+
+
+def remaining(rows: DataFrame, member: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) across components that the filters allow: at shared shingles and inside groups."""
+
+    def across(held: DataFrame, key: str, more: Column) -> DataFrame:
+        most = held.groupBy(key, "root").agg(F.count("*").alias("m")).groupBy(key).agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1")
+        sided = held.join(most.select(key, "main"), key)
+        apart = (F.col(f"x.{key}") == F.col(f"y.{key}")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.sig") > F.col("y.sig")))
+        met = sided.filter("root != main").alias("x").join(sided.alias("y"), apart & more & close(percent))
+        return met.select(F.greatest("x.sig", "y.sig").alias("a"), F.least("x.sig", "y.sig").alias("b"))
+
+    need = F.ceil((F.col("x.n") + F.col("y.n")) * percent / F.lit(100 + percent))
+    bound = F.least("x.at", "y.at") + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    # members of different groups meet at a shingle; those of one group share the whole prefix and meet at the group
+    return across(rows, "shingle", (F.col("x.gid") != F.col("y.gid")) & (bound >= need)).union(across(member, "gid", F.lit(True))).distinct()
+
+
 def rooted(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id, root (names a component that has shingles) for every row."""
     spark = docs.sparkSession
@@ -220,42 +308,27 @@ def rooted(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFra
     stars = shared.df.join(pivots, ["shingle", "step"]).filter("sig != b").select(F.col("sig").alias("a"), "b").distinct()
     inside = grouped.filter("sig != head").select(F.col("sig").alias("a"), F.col("head").alias("b"))
     first = Stage(stars.union(inside), "jaccard-pairs")
-
     links = links_of(docs, first.df, nodes.df, size, percent)
     roots = components(links.df, "jaccard")
-
-    # members of one group across components: they share the whole prefix, so they meet at the group itself
-    member = nodes.df.select("gid", "sig", "n", "parity").join(roots.df.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    member = Stage(member, "jaccard-members")
-    split = member.df.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("gid")
-    fellows = member.df.join(split, "gid", "left_semi")
-
-    # members of different groups that share a shingle across components
-    placed = shared.df.select("gid", "n", "at", "shingle").join(member.df.drop("n"), "gid")
-    open_ = placed.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("shingle")
-    left = Stage(placed.join(open_, "shingle", "left_semi").select("shingle", "gid", "sig", "root", "n", "at", "parity"), "jaccard-open")
-    need = F.ceil((F.col("x.n") + F.col("y.n")) * percent / F.lit(100 + percent))
-    most = F.least("x.at", "y.at") + 1 + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) - 1
-    # each member of the symmetric difference flips one bit, so it has at least as many as bits differ
-    differ = sum((F.bit_count(F.col("x.parity")[i].bitwiseXOR(F.col("y.parity")[i])) for i in range(1, PARITY)), F.bit_count(F.col("x.parity")[0].bitwiseXOR(F.col("y.parity")[0])))
-    both = F.col("x.n") + F.col("y.n")
-    close = (both - differ) * (100 + percent) >= both * 2 * percent
-    apart = (F.col("x.sig") > F.col("y.sig")) & (F.col("x.root") != F.col("y.root")) & close
-    within = fellows.alias("x").join(fellows.alias("y"), (F.col("x.gid") == F.col("y.gid")) & apart)
-    across = left.df.alias("x").join(left.df.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.gid") != F.col("y.gid")) & apart & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & (most >= need))
-    pair = [F.col("x.sig").alias("a"), F.col("y.sig").alias("b")]
-    second = within.select(*pair).union(across.select(*pair)).distinct()
-    done = first.df.union(first.df.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = links_of(docs, second.join(done, ["a", "b"], "left_anti"), nodes.df, size, percent)
-    ends = roots
-    if not more.df.isEmpty():
-        ends = components(more.df.union(roots.df.select(F.col("node").alias("a"), F.col("root").alias("b"))), "jaccard")
-        roots.drop()
-    for stage in (shared, first, links, member, left, more, nodes):
+    first.drop()
+    links.drop()
+
+    for turn in range(ROUNDS + 1):
+        member, rows = unsettled(shared.df, nodes.df, roots.df)
+        release_shuffles(spark)
+        pairs = drawn(rows.df, turn, percent) if turn < ROUNDS else remaining(rows.df, member.df, percent)
+        links = links_of(docs, pairs, nodes.df, size, percent)
+        if not links.df.isEmpty():
+            then = merged(roots.df, links.df)
+            roots.drop()
+            roots = then
+        for stage in (member, rows, links):
+            stage.drop()
+    for stage in (shared, nodes):
         stage.drop()
     release_shuffles(spark)
 
-    named = found.df.join(ends.df.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    named = found.df.join(roots.df.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     least = named.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     out = named.join(least, "root", "left")
     own = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
