@@ -9,12 +9,14 @@ fixed size; a wrong estimate costs time, not results), then goes by hash.
 2. Group pairs: groups meet at shared prefix shingles. Within a shingle and size class every head is
    first compared with one pivot only, so a family of m copies costs m pairs, not m squared. Every
    member is verified against its head.
-3. Where that leaves nodes of one shingle in different components, ``ROUNDS`` more rounds compare each
-   member with up to PIVOTS others, drawn anew for each shingle and round, until families have joined.
+3. Where that leaves nodes of a shingle with more than ``CROWD`` heads in different components,
+   ``ROUNDS`` more rounds compare each member with up to PIVOTS others, drawn anew for each shingle and
+   round, until families have joined.
 4. Members: nodes of one group, or at one shingle, that are in different components even then are
    expanded into pairs. One side holds only nodes outside the component that has most nodes at the
-   shingle, so what joined before is not compared with itself. Pairs that pass the size, position and
-   bitmap filters are verified on whole sets.
+   shingle, so what joined before is not compared with itself, and a pair is made at its first common
+   shingle: not where the shingles before it are equal too, nor where too few are left behind it. Pairs
+   that pass the size and bitmap filters are verified on whole sets.
 
 Pairs inside one component are not expanded, since they can't change it. Verification counts the
 intersection of whole sets: documents link when 100 * intersection >= ``percent`` * union.
@@ -41,7 +43,8 @@ from .repeats import keyed, same_row
 
 SIZE = 5
 PERCENT = 80
-PARITY = 8  # 64-bit words of a node's folded parity bitmap, and of the least whole one
+PARITY = 8  # 64-bit words of the least whole parity bitmap; folded ones have two words
+CROWD = 8
 ROUNDS = 2
 PIVOTS = 4
 COUNTERS = 1 << 22
@@ -126,8 +129,8 @@ def differing(a: str, b: str) -> Column:
 
 
 def profiles(docs: DataFrame, levels: np.ndarray, size: int, percent: int) -> DataFrame:
-    """doc_id, text_key, n (set size), sig (of the set), gid (of prefix and size), parity (folded),
-    bits (whole parity), prefix."""
+    """doc_id, text_key, n (set size), sig (of the set), gid (of prefix and size), bits (parity), p0 and
+    p1 (folded to two words), prefix."""
     held = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,20 +150,22 @@ def profiles(docs: DataFrame, levels: np.ndarray, size: int, percent: int) -> Da
             at = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             flat = np.concatenate([*prefixes, np.zeros(0, np.uint64)]).view(np.int64)
             arrays = [batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(sigs, pa.int64()), pa.array(gids, pa.int64())]
-            folded = [np.bitwise_xor.reduce(w.reshape(-1, PARITY), axis=0) for w in wholes]
-            arrays += [pa.array(x, pa.list_(pa.int64())) for x in (folded, wholes)] + [pa.ListArray.from_arrays(pa.array(at), pa.array(flat))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_key", "n", "sig", "gid", "parity", "bits", "prefix"])
+            folded = [np.bitwise_xor.reduce(w.reshape(-1, 2), axis=0) for w in wholes]
+            arrays += [pa.array([w[k] for w in folded], pa.int64()) for k in (0, 1)]
+            arrays += [pa.array(wholes, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_key", "n", "sig", "gid", "p0", "p1", "bits", "prefix"])
 
-    return keyed(docs).mapInArrow(run, "doc_id long, text_key long, n long, sig long, gid long, parity array<long>, bits array<long>, prefix array<long>")
+    return keyed(docs).mapInArrow(run, "doc_id long, text_key long, n long, sig long, gid long, p0 long, p1 long, bits array<long>, prefix array<long>")
 
 
 def prefix_shingles(nodes: DataFrame, bits: np.ndarray | None) -> DataFrame:
-    """Without ``bits`` the prefix shingles as ``key``; with them gid, sig, n, at, shingle of those held."""
+    """Without ``bits`` the prefix shingles as ``key``; with them gid, n, at, shingle of those held, and
+    ``before``, the shingle before it in the prefix (null at the start)."""
     held = nodes.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(3)
+            lists = batch.column(2)
             flat, sizes = lists.flatten().to_numpy().view(np.uint64), np.diff(lists.offsets.to_numpy())
             if held.value is None:
                 yield key_batch(flat)
@@ -168,11 +173,12 @@ def prefix_shingles(nodes: DataFrame, bits: np.ndarray | None) -> DataFrame:
             pick = np.flatnonzero(in_bits(held.value, flat))
             row = np.repeat(np.arange(len(sizes)), sizes)[pick]
             at = pick - (np.cumsum(sizes) - sizes)[row]
+            before = pa.array(flat[pick - 1].view(np.int64), mask=at == 0)
             own = pa.array(row)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(own) for i in range(3)), pa.array(at, pa.int32()), pa.array(flat[pick].view(np.int64))], names=["gid", "sig", "n", "at", "shingle"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(own) for i in range(2)), pa.array(at, pa.int32()), pa.array(flat[pick].view(np.int64)), before], names=["gid", "n", "at", "shingle", "before"])
 
-    given = nodes.select("gid", "sig", "n", "prefix")
-    return given.mapInArrow(run, "key long" if bits is None else "gid long, sig long, n long, at int, shingle long")
+    given = nodes.select("gid", "n", "prefix")
+    return given.mapInArrow(run, "key long" if bits is None else "gid long, n long, at int, shingle long, before long")
 
 
 def whole_sets(texts: DataFrame, size: int) -> DataFrame:
@@ -191,18 +197,14 @@ def whole_sets(texts: DataFrame, size: int) -> DataFrame:
 
 
 def hopeful(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that sizes, bitmaps and prefixes still allow.
+    """The pairs (a, b) that sizes and whole bitmaps still allow.
 
-    Each member of the symmetric difference flips one bit, so it has at least as many as bits differ.
-    Past the prefix that ends first in the common order nothing of the other set's prefix is left, so
-    the intersection is at most what the prefixes share and the rest of one of the sets."""
-    a = nodes.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"), F.col("prefix").alias("pa"))
-    b = nodes.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"), F.col("prefix").alias("pb"))
+    Each member of the symmetric difference flips one bit, so it has at least as many as bits differ."""
+    a = nodes.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
+    b = nodes.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
     total = F.col("na") + F.col("nb")
-    most = F.size(F.array_intersect("pa", "pb")) + F.greatest(F.col("na") - F.size("pa"), F.col("nb") - F.size("pb"))
     both = pairs.join(b, "b").join(a, "a").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    near = both.filter((total - differing("ba", "bb")) * (100 + percent) >= total * 2 * percent)
-    return near.filter(most * (100 + percent) >= total * percent).select("a", "b")
+    return both.filter((total - differing("ba", "bb")) * (100 + percent) >= total * 2 * percent).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -228,13 +230,26 @@ def links_of(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, size: int, per
     return links
 
 
+def step_of(n: str, percent: int) -> Column:
+    """Size class: sizes of similar sets are at most one class apart."""
+    return F.floor(F.log(F.col(n).cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
+
+
 def close(percent: int) -> Column:
     """Whether sizes and folded bitmaps let x and y be similar enough."""
-    differ = sum((F.bit_count(F.col("x.parity")[i].bitwiseXOR(F.col("y.parity")[i])) for i in range(1, PARITY)), F.bit_count(F.col("x.parity")[0].bitwiseXOR(F.col("y.parity")[0])))
+    differ = F.bit_count(F.col("x.p0").bitwiseXOR(F.col("y.p0"))) + F.bit_count(F.col("x.p1").bitwiseXOR(F.col("y.p1")))
     both = F.col("x.n") + F.col("y.n")
     return (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & ((both - differ) * (100 + percent) >= both * 2 * percent)
 
 
+def first_common(percent: int) -> Column:
+    """False where the shingle can't be the first that x and y share, or where, if it is, what follows
+    can't hold enough others."""
+    need = F.ceil((F.col("x.n") + F.col("y.n")) * percent / F.lit(100 + percent))
+    left = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    return F.coalesce(F.col("x.before") != F.col("y.before"), F.lit(True)) & (left >= need)
+
+
 def merged(roots: DataFrame, links: DataFrame) -> Stage:
     """Components after ``links`` between nodes that have ``roots``: links are lifted to roots first."""
     a, b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
@@ -247,16 +262,17 @@ def merged(roots: DataFrame, links: DataFrame) -> Stage:
     return out
 
 
-def unsettled(shared: DataFrame, nodes: DataFrame, roots: DataFrame) -> tuple[Stage, Stage]:
-    """(all nodes with their root, the rows of members at shingles that hold several roots)."""
-    member = nodes.select("gid", "sig", "n", "parity").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+def unsettled(shared: DataFrame, nodes: DataFrame, roots: DataFrame, crowd: int) -> tuple[Stage, Stage]:
+    """(all nodes with their root, the rows of members at shingles that hold several roots and more than
+    ``crowd`` heads)."""
+    member = nodes.select("gid", "sig", "n", "p0", "p1").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     member = Stage(member, "jaccard-members")
     # the roots that each group holds, which is one in nearly all cases, decide which shingles stay open
     of_group = member.df.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    placed = shared.select("gid", "step", "at", "shingle")
-    opened = placed.join(of_group, "gid").groupBy("shingle").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo != hi").select("shingle")
+    placed = shared.filter(F.col("heads") > crowd).select("gid", "at", "shingle", "before")
+    opened = placed.select("gid", "shingle").join(of_group, "gid").groupBy("shingle").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo != hi").select("shingle")
     rows = placed.join(opened, "shingle", "left_semi").join(member.df, "gid")
-    return member, Stage(rows.select("shingle", "step", "gid", "sig", "root", "n", "at", "parity"), "jaccard-open")
+    return member, Stage(rows.select("shingle", "before", "sig", "root", "n", "at", "p0", "p1"), "jaccard-open")
 
 
 def drawn(rows: DataFrame, turn: int, percent: int) -> DataFrame:
@@ -264,7 +280,8 @@ def drawn(rows: DataFrame, turn: int, percent: int) -> DataFrame:
     member of least hash in each of PIVOTS parts, drawn anew for each shingle and ``turn``."""
     draw = F.xxhash64("sig", "shingle", F.lit(turn))
     part = F.pmod(F.xxhash64("sig", F.lit(turn)), F.lit(PIVOTS))
-    pivots = rows.groupBy("shingle", "step", part.alias("part")).agg(F.min_by(F.struct("sig", "root", "n", "parity"), draw).alias("p")).select("shingle", "step", "p.*")
+    rows = rows.withColumn("step", step_of("n", percent))
+    pivots = rows.groupBy("shingle", "step", part.alias("part")).agg(F.min_by(F.struct("sig", "root", "n", "p0", "p1"), draw).alias("p")).select("shingle", "step", "p.*")
     met = rows.alias("x").join(pivots.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.step") == F.col("y.step")) & (F.col("x.root") != F.col("y.root")) & close(percent))
     return met.select(F.greatest("x.sig", "y.sig").alias("a"), F.least("x.sig", "y.sig").alias("b")).distinct()
 
@@ -279,10 +296,8 @@ def remaining(rows: DataFrame, member: DataFrame, percent: int) -> DataFrame:
         met = sided.filter("root != main").alias("x").join(sided.alias("y"), apart & more & close(percent))
         return met.select(F.greatest("x.sig", "y.sig").alias("a"), F.least("x.sig", "y.sig").alias("b"))
 
-    need = F.ceil((F.col("x.n") + F.col("y.n")) * percent / F.lit(100 + percent))
-    bound = F.least("x.at", "y.at") + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
-    # members of different groups meet at a shingle; those of one group share the whole prefix and meet at the group
-    return across(rows, "shingle", (F.col("x.gid") != F.col("y.gid")) & (bound >= need)).union(across(member, "gid", F.lit(True))).distinct()
+    # members of one group share the whole prefix, which other groups needn't hold, so they meet at the group
+    return across(rows, "shingle", first_common(percent)).union(across(member, "gid", F.lit(True))).distinct()
 
 
 def rooted(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -297,15 +312,16 @@ def rooted(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFra
     grouped = nodes.df.join(heads, "gid")
 
     # group pairs: shared prefix shingles of heads; the bitmap keeps out shingles that one head has alone
-    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int").alias("step")
     bits = repeated_bits(prefix_shingles(nodes.df, None))
     release_shuffles(spark)
-    every = prefix_shingles(grouped.filter("sig = head"), bits).select("gid", "sig", "n", step, "at", "shingle")
-    again = every.groupBy("shingle").count().filter("count > 1").select("shingle")
-    shared = Stage(every.join(again, "shingle", "left_semi"), "jaccard-shared")
+    every = prefix_shingles(grouped.filter("sig = head"), bits)
+    again = every.groupBy("shingle").agg(F.count("*").alias("heads")).filter("heads > 1")
+    shared = Stage(every.join(again, "shingle"), "jaccard-shared")
     release_shuffles(spark)
-    pivots = shared.df.groupBy("shingle", "step").agg(F.min("sig").alias("b"), F.count("*").alias("m")).filter("m > 1").drop("m")
-    stars = shared.df.join(pivots, ["shingle", "step"]).filter("sig != b").select(F.col("sig").alias("a"), "b").distinct()
+    sized = shared.df.select("shingle", "gid", step_of("n", percent).alias("step"))
+    pivots = sized.groupBy("shingle", "step").agg(F.min("gid").alias("pivot"), F.count("*").alias("m")).filter("m > 1").drop("m")
+    met = sized.join(pivots, ["shingle", "step"]).filter("gid != pivot").select("gid", "pivot").distinct()
+    stars = met.join(heads.select("gid", F.col("head").alias("a")), "gid").join(heads.select(F.col("gid").alias("pivot"), F.col("head").alias("b")), "pivot").select("a", "b")
     inside = grouped.filter("sig != head").select(F.col("sig").alias("a"), F.col("head").alias("b"))
     first = Stage(stars.union(inside), "jaccard-pairs")
     links = links_of(docs, first.df, nodes.df, size, percent)
@@ -314,7 +330,7 @@ def rooted(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFra
     links.drop()
 
     for turn in range(ROUNDS + 1):
-        member, rows = unsettled(shared.df, nodes.df, roots.df)
+        member, rows = unsettled(shared.df, nodes.df, roots.df, CROWD if turn < ROUNDS else 0)
         release_shuffles(spark)
         pairs = drawn(rows.df, turn, percent) if turn < ROUNDS else remaining(rows.df, member.df, percent)
         links = links_of(docs, pairs, nodes.df, size, percent)
