@@ -4,13 +4,14 @@
    of texts; those that occur again make a bitmap of fixed size.
 2. ``scan``: reads the texts once more and writes the runs that the bitmap lets through, with one row
    of figures for each document, to the shared folder.
-3. ``narrow``: keeps runs whose leading stretch occurs again, at doubling lengths.
+3. ``narrow`` keeps runs whose leading stretch occurs again (``suffix_dedup`` ranks it by doubling instead).
 4. ``settle``: runs equal as a whole are settled at once; of those with the same leading stretch but
    different surroundings one of each kind stays open.
 5. ``open_windows``: the windows of open runs are compared one by one, by a bitmap first again.
 
-Counts are summed before they travel, and what is joined back is unique in its key, so a passage in
-a third of all documents makes one large side that Spark may split, never a group in one task.
+Counts are summed before they travel, and what is joined back is unique in its key and written first,
+so a passage in a third of all documents makes one large side that Spark may split (it can't where an
+aggregate feeds the join), never a group in one task.
 """
 
 from __future__ import annotations
@@ -75,28 +76,34 @@ def scan(docs: DataFrame, symbols_of: Symbols, shape: Shape, shares: int, figure
     return keyed(docs).mapInArrow(run, ddl)
 
 
-def narrow(runs: DataFrame, keys: list[str], then: str) -> DataFrame:
-    """Runs whose ``keys`` occur more than once; ``mixed`` where ``then`` differs among them."""
-    again = runs.groupBy(*keys).agg(F.count("*").alias("n"), F.min(then).alias("lo"), F.max(then).alias("hi"))
-    again = again.filter("n > 1").select(*keys, (F.col("lo") != F.col("hi")).alias("mixed"))
-    return runs.drop("mixed").join(again, keys)
+Ties = Callable[[DataFrame], tuple[DataFrame, list[Stage]]]
 
 
-def settle(runs: DataFrame, earlier: bool) -> DataFrame:
+def narrow(runs: DataFrame) -> tuple[DataFrame, list[Stage]]:
+    """Runs whose ``key0`` occurs more than once, as ``tie``; ``mixed`` where their whole stretch differs.
+    And the tables to drop once the runs are written."""
+    again = runs.groupBy("key0").agg(F.count("*").alias("n"), F.min("e1").alias("lo"), F.max("e1").alias("hi"))
+    again = Stage(again.filter("n > 1").select("key0", (F.col("lo") != F.col("hi")).alias("mixed")), "repeats-ties")
+    return runs.join(again.df, "key0").withColumnRenamed("key0", "tie"), [again]
+
+
+def settle(runs: DataFrame, earlier: bool) -> tuple[DataFrame, list[Stage]]:
     """``whole``: all windows of the run repeat; ``open``: its windows must be looked at one by one.
 
     ``earlier``: a window counts as repeated only if it also starts before, by (doc_id, position).
+    And the tables to drop once the runs are written.
     """
     kinds = runs.groupBy("e1", "e2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos", "text_key")).alias("first"))
-    found = runs.join(kinds, ["e1", "e2"])
-    leads = F.struct("doc_id", "pos", "text_key") == F.col("first")
+    kinds = Stage(kinds.filter("n > 1").select("e1", "e2", "n", F.col("first.doc_id").alias("d"), F.col("first.pos").alias("p"), F.col("first.text_key").alias("k")), "repeats-kinds")
+    found = runs.join(kinds.df, ["e1", "e2"], "left")
+    leads = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("pos") == F.col("p")) & (F.col("text_key") == F.col("k"))
     if earlier:
-        whole = F.struct("doc_id", "pos") > F.struct("first.doc_id", "first.pos")
+        whole = F.col("n").isNotNull() & (F.struct("doc_id", "pos") > F.struct("d", "p"))
         opened = F.col("mixed") & ~whole
     else:
-        whole = F.col("n") > 1
+        whole = F.col("n").isNotNull()
         opened = F.col("mixed") & (leads | ~whole)
-    return found.select(*KEY, "pos", "windows", whole.alias("whole"), opened.alias("open")).filter("whole or open")
+    return found.select(*KEY, "pos", "windows", whole.alias("whole"), opened.alias("open")).filter("whole or open"), [kinds]
 
 
 def open_windows(touched: DataFrame, symbols_of: Symbols, length: int, bits: np.ndarray | None) -> DataFrame:
@@ -170,19 +177,25 @@ def apply_cuts(touched: DataFrame, singles: DataFrame, cut: Callable[[bytes, lis
     return joined.mapInArrow(run, ddl)
 
 
-def find(docs: DataFrame, label: str, symbols_of: Symbols, shape: Shape, shares: int, earlier: bool, figures: Callable[[bytes], tuple[int, str]]) -> tuple[DataFrame, Stage, DataFrame]:
+def find(
+    docs: DataFrame, label: str, symbols_of: Symbols, shape: Shape, shares: int, earlier: bool, figures: Callable[[bytes], tuple[int, str]], ties: Ties = narrow
+) -> tuple[DataFrame, Stage, DataFrame]:
     """(figures of every document, touched documents with their runs, starts of single windows)."""
     spark = docs.sparkSession
     bits = repeated_bits(run_keys(docs, symbols_of, shape, shares))
     release_shuffles(spark)
     scanned = Stage(scan(docs, symbols_of, shape, shares, figures, bits), f"{label}-runs")
     runs = scanned.df.filter("pos is not null").drop("size", "sha")
-    keys = [f"key{i}" for i in range(shares)]
-    for i in range(shares):
-        runs = narrow(runs, keys[: i + 1], keys[i + 1] if i + 1 < shares else "e1")
-    settled = Stage(settle(runs, earlier), f"{label}-settled")
     all_docs = Stage(scanned.df.filter("pos is null").select(*KEY, "size", "sha"), f"{label}-documents")
-    scanned.drop()
+    tied, done = ties(runs)
+    tied = Stage(tied.select(*KEY, "pos", "windows", "e1", "e2", "mixed"), f"{label}-tied")
+    for stage in (scanned, *done):
+        stage.drop()
+    release_shuffles(spark)
+    settled, done = settle(tied.df, earlier)
+    settled = Stage(settled, f"{label}-settled")
+    for stage in (tied, *done):
+        stage.drop()
     release_shuffles(spark)
     per = settled.df.groupBy(*KEY).agg(F.collect_list(F.struct("pos", "windows", "whole", "open")).alias("runs"))
     given, per = keyed(docs), per.hint("shuffle_hash")
