@@ -1,19 +1,20 @@
 """LM scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class).
+P(word | history) = P(group | history) * P(class | group, history) * P(word | class).
 
 Classes: the most frequent words and the end are classes of their own; all other words, known or
-not, are classed by their spelling (last bytes), so any word has a class. P(class | history) is a
-softmax whose scores add up hashed features of the history: the last word, the last two, and the
-words two and three back alone (skips). P(word | class) is the maximum-entropy solution for
-indicator features of words in a class, which is their relative frequency, smoothed by one with one
-place for unknown words as in the base.
+not, are classed by their spelling (last bytes), so any word has a class. Classes lie in GROUPS groups
+of WIDTH. Both P(group | history) and P(class | group, history) are softmaxes of WIDTH scores that add
+up hashed features of the history: the last word, the last two, and the words two and three back alone
+(skips). So a token costs two short softmaxes instead of one over all classes. P(word | class) is the
+maximum-entropy solution for indicator features of words in a class, which is their relative
+frequency, smoothed by one with one place for unknown words as in the base.
 
 Counts cover all training documents. Gradient updates are distributed: every block of documents
 starts from the current weights, takes steps on its own training events, and the blocks' weights are
 averaged row by row, weighted by how often each block saw the row, in a tree of partial sums. Round r
 of ``rounds`` takes each ``rounds``-th token from the r-th on, so that together they take every token
-of every training document once. Weights are BUCKETS x CLASSES, whatever the input.
+of every training document once. Weights are BUCKETS x (GROUPS + 1) x WIDTH, whatever the input.
 
 Word counts grow with the input and are never gathered in one place: documents stay in blocks, every
 block asks for its distinct words only, and what comes back to it are the counts of words that other
@@ -26,7 +27,7 @@ counts as empty text for the fold. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,9 +38,10 @@ from pyspark.sql import functions as F
 
 from .common import Stage, Words, buffers, fold, mix, release_shuffles, spans, text_bytes
 
-OWN_CLASSES = 63  # words; the end comes next
-SPELLED = 64
-CLASSES = OWN_CLASSES + 1 + SPELLED
+WIDTH = GROUPS = 16
+CLASSES = GROUPS * WIDTH
+OWN_CLASSES = 127  # words; the end comes next
+SPELLED = CLASSES - OWN_CLASSES - 1
 END_CLASS = OWN_CLASSES
 BUCKETS = 1 << 13
 FEATURES = 4
@@ -92,24 +94,52 @@ def events_of(data: np.ndarray, offsets: np.ndarray, own: dict[str, np.ndarray],
     return Events(row, word, klass[pick], buckets, first)
 
 
-def _scores(table: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
-    s = table[features[0]]
-    for f in features[1:]:
-        s += table[f]
-    s += bias
+def rows_of(features: np.ndarray, klass: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two softmaxes for each token, first those of all groups, then those of all classes in them: rows of
+    the weights (FEATURES x 2 tokens), rows of the bias, and which of WIDTH scores is right."""
+    first = features.astype(np.int32) * (GROUPS + 1)
+    group, inner = klass // WIDTH, klass % WIDTH
+    return np.concatenate([first, first + 1 + group], axis=1), np.concatenate([np.zeros_like(group), 1 + group]), np.concatenate([group, inner])
+
+
+def _scores(table: np.ndarray, bias: np.ndarray, rows: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Scores less the largest of each softmax."""
+    s = table[rows[0]]
+    for r in rows[1:]:
+        s += table[r]
+    s += bias[own]
+    s -= s.max(axis=1, keepdims=True)
     return s
 
 
-def train_block(table: np.ndarray, bias: np.ndarray, seen: np.ndarray, features: np.ndarray, klass: np.ndarray, rate: float = 0.25, batch: int = 1024) -> None:
+def log_class(table: np.ndarray, bias: np.ndarray, features: np.ndarray, klass: np.ndarray, batch: int = 2048) -> np.ndarray:
+    """log P(class | history) of each token."""
+    out = np.empty(len(klass))
+    for i in range(0, len(klass), batch):
+        rows, own, y = rows_of(features[:, i : i + batch], klass[i : i + batch])
+        s = _scores(table, bias, rows, own)
+        right = s[np.arange(len(y)), y]
+        np.exp(s, out=s)
+        logp, n = right - np.log(s.sum(axis=1)), len(y) // 2
+        out[i : i + n] = logp[:n] + logp[n:]
+    return out
+
+
+def bias_of(n_class: np.ndarray) -> np.ndarray:
+    """Log frequencies of groups, then of each group's classes."""
+    n = (n_class + 0.5).reshape(GROUPS, WIDTH)
+    return np.log(np.concatenate([(n.sum(axis=1) / n.sum())[None], n / n.sum(axis=1, keepdims=True)])).astype(np.float32)
+
+
+def train_block(table: np.ndarray, bias: np.ndarray, seen: np.ndarray, features: np.ndarray, klass: np.ndarray, rate: float = 0.1, batch: int = 1024) -> None:
     """Gradient steps in place; ``seen`` counts how often each row was used."""
     for i in range(0, len(klass), batch):
-        f, y = features[:, i : i + batch], klass[i : i + batch]
-        p = _scores(table, bias, f)
-        p -= p.max(axis=1, keepdims=True)
+        rows, own, y = rows_of(features[:, i : i + batch], klass[i : i + batch])
+        p = _scores(table, bias, rows, own)
         np.exp(p, out=p)
         p /= p.sum(axis=1, keepdims=True)
         p[np.arange(len(y)), y] -= 1
-        flat = f.ravel()
+        flat = rows.ravel()
         order = np.argsort(flat, kind="stable")
         placed = flat[order]
         at = np.flatnonzero(np.append(True, placed[1:] != placed[:-1]))
@@ -159,26 +189,48 @@ def _asks(blocks: DataFrame) -> DataFrame:
     return blocks.select("block", "held_out", "text").mapInArrow(run, "block long, word long, klass int, n long")
 
 
+def _sent(n: np.ndarray, moved: np.ndarray) -> bytes:
+    """How often rows were used and how far they moved, the latter in half precision."""
+    return n.astype(np.float32).tobytes() + moved.astype(np.float16).tobytes()
+
+
+def _weighted(body: bytes) -> np.ndarray:
+    """n and n x moved."""
+    rows = len(body) // (4 + 2 * WIDTH)
+    n = np.frombuffer(body, np.float32, rows)
+    moved = np.frombuffer(body, np.float16, rows * WIDTH, 4 * rows).reshape(rows, WIDTH)
+    return np.concatenate([n, (n[:, None] * moved).ravel()])
+
+
 def _summed(parts: DataFrame, count: int) -> DataFrame:
     """Adds up ``count`` partial sums for each range, 32 at a time."""
 
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(b, np.float32) for b in table["body"].to_pylist())
-        return pa.table({"range": table["range"][:1], "part": pa.array([table["part"][0].as_py()], pa.int64()), "body": pa.array([total.tobytes()], pa.binary())})
+    def adder(read: Callable[[bytes], np.ndarray]) -> Callable[[pa.Table], pa.Table]:
+        def add(table: pa.Table) -> pa.Table:
+            total = sum(read(b) for b in table["body"].to_pylist())
+            return pa.table({"range": table["range"][:1], "part": pa.array([table["part"][0].as_py()], pa.int64()), "body": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
+        return add
+
+    read = _weighted
     while True:
         parts = parts.withColumn("part", F.floor(F.col("part") / 32))
-        parts = parts.groupBy("range", "part").applyInArrow(add, "range int, part long, body binary")
-        count = -(-count // 32)
+        parts = parts.groupBy("range", "part").applyInArrow(adder(read), "range int, part long, body binary")
+        count, read = -(-count // 32), _plain
         if count <= 1:
             return parts
 
 
+def _plain(body: bytes) -> np.ndarray:
+    return np.frombuffer(body, np.float32)
+
+
 def _round(blocks: DataFrame, table: np.ndarray, bias: np.ndarray, own: dict[str, np.ndarray], stride: int, phase: int, tasks: int) -> np.ndarray:
     held = blocks.sparkSession.sparkContext.broadcast((table, bias, own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, b, mine = held.value
+        start = start.reshape(-1, WIDTH)
         now, seen = start.copy(), np.zeros(len(start), np.int64)
         for batch in batches:
             learn = np.flatnonzero(~batch.column(0).to_numpy(zero_copy_only=False))
@@ -190,17 +242,17 @@ def _round(blocks: DataFrame, table: np.ndarray, bias: np.ndarray, own: dict[str
         width = len(start) // RANGES
         for r in range(RANGES):
             cut = slice(r * width, (r + 1) * width)
-            n = seen[cut].astype(np.float32)
-            body = np.concatenate([n, (n[:, None] * (now[cut] - start[cut])).ravel()]).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([part], pa.int64()), pa.array([body.tobytes()], pa.binary())], names=["range", "part", "body"])
+            body = _sent(seen[cut], now[cut] - start[cut])
+            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([part], pa.int64()), pa.array([body], pa.binary())], names=["range", "part", "body"])
 
     parts = blocks.select("held_out", "text").mapInArrow(run, "range int, part long, body binary")
-    out, width = table.copy(), len(table) // RANGES
+    out = table.reshape(-1, WIDTH).copy()
+    width = len(out) // RANGES
     for r, _, body in _summed(parts, tasks).collect():  # RANGES rows of fixed size
         x = np.frombuffer(bytes(body), np.float32)
         n, s = x[:width], x[width:].reshape(width, -1)
         out[r * width : (r + 1) * width] += s / np.maximum(n, 1)[:, None]
-    return out
+    return out.reshape(table.shape)
 
 
 def score(docs: DataFrame, modulus: int = 7, held_out: int = 2, rounds: int = 2) -> DataFrame:
@@ -225,8 +277,8 @@ def score(docs: DataFrame, modulus: int = 7, held_out: int = 2, rounds: int = 2)
         n_class[i] = r[1]
     n_class[END_CLASS] = ends
     total, distinct = int(n_class.sum()), int(v_class.sum()) + len(top) + (1 if ends else 0)
-    bias = np.log((n_class + 0.5) / (n_class + 0.5).sum()).astype(np.float32)
-    table = np.zeros((BUCKETS, CLASSES), np.float32)
+    bias = bias_of(n_class)
+    table = np.zeros((BUCKETS, (GROUPS + 1) * WIDTH), np.float32)
     tasks = blocks.df.rdd.getNumPartitions()
     if ends:
         for r in range(rounds):
@@ -259,14 +311,7 @@ def score(docs: DataFrame, modulus: int = 7, held_out: int = 2, rounds: int = 2)
             own_c, rows = c[at : at + len(e.word)], slice(i, i + len(e.first) - 1)
             at += len(e.word)
             base = np.log10((own_c + 1) / (whole + v + 1))
-            logp = np.empty(len(e.word))
-            for k in range(0, len(e.word), 1024):
-                s = _scores(t, b, e.features[:, k : k + 1024])
-                s -= s.max(axis=1, keepdims=True)
-                y = e.klass[k : k + 1024]
-                own = s[np.arange(len(y)), y]
-                np.exp(s, out=s)
-                logp[k : k + 1024] = own - np.log(s.sum(axis=1))
+            logp = log_class(t.reshape(-1, WIDTH), b, e.features, e.klass)
             spelled = e.klass > END_CLASS
             inner = np.where(spelled, np.log10((own_c + 1) / (nk[e.klass] + vk[e.klass] + 1)), 0.0)
             out[0][rows] = np.diff(e.first)
