@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # Words, patterns and classes that results depend on.
+FONT_MARK = r"(?s)字体白名单\s*[:：]\s*(.+)"
 STOP_TERMS = ["什么", "哪些", "怎么", "如何", "为什么", "论文", "这篇", "作者"]
 SECTION_ROLES = [
     ("abstract", ["abstract", "摘要"]),
@@ -52,8 +53,14 @@ def _nfkd_key(s: pd.Series) -> pd.Series:
 
 
 def nfkc(text: Column) -> Column:
-    """NFKC. ASCII text is its own NFKC, so only other rows matter to the Python worker's result."""
-    return F.when(text.rlike(r"[^\x00-\x7F]"), _nfkc(text)).otherwise(text)
+    """NFKC. ASCII text is its own NFKC; only other texts travel to the Python worker."""
+    return F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+
+
+def letters_key(text: Column) -> Column:
+    """Word characters alone, case-folded, of the NFKC form; empty for null."""
+    bare = F.regexp_replace(nfkc(F.coalesce(text, F.lit(""))), r"(?U)[^\w]+", "")
+    return F.lower(F.upper(bare))
 
 
 def sort_key(name: Column) -> Column:
@@ -218,3 +225,26 @@ def citation_counts(text: Column) -> dict[str, Column]:
         "author_year_citations": F.regexp_count(text, F.lit(r"\([A-Z][A-Za-z]+(?: et al\.)?,? \d{4}\)")),
         "urls": F.regexp_count(text, F.lit(r"https?://\S+")),
     }
+
+
+def node_text(own: Column, lines: Column) -> Column:
+    """A layout node's own text, else the contents of its lines' spans in order; white space made single."""
+    spans = F.flatten(F.transform(lines, lambda x: F.transform(x["spans"], lambda s: s["content"])))
+    text = F.when(F.trim(F.coalesce(own, F.lit(""))) != "", own).otherwise(F.array_join(F.coalesce(spans, F.array().cast("array<string>")), " "))
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def font_whitelist(rule: Column) -> Column:
+    """Font names that a rule lists after FONT_MARK, a line each, up to the first line that is none."""
+    listed = F.regexp_extract(rule, FONT_MARK, 1)
+    lines = F.filter(F.transform(F.split(listed, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    stop = F.array_position(F.transform(lines, lambda x: x.rlike(r"^[A-Za-z0-9._-]+$")), F.lit(False))
+    return F.when(stop == 0, lines).otherwise(F.slice(lines, F.lit(1), F.greatest(stop - 1, F.lit(0)).cast("int")))
+
+
+def uuid5(namespace_hex: str, name: Column) -> Column:
+    """The name-based UUID (version 5) of a text."""
+    s = F.sha1(F.concat(F.unhex(F.lit(namespace_hex)), F.encode(name, "UTF-8")))
+    variant = F.substr(F.lit("89ab"), F.conv(F.substr(s, F.lit(17), F.lit(1)), 16, 10).cast("int") % 4 + 1, F.lit(1))
+    cut = lambda a, n: F.substr(s, F.lit(a), F.lit(n))
+    return F.concat(cut(1, 8), F.lit("-"), cut(9, 4), F.lit("-5"), cut(14, 3), F.lit("-"), variant, cut(18, 3), F.lit("-"), cut(21, 12))

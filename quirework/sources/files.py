@@ -43,3 +43,11 @@ def response_chunks(payloads: DataFrame, body: str) -> DataFrame:
     kind = "array<struct<id:string,content:string,similarity:double>>"
     at = lambda p: F.from_json(F.get_json_object(body, p), kind)
     return payloads.withColumn("chunk", F.explode_outer(F.coalesce(at("$.data.chunks"), at("$.data.reference.chunks"))))
+
+
+def run_counts(paths: DataFrame, root: str) -> DataFrame:
+    """run, file_count: the folders right below ``root`` and the files in each at any depth; files that
+    lie in ``root`` itself belong to none. ``paths``: path, as ``binaryFile`` lists them."""
+    below = F.split(F.substr("path", F.lit(len(root.rstrip("/")) + 2)), "/")
+    inside = paths.filter(F.startswith("path", F.lit(root.rstrip("/") + "/"))).select(below.alias("parts")).filter(F.size("parts") > 1)
+    return inside.groupBy(F.element_at("parts", 1).alias("run")).agg(F.count("*").alias("file_count"))
