@@ -36,11 +36,12 @@ QUERIES = 2048
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, v (array<double>) of the rows that take part."""
+    """vec_id, v (array<double>) of the rows that take part. Where an id repeats its least vector counts, and
+    only vectors of the commonest length do, as cosines of others with them aren't defined."""
     v = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
     inf = F.lit(float("inf"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < inf))
-    v = v.filter(fine & F.exists("v", lambda x: x != 0)).dropDuplicates(["vec_id"])
+    v = v.filter(fine & F.exists("v", lambda x: x != 0)).groupBy("vec_id").agg(F.min("v").alias("v"))
     size = v.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     return v.filter(F.size("v") == (size[0] if size else 0))
 

@@ -7,6 +7,7 @@ Texts travel to Python as UTF-8 bytes. A word is a run of bytes outside 0x20 and
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -48,10 +49,13 @@ def text_key(name: str = "text") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
+    """The folder that all executors share. Where the session names none, a temporary one if Spark runs in
+    this process alone, else an error: executors elsewhere could not read what others wrote."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     own = conf or spark.conf.get("spark.checkpoint.dir", None)
     if not own:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         own = f"file://{tempfile.mkdtemp(prefix='quirework-')}"
         spark.conf.set("spark.checkpoint.dir", own)
         atexit.register(_remove, spark, own)

@@ -93,6 +93,13 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def _below(least: float) -> float:
+    """The rejection threshold: a margin of 1 in log odds below what calibration rows reached (at most
+    0.99), as few rows don't show the least that right ones get."""
+    p = min(max(least, 1e-6), 0.99)
+    return 1 / (1 + np.e * (1 - p) / p)
+
+
 def fit_rows(rows: list[tuple[str, bytes, bytes]], epochs: int = 4, batch: int = 32, rate: float = 0.5, reject: float = 0.001, seed: int = 7) -> Model:
     """Trains on counted rows; ``reject``: largest share of right calibration rows to reject."""
     labels = sorted({r[0] for r in rows})
@@ -142,7 +149,7 @@ def fit_rows(rows: list[tuple[str, bytes, bytes]], epochs: int = 4, batch: int =
     p = _softmax(raw / t)
     right = p.argmax(axis=1) == y[held]
     least = float(np.quantile(p.max(axis=1)[right], reject, method="lower")) if right.any() else 0.0
-    return Model(labels, (emb @ out).astype(np.float32), bias.astype(np.float64), t, min(1.2 / len(labels), least))  # little better than chance at most
+    return Model(labels, (emb @ out).astype(np.float32), bias.astype(np.float64), t, _below(least))
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, **options: float) -> Model:

@@ -6,8 +6,9 @@ documents and hardly in others (contexts, not documents, so that copies of one t
 toxic documents tokens with a suspect word or stem are tagged 1, all else is tagged 0.
 
 The field has two states. A token's score adds hashed features of itself (word, stems, last three
-bytes) and of its neighbours; transitions and the start have weights of their own. It is fitted on
-windows of tokens of a bounded labelled sample by gradient steps on the exact likelihood.
+bytes) and of its neighbours; transitions and the start have weights of their own. It is fitted on the
+whole texts of a bounded part of the labelled sample (``FIT_TEXTS``) by gradient steps on the exact
+likelihood: marginals of single tokens and of neighbouring pairs both come from the recursions.
 
 Scoring runs forward and backward over whole texts: with two states both recursions are chains of
 fractional linear maps, which compose as 2 x 2 matrices, so a block is cut into columns that advance
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import Words, buffers, mix, spans, text_bytes
 
 BUCKETS = 1 << 15
-WINDOW = 16
+FIT_TEXTS = 1500  # labelled texts that the field's weights are fitted on; words are mined from all
 STEMS = (3, 4, 5, 6, 7)  # bytes
 FEATURES = ("word", *(f"first {k} bytes" for k in STEMS), "last 3 bytes")
 SUSPECTS = 5000  # most suspect words and stems kept
@@ -94,9 +95,27 @@ def emissions(field: Field, data: np.ndarray, words: Words) -> np.ndarray:
 
 def marginals(u: np.ndarray, fresh: np.ndarray, start: float, moves: np.ndarray, depth: int = 64) -> np.ndarray:
     """P(state 1) of each token; ``fresh`` marks the first token of each text."""
+    forward, backward = odds(u, fresh, start, moves, depth)
+    both = forward * backward
+    return both / (1 + both)
+
+
+def transitions(u: np.ndarray, fresh: np.ndarray, start: float, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """P(state 1) of each token, and how many moves from a to b all texts are expected to hold (2 x 2)."""
+    forward, backward = odds(u, fresh, start, moves)
+    both = forward * backward
+    inner = np.flatnonzero(~fresh[1:])
+    t = np.exp(np.asarray(moves, float))
+    came, goes = forward[inner], np.exp(np.clip(u, -40, 40))[inner + 1] * backward[inner + 1]
+    pairs = np.stack([np.full(len(inner), t[0, 0]), t[0, 1] * goes, t[1, 0] * came, t[1, 1] * came * goes])
+    return both / (1 + both), (pairs / pairs.sum(axis=0)).sum(axis=1).reshape(2, 2)
+
+
+def odds(u: np.ndarray, fresh: np.ndarray, start: float, moves: np.ndarray, depth: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Odds of state 1 given the tokens up to each (it included), and those that the tokens after it give."""
     n = len(u)
     if not n:
-        return u
+        return u, u
     columns = -(-n // depth)
     e = np.exp(np.clip(u, -40, 40))
     t00, t01, t10, t11 = np.exp(np.asarray(moves, float)).ravel()
@@ -133,8 +152,7 @@ def marginals(u: np.ndarray, fresh: np.ndarray, start: float, moves: np.ndarray,
 
     forward = chain(fa, fb, fc, fd, range(depth), range(columns))
     backward = chain(ba, bb, bc, bd, range(depth - 1, -1, -1), range(columns - 1, -1, -1))
-    odds = (forward * backward).T.ravel()[:n]
-    return odds / (1 + odds)
+    return forward.T.ravel()[:n], backward.T.ravel()[:n]
 
 
 def _contexts(texts: DataFrame, among: np.ndarray | None) -> DataFrame:
@@ -174,9 +192,8 @@ def suspects(sample: DataFrame, least: int = 6, ratio: float = 20.0) -> list[int
     return sorted((h for h, o in odds.items() if o >= ratio), key=lambda h: (-odds[h], h))[:SUSPECTS]
 
 
-def windows(sample: DataFrame, words: list[int], per_text: int = 4) -> DataFrame:
-    """Windows of WINDOW tokens as packed feature buckets with tags: up to
-    ``per_text`` around tagged tokens and as many evenly spread ones of each text."""
+def tagged(sample: DataFrame, words: list[int]) -> DataFrame:
+    """Packed feature buckets and tags of all tokens of each text that has some."""
     held = sample.sparkSession.sparkContext.broadcast(np.array(sorted(words), np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,18 +203,9 @@ def windows(sample: DataFrame, words: list[int], per_text: int = 4) -> DataFrame
             for i, toxic in enumerate(label):
                 own = data[offsets[i] : offsets[i + 1]]
                 w = tokens_of(own, np.array([0, len(own)]))
-                n = len(w.hash)
-                if not n:
-                    continue
-                feats = np.stack(own_features(own, w)).astype("<i4")
-                tags = np.any([live & np.isin(h.view(np.int64), held.value) for h, live in _hashes(own, w)[:-1]], axis=0) & (toxic == 1)
-                hits = np.flatnonzero(tags)
-                picks = [*hits[:: max(1, len(hits) // per_text)][:per_text], *np.linspace(0, n - 1, per_text).astype(int)]
-                for at in sorted({int(min(max(0, p - WINDOW // 2), max(0, n - WINDOW))) for p in picks}):
-                    f, t = np.full((len(FEATURES), WINDOW), -1, "<i4"), np.zeros(WINDOW, np.uint8)
-                    m = min(WINDOW, n - at)
-                    f[:, :m], t[:m] = feats[:, at : at + m], tags[at : at + m]
-                    out.append((f.tobytes(), t.tobytes()))
+                if len(w.hash):
+                    tags = np.any([live & np.isin(h.view(np.int64), held.value) for h, live in _hashes(own, w)[:-1]], axis=0) & (toxic == 1)
+                    out.append((np.stack(own_features(own, w)).astype("<u2").tobytes(), tags.astype(np.uint8).tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], names=["features", "tags"])
 
@@ -205,46 +213,35 @@ def windows(sample: DataFrame, words: list[int], per_text: int = 4) -> DataFrame
 
 
 def fit_field(rows: list[tuple[bytes, bytes]], rounds: int = 80, rate: float = 0.5, decay: float = 1e-4) -> Field:
-    """Maximum likelihood by AdaGrad on all windows at once."""
-    f = np.stack([np.frombuffer(r[0], "<i4").reshape(len(FEATURES), WINDOW) for r in rows]).transpose(1, 0, 2).astype(np.int64)
-    y = np.stack([np.frombuffer(r[1], np.uint8) for r in rows]).astype(float)
-    live = f[0] >= 0
-    f[f < 0] = BUCKETS  # a dead bucket
-    own, before, after = np.zeros((len(FEATURES), BUCKETS + 1)), np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
+    """Maximum likelihood by AdaGrad on all texts at once."""
+    f = np.concatenate([np.frombuffer(r[0], "<u2").reshape(len(FEATURES), -1) for r in rows], axis=1)
+    y = np.concatenate([np.frombuffer(r[1], np.uint8) for r in rows])
+    n = len(y)
+    fresh = np.zeros(n, bool)
+    fresh[np.cumsum([0, *(len(r[1]) for r in rows[:-1])])] = True
+    joined = ~fresh[1:]  # whether a token and the next are of one text
+    seen = np.array([[(joined & (y[:-1] == a) & (y[1:] == b)).sum() for b in (0, 1)] for a in (0, 1)], float)
+    own, before, after = np.zeros((len(FEATURES), BUCKETS)), np.zeros(BUCKETS), np.zeros(BUCKETS)
     small = np.zeros(6)  # bias, start, moves
     small[0] = -4.0
     sums = {k: np.full(v.shape, 1e-8) for k, v in (("own", own), ("before", before), ("after", after), ("small", small))}
-    n, fresh = live.sum(), np.zeros(y.shape, bool)
-    fresh[:, 0] = True
-    fresh |= ~live
-    flat_fresh = fresh.ravel()
     for _ in range(rounds):
-        u = sum(own[i][f[i]] for i in range(len(FEATURES))) + small[0]
-        u[:, 1:] += before[f[0][:, :-1]]
-        u[:, :-1] += after[f[0][:, 1:]]
-        moves = small[2:].reshape(2, 2)
-        p = marginals(u.ravel(), flat_fresh, small[1], moves).reshape(y.shape)
-        g = np.where(live, y - p, 0)
-        go = np.stack([np.bincount(f[i].ravel(), g.ravel(), BUCKETS + 1) for i in range(len(FEATURES))])
-        gb = np.bincount(f[0][:, :-1].ravel(), g[:, 1:].ravel(), BUCKETS + 1)
-        ga = np.bincount(f[0][:, 1:].ravel(), g[:, :-1].ravel(), BUCKETS + 1)
-        both = live[:, 1:] & live[:, :-1]
-        gs = np.zeros(6)
-        gs[0], gs[1] = g.sum(), g[:, 0].sum()
-        # expected transitions from neighbouring marginals; exact where states are nearly independent
-        for a in (0, 1):
-            for b in (0, 1):
-                seen = ((y[:, :-1] == a) & (y[:, 1:] == b) & both).sum()
-                pa_ = p[:, :-1] if a else 1 - p[:, :-1]
-                pb = p[:, 1:] if b else 1 - p[:, 1:]
-                gs[2 + 2 * a + b] = seen - (pa_ * pb * both).sum()
+        u = np.full(n, small[0])
+        for i in range(len(FEATURES)):
+            u += own[i][f[i]]
+        u[1:] += np.where(joined, before[f[0][:-1]], 0)
+        u[:-1] += np.where(joined, after[f[0][1:]], 0)
+        p, moved = transitions(u, fresh, small[1], small[2:].reshape(2, 2))
+        g = y - p
+        go = np.stack([np.bincount(f[i], g, BUCKETS) for i in range(len(FEATURES))])
+        gb = np.bincount(f[0][:-1], np.where(joined, g[1:], 0), BUCKETS)
+        ga = np.bincount(f[0][1:], np.where(joined, g[:-1], 0), BUCKETS)
+        gs = np.array([g.sum(), g[fresh].sum(), *(seen - moved).ravel()])
         for name, theta, grad in (("own", own, go), ("before", before, gb), ("after", after, ga), ("small", small, gs)):
             grad = grad / n * 100 - decay * theta
             sums[name] += grad**2
             theta += rate * grad / np.sqrt(sums[name])
-        for theta in (own.T, before, after):
-            theta[BUCKETS] = 0
-    return Field(own[:, :BUCKETS].copy(), before[:BUCKETS].copy(), after[:BUCKETS].copy(), float(small[0]), float(small[1]), small[2:].reshape(2, 2).copy(), np.array([-6.0, 1.0, 1.0, 0.0]))
+    return Field(own, before, after, float(small[0]), float(small[1]), small[2:].reshape(2, 2).copy(), np.array([-6.0, 1.0, 1.0, 0.0]))
 
 
 def _curve(found: np.ndarray) -> np.ndarray:
@@ -303,7 +300,8 @@ def fit(sample: DataFrame) -> Field:
     if not words:
         none = np.zeros(BUCKETS)
         return Field(np.zeros((len(FEATURES), BUCKETS)), none, none, 0.0, 0.0, np.zeros((2, 2)), np.array([-6.0, 0.0, 0.0, 0.0]), False)
-    field = fit_field(sorted((bytes(r[0]), bytes(r[1])) for r in windows(sample, words).collect()))
+    some = sample.orderBy(F.xxhash64("text", F.lit("field")), "text", "label").limit(FIT_TEXTS)
+    field = fit_field(sorted((bytes(r[0]), bytes(r[1])) for r in tagged(some, words).collect()))
     found = np.array([tuple(r) for r in tag(sample, field, [F.col("label")]).select("row.label", "largest", "total", "tokens").collect()], float)
     field.curve = _curve(found)
     return field
