@@ -32,10 +32,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, Words, buffers, mix, spans, text_bytes
+from .common import Stage, Words, buffers, mix, spans
 from .toxicity import tokens_of
 
 K1, B = 1.2, 0.75
@@ -46,6 +46,11 @@ BLOCK = 64
 MOST_BYTES = 32 << 20
 
 
+def lowered() -> Column:
+    """Lower-cased by Spark, so that letters beyond A-Z match in either case too."""
+    return F.coalesce(F.lower("text").cast("binary"), F.lit(b"")).alias("text")
+
+
 @dataclass
 class Item:
     item_id: int
@@ -227,7 +232,7 @@ def find(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overla
         found = one if found is None else found.union(one)
         part, held = [], 0
 
-    for row in items.select(F.col("item_id").cast("long"), text_bytes()).orderBy("item_id", "text").toLocalIterator():
+    for row in items.select(F.col("item_id").cast("long"), lowered()).orderBy("item_id", "text").toLocalIterator():
         if part and held + len(row[1]) > most_bytes:
             look()
         part.append((row[0], bytes(row[1])))
@@ -249,7 +254,7 @@ def _totals(items: DataFrame) -> tuple[Stage, int, float]:
                     own = np.unique(h)
                     yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.append(len(h), np.zeros(len(own) - 1, np.int64)))], names=["term", "words"])
 
-    each = items.select(text_bytes()).mapInArrow(run, "term long, words long")
+    each = items.select(lowered()).mapInArrow(run, "term long, words long")
     counts = Stage(each.groupBy("term").agg(F.count("*").alias("df"), F.sum("words").alias("words"), F.sum(F.when(F.col("words") > 0, 1).otherwise(0)).alias("items")), "bm25-terms")
     words, n = counts.df.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("items"), F.lit(0))).first()
     return counts, int(n), words / max(1, n)
@@ -278,7 +283,7 @@ def _pass(docs: DataFrame, indexes: list[Index], threshold: float, overlap: floa
 
     from .common import text_key
 
-    return docs.select(F.col("doc_id").cast("long"), text_key(), text_bytes()).mapInArrow(run, "doc_id long, text_key long, item_id long, score double, question_overlap double, answer_overlap double")
+    return docs.select(F.col("doc_id").cast("long"), text_key(), lowered()).mapInArrow(run, "doc_id long, text_key long, item_id long, score double, question_overlap double, answer_overlap double")
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, **options: float) -> DataFrame:

@@ -79,3 +79,9 @@ def test_rejection_is_calibrated(spark) -> None:  # noqa: ANN001
 
     got = {r["row"]["doc_id"]: r["rejected"] for r in langid.predict(spark.createDataFrame(strange + clean, "doc_id long, text string"), model, [F.col("doc_id")]).collect()}
     assert sum(got[i] for i, _ in strange) >= 27 and sum(got[i] for i, _ in clean) <= 1
+
+
+def test_case_beyond_ascii(spark) -> None:  # noqa: ANN001
+    item = "La éai éonleeau pour an éonqueê aivi ai. Èeuxmenten éauxouai et éè"
+    docs = spark.createDataFrame([(1, "und " * 20 + item.upper() + " tail"), (2, "und " * 20)], "doc_id long, text string")
+    assert [r.doc_id for r in decontaminate.find(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()] == [1]
