@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import nested
 from ..functions import text as X
 from ..plans import validation as V
 from ..registry import query, table
 from ..sources import files
-from .fixtures import BLOCKS, blocks
 
 ANSWERS = """answers AS (SELECT o_orderkey AS answer_id, CASE WHEN o_custkey % 3 = 0 THEN 'score' WHEN o_custkey % 3 = 1 THEN 'review' ELSE 'question' END AS route, o_orderstatus = 'P' AS refusal, o_orderkey % 5 < 3 AS scored FROM orders),
  claims AS (SELECT l_orderkey AS answer_id, l_linenumber AS claim_id, CASE WHEN l_returnflag = 'A' THEN 'negative' ELSE 'positive' END AS kind, unnest(CASE WHEN l_tax < 0.01 THEN [NULL] WHEN l_tax < 0.05 THEN [l_partkey] ELSE [l_partkey, l_partkey + 1] END) AS evidence_id FROM lineitem),
@@ -200,17 +198,3 @@ def p14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
         F.count("*").alias("facts"), F.min("l_quantity").cast("double").alias("least"), F.max("l_quantity").cast("double").alias("most"), F.array_join(F.array_sort(F.collect_set("l_returnflag")), ",").alias("fonts"),
         F.array_join(F.slice(F.array_sort(F.collect_list("l_partkey")), 1, 3).cast("array<string>"), ",").alias("examples"))
-
-
-@query("J05_nearest_anywhere", f"""WITH {BLOCKS}, b AS (SELECT doc_id, block_no, contains(content, '|') AS media FROM blocks), c AS (SELECT m.doc_id, m.block_no, p.block_no AS near, row_number() OVER (PARTITION BY m.doc_id, m.block_no ORDER BY abs(p.block_no - m.block_no), p.block_no) AS n FROM b m JOIN b p ON m.doc_id = p.doc_id AND NOT p.media WHERE m.media)
- SELECT doc_id, block_no, near, n AS rank FROM c WHERE n <= 4""")
-def j05_anywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest four paragraphs of each media block at any distance: paragraphs are numbered within the
-    document, and only the four numbers on either side are looked up."""
-    w = Window.partitionBy("doc_id").orderBy("block_no")
-    b = blocks(spark, sf_dir).select("doc_id", "block_no", F.col("content").contains("|").alias("media"))
-    b = b.withColumn("nth", F.sum(F.when(F.col("media"), 0).otherwise(1)).over(w))
-    p = b.filter(~F.col("media")).select("doc_id", "nth", F.col("block_no").alias("near"))
-    m = b.filter("media").select("doc_id", "block_no", F.explode(F.sequence(F.col("nth") - 3, F.col("nth") + 4)).alias("nth"))
-    order = Window.partitionBy("doc_id", "block_no").orderBy(F.abs(F.col("near") - F.col("block_no")), "near")
-    return m.join(p, ["doc_id", "nth"]).withColumn("rank", F.row_number().over(order)).filter("rank <= 4").select("doc_id", "block_no", "near", "rank")

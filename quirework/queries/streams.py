@@ -15,6 +15,12 @@ def e01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.bounded_log(table(spark, sf_dir, "events"), "user_id", "event_id", 20).select("user_id", "event_id")
 
 
+@query("E01_log_with_ttl", """WITH g AS (SELECT user_id, event_id, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY event_id)) > 86400000000 AS gap FROM events), k AS (SELECT *, coalesce(bool_or(coalesce(gap, false)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), false) AS gone FROM g)
+ SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM k WHERE NOT gone) WHERE n <= 2000""")
+def e01_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.bounded_log(table(spark, sf_dir, "events"), "user_id", "event_id", 2000, "ts", 86400).select("user_id", "event_id")
+
+
 @query("E02_resume", "SELECT event_id, event_type FROM events WHERE event_id > 700")
 def e02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.resume(table(spark, sf_dir, "events"), "event_id", 500, 700).select("event_id", "event_type")

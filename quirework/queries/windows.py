@@ -113,12 +113,15 @@ def p05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks(spark, sf_dir).select("doc_id", "block_no", F.md5(F.array_join(F.collect_list("content").over(w), " ")).alias("context"))
 
 
-@query("J05_nearest_paragraphs", f"""WITH {BLOCKS}, b AS (SELECT doc_id, block_no, contains(content, '|') AS media FROM blocks), c AS (SELECT m.doc_id, m.block_no, p.block_no AS near, row_number() OVER (PARTITION BY m.doc_id, m.block_no ORDER BY abs(p.block_no - m.block_no), p.block_no) AS n FROM b m JOIN b p ON m.doc_id = p.doc_id AND NOT p.media AND abs(p.block_no - m.block_no) <= 12 WHERE m.media)
+@query("J05_nearest_paragraphs", f"""WITH {BLOCKS}, b AS (SELECT doc_id, block_no, contains(content, '|') AS media FROM blocks), c AS (SELECT m.doc_id, m.block_no, p.block_no AS near, row_number() OVER (PARTITION BY m.doc_id, m.block_no ORDER BY abs(p.block_no - m.block_no), p.block_no) AS n FROM b m JOIN b p ON m.doc_id = p.doc_id AND NOT p.media WHERE m.media)
  SELECT doc_id, block_no, near, n AS rank FROM c WHERE n <= 4""")
 def j05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest four paragraphs of each media block at any distance: paragraphs are numbered within the
+    document, and only the four numbers on either side are looked up."""
+    w = Window.partitionBy("doc_id").orderBy("block_no")
     b = blocks(spark, sf_dir).select("doc_id", "block_no", F.col("content").contains("|").alias("media"))
-    p = b.filter(~F.col("media")).select("doc_id", F.col("block_no").alias("near"))
-    far = F.abs(F.col("near") - F.col("block_no"))
-    pairs = b.filter("media").join(p, "doc_id").filter(far <= 12)
-    w = Window.partitionBy("doc_id", "block_no").orderBy(far, "near")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter("rank <= 4").select("doc_id", "block_no", "near", "rank")
+    b = b.withColumn("nth", F.sum(F.when(F.col("media"), 0).otherwise(1)).over(w))
+    p = b.filter(~F.col("media")).select("doc_id", "nth", F.col("block_no").alias("near"))
+    m = b.filter("media").select("doc_id", "block_no", F.explode(F.sequence(F.col("nth") - 3, F.col("nth") + 4)).alias("nth"))
+    order = Window.partitionBy("doc_id", "block_no").orderBy(F.abs(F.col("near") - F.col("block_no")), "near")
+    return m.join(p, ["doc_id", "nth"]).withColumn("rank", F.row_number().over(order)).filter("rank <= 4").select("doc_id", "block_no", "near", "rank")

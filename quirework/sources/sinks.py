@@ -2,14 +2,31 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Replaces a table; the committer shows readers all of the job's files or none."""
-    df.write.mode("overwrite").parquet(path)
+    """Replaces a table: writes it beside the old one, then swaps the folders. A job that fails leaves the
+    old table; between the two renames of the swap a reader may find none."""
+    spark, mark = df.sparkSession, uuid.uuid4().hex
+    name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fresh, old, here = name(f"{path}.new-{mark}"), name(f"{path}.old-{mark}"), name(path)
+    files = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        df.write.parquet(fresh.toString())
+        if files.exists(here) and not files.rename(here, old):
+            raise OSError(f"{path} could not be moved aside")
+        if not files.rename(fresh, here):
+            files.rename(old, here)
+            raise OSError(f"{path} could not be replaced")
+    finally:
+        for left in (fresh, old):
+            if files.exists(here) and files.exists(left):
+                files.delete(left, True)
 
 
 def replace_versions(df: DataFrame, path: str, version: str) -> None:

@@ -14,8 +14,15 @@ OUT = "key long, event_id long, sequence long, total double, terminal boolean"
 STATE = "last long, total double, terminal boolean"
 
 
-def bounded_log(events: DataFrame, key: str, order: str, most: int) -> DataFrame:
-    """The last ``most`` events of each key."""
+def bounded_log(events: DataFrame, key: str, order: str, most: int, ts: str | None = None, ttl: int | None = None) -> DataFrame:
+    """The last ``most`` events of each key. With ``ts`` and ``ttl`` (seconds) the log is gone once that long
+    passes without an append: only what came after a key's last such gap is left."""
+    if ts and ttl:
+        w = Window.partitionBy(key).orderBy(order)
+        at = F.col(ts).cast("timestamp")
+        gap = F.unix_micros(at) - F.unix_micros(F.lag(at).over(w)) > ttl * 1_000_000
+        later = w.rowsBetween(1, Window.unboundedFollowing)
+        events = events.withColumn("_gap", gap).withColumn("_gone", F.coalesce(F.bool_or(F.coalesce("_gap", F.lit(False))).over(later), F.lit(False))).filter("NOT _gone").drop("_gap", "_gone")
     w = Window.partitionBy(key).orderBy(F.desc(order))
     return events.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).drop("_n")
 
@@ -40,13 +47,15 @@ def chunked(df: DataFrame, text: str, size: int = 240) -> DataFrame:
 
 def reduce_stream(events: DataFrame, terminal: str) -> DataFrame:
     """Streaming reducer: per key, drops events at or below the last sequence and all after a terminal
-    one. ``events``: key, event_id, sequence, value, event_type."""
+    one, in order of ``arrival`` within a batch, as the batch reducer does. ``events``: key, event_id,
+    sequence, value, event_type, arrival (falls to event_id where there is none)."""
+    by = "arrival" if "arrival" in events.columns else "event_id"
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, total, ended = state.get if state.exists else (-1, 0.0, False)
         out = []
         for frame in frames:
-            for row in frame.sort_values(["sequence", "event_id"]).itertuples():
+            for row in frame.sort_values([by, "event_id"], kind="stable").itertuples():
                 if ended or row.sequence <= last:
                     continue
                 last, total, ended = int(row.sequence), total + float(row.value), row.event_type == terminal
