@@ -59,7 +59,11 @@ STAGES: list[tuple[str, Step]] = [
     ("packing", pack),
 ]
 
-#: Models and greedy cuts are beyond SQL; tests hold each stage against a brute-force version.
+#: Models and greedy cuts are beyond SQL; tests/llm holds the operators behind the stages against brute
+#: force (near duplicates, repeated bytes, BM25 search, packing) or held-out rows (language), and runs all
+#: stages once. Null and empty texts pass repeated_bytes and decontamination as they are; language_id drops
+#: them, as they have no letter. Rows equal in all columns are copies of each other: near_duplicates keeps
+#: one. An empty table gives an empty one at each stage.
 ORACLE_SQL: str | None = None
 
 
