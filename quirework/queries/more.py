@@ -49,7 +49,10 @@ def f15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks(spark, sf_dir).join(groups, "source", "left_semi").select("doc_id", "block_no")
 
 
-@query("F19_first_match", f"WITH {BLOCKS} SELECT doc_id, block_no, CASE WHEN contains(lower(content), 'abstract') THEN 'abstract' WHEN contains(lower(content), 'introduction') THEN 'introduction' WHEN contains(lower(content), 'method') OR contains(lower(content), 'model') THEN 'method' ELSE 'body' END AS role FROM blocks WHERE NOT regexp_matches(lower(content), 'background|related work|data|experiment|implement|evaluat|result|comparison|analysis|ablation|approach|limit|future|conclu|referen|bibliog|append|supple')")
+_LADDER = " ".join(f"WHEN {' OR '.join(f"contains(lower(content), '{word}')" for word in words)} THEN '{role}'" for role, words in X.SECTION_ROLES)
+
+
+@query("F19_first_match", f"WITH {BLOCKS} SELECT doc_id, block_no, CASE {_LADDER} ELSE 'body' END AS role FROM blocks")
 def f19(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks(spark, sf_dir).select("doc_id", "block_no", X.classify_section(F.array("content")).alias("role"))
 
