@@ -82,7 +82,7 @@ def p08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", pick.alias("source"))
 
 
-@query("P11_review_facts", f"WITH {LINES}, {OBJECTS}, f AS (SELECT page, y0, line_id AS id, 'line' AS source FROM lines WHERE page < 4 UNION ALL SELECT page, y0, object_id, 'object' FROM objects WHERE page < 4) SELECT source, id, 'P' || row_number() OVER (PARTITION BY page ORDER BY y0, source, id) AS evidence_id, page FROM f")
+@query("P11_review_facts", f"WITH {LINES}, {OBJECTS}, f AS (SELECT page, y0, line_id AS id, 'line' AS source FROM lines UNION ALL SELECT page, y0, object_id, 'object' FROM objects) SELECT source, id, 'P' || row_number() OVER (PARTITION BY page ORDER BY y0, source, id) AS evidence_id, page FROM f")
 def p11(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = lines(spark, sf_dir).select("page", "y0", F.col("line_id").alias("id"), F.lit("line").alias("source"))
     f = a.unionByName(objects(spark, sf_dir).select("page", "y0", F.col("object_id").alias("id"), F.lit("object").alias("source")))

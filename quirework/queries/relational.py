@@ -140,7 +140,7 @@ def t03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.page_of(o.select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.asc("o_orderkey")], 3, 20)
 
 
-@query("T04_nulls_last", "SELECT d.doc_id, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY l.toxic DESC NULLS LAST, d.doc_id LIMIT 30")
+@query("T04_nulls_last", "SELECT d.doc_id, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY l.toxic DESC NULLS LAST, d.doc_id")
 def t04(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, lab = _t(spark, sf_dir, "documents", "labels")
     return d.select("doc_id").join(lab.select("doc_id", "toxic"), "doc_id", "left").orderBy(F.desc_nulls_last("toxic"), "doc_id")
