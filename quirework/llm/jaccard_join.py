@@ -15,8 +15,8 @@ fixed size; a wrong estimate costs time, not results), then goes by hash.
 4. Members: nodes of one group, or at one shingle, that are in different components even then are
    expanded into pairs. One side holds only nodes outside the component that has most nodes at the
    shingle, so what joined before is not compared with itself, and a pair is made at its first common
-   shingle: not where the shingles before it are equal too, nor where too few are left behind it. Pairs
-   that pass the size and bitmap filters are verified on whole sets.
+   shingle: not where one of the ``EARLIER`` shingles before it is shared too, nor where too few are left
+   behind it. Pairs that pass the size and bitmap filters are verified on whole sets.
 
 Pairs inside one component are not expanded, since they can't change it. Verification counts the
 intersection of whole sets: documents link when 100 * intersection >= ``percent`` * union.
@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Stage, Words, buffers, in_bits, key_batch, mix, random_words, release_shuffles, repeated_bits, spans, text_key
@@ -47,6 +47,7 @@ PARITY = 8  # 64-bit words of the least whole parity bitmap; folded ones have tw
 CROWD = 8
 ROUNDS = 2
 PIVOTS = 4
+EARLIER = 8
 COUNTERS = 1 << 22
 KEPT_COUNTERS = 1 << 16
 _SHIFT = np.uint64(64 - 22)
@@ -159,8 +160,7 @@ def profiles(docs: DataFrame, levels: np.ndarray, size: int, percent: int) -> Da
 
 
 def prefix_shingles(nodes: DataFrame, bits: np.ndarray | None) -> DataFrame:
-    """Without ``bits`` the prefix shingles as ``key``; with them gid, n, at, shingle of those held, and
-    ``before``, the shingle before it in the prefix (null at the start)."""
+    """Without ``bits`` the prefix shingles as ``key``; with them gid, n, at, shingle of those held."""
     held = nodes.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,12 +173,11 @@ def prefix_shingles(nodes: DataFrame, bits: np.ndarray | None) -> DataFrame:
             pick = np.flatnonzero(in_bits(held.value, flat))
             row = np.repeat(np.arange(len(sizes)), sizes)[pick]
             at = pick - (np.cumsum(sizes) - sizes)[row]
-            before = pa.array(flat[pick - 1].view(np.int64), mask=at == 0)
             own = pa.array(row)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(own) for i in range(2)), pa.array(at, pa.int32()), pa.array(flat[pick].view(np.int64)), before], names=["gid", "n", "at", "shingle", "before"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(own) for i in range(2)), pa.array(at, pa.int32()), pa.array(flat[pick].view(np.int64))], names=["gid", "n", "at", "shingle"])
 
     given = nodes.select("gid", "n", "prefix")
-    return given.mapInArrow(run, "key long" if bits is None else "gid long, n long, at int, shingle long, before long")
+    return given.mapInArrow(run, "key long" if bits is None else "gid long, n long, at int, shingle long")
 
 
 def whole_sets(texts: DataFrame, size: int) -> DataFrame:
@@ -243,11 +242,11 @@ def close(percent: int) -> Column:
 
 
 def first_common(percent: int) -> Column:
-    """False where the shingle can't be the first that x and y share, or where, if it is, what follows
-    can't hold enough others."""
+    """False where the shingle can't be the first that x and y share, as one shortly before it is shared
+    too, or where, if it is the first, what follows can't hold enough others."""
     need = F.ceil((F.col("x.n") + F.col("y.n")) * percent / F.lit(100 + percent))
     left = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
-    return F.coalesce(F.col("x.before") != F.col("y.before"), F.lit(True)) & (left >= need)
+    return ~F.arrays_overlap("x.earlier", "y.earlier") & (left >= need)
 
 
 def merged(roots: DataFrame, links: DataFrame) -> Stage:
@@ -264,15 +263,20 @@ def merged(roots: DataFrame, links: DataFrame) -> Stage:
 
 def unsettled(shared: DataFrame, nodes: DataFrame, roots: DataFrame, crowd: int) -> tuple[Stage, Stage]:
     """(all nodes with their root, the rows of members at shingles that hold several roots and more than
-    ``crowd`` heads)."""
+    ``crowd`` heads). ``earlier``: the EARLIER shingles before it of the same member among these rows; what
+    two members in different components share is among the rows of both."""
     member = nodes.select("gid", "sig", "n", "p0", "p1").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     member = Stage(member, "jaccard-members")
     # the roots that each group holds, which is one in nearly all cases, decide which shingles stay open
     of_group = member.df.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    placed = shared.filter(F.col("heads") > crowd).select("gid", "at", "shingle", "before")
+    placed = shared.filter(F.col("heads") > crowd).select("gid", "at", "shingle")
     opened = placed.select("gid", "shingle").join(of_group, "gid").groupBy("shingle").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo != hi").select("shingle")
     rows = placed.join(opened, "shingle", "left_semi").join(member.df, "gid")
-    return member, Stage(rows.select("shingle", "before", "sig", "root", "n", "at", "p0", "p1"), "jaccard-open")
+    rows = rows.select("shingle", "sig", "root", "n", "at", "p0", "p1")
+    if not crowd:
+        before = Window.partitionBy("sig").orderBy("at").rowsBetween(-EARLIER, -1)
+        rows = rows.withColumn("earlier", F.collect_list("shingle").over(before))
+    return member, Stage(rows, "jaccard-open")
 
 
 def drawn(rows: DataFrame, turn: int, percent: int) -> DataFrame:
