@@ -10,8 +10,8 @@ fixed size; a wrong estimate costs time, not results), then goes by hash.
    first compared with one pivot only, so a family of m copies costs m pairs, not m squared. Every
    member is verified against its head.
 3. Where that leaves nodes of a shingle with more than ``CROWD`` heads in different components,
-   ``ROUNDS`` more rounds compare each member with up to PIVOTS others, drawn anew for each shingle and
-   round, until families have joined.
+   ``ROUNDS`` more rounds compare each node outside the component that has most nodes at the shingle with
+   up to PIVOTS others, drawn anew for each shingle and round, until families have joined.
 4. Members: nodes of one group, or at one shingle, that are in different components even then are
    expanded into pairs. One side holds only nodes outside the component that has most nodes at the
    shingle, so what joined before is not compared with itself, and a pair is made at its first common
@@ -279,14 +279,21 @@ def unsettled(shared: DataFrame, nodes: DataFrame, roots: DataFrame, crowd: int)
     return member, Stage(rows, "jaccard-open")
 
 
+def with_main(held: DataFrame, key: str) -> DataFrame:
+    """``held`` with ``main``, the component that has most rows at the key, where there are several."""
+    most = held.groupBy(key, "root").agg(F.count("*").alias("m")).groupBy(key).agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1")
+    return held.join(most.select(key, "main"), key)
+
+
 def drawn(rows: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of open members with pivots of other components: for each shingle and size class the
-    member of least hash in each of PIVOTS parts, drawn anew for each shingle and ``turn``."""
+    """Pairs (a, b) of open members outside their shingle's main component with pivots of other components:
+    for each shingle and size class the member of least hash in each of PIVOTS parts, drawn anew for each
+    shingle and ``turn``."""
     draw = F.xxhash64("sig", "shingle", F.lit(turn))
     part = F.pmod(F.xxhash64("sig", F.lit(turn)), F.lit(PIVOTS))
     rows = rows.withColumn("step", step_of("n", percent))
     pivots = rows.groupBy("shingle", "step", part.alias("part")).agg(F.min_by(F.struct("sig", "root", "n", "p0", "p1"), draw).alias("p")).select("shingle", "step", "p.*")
-    met = rows.alias("x").join(pivots.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.step") == F.col("y.step")) & (F.col("x.root") != F.col("y.root")) & close(percent))
+    met = with_main(rows, "shingle").filter("root != main").alias("x").join(pivots.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.step") == F.col("y.step")) & (F.col("x.root") != F.col("y.root")) & close(percent))
     return met.select(F.greatest("x.sig", "y.sig").alias("a"), F.least("x.sig", "y.sig").alias("b")).distinct()
 
 
@@ -294,8 +301,7 @@ def remaining(rows: DataFrame, member: DataFrame, percent: int) -> DataFrame:
     """All pairs (a, b) across components that the filters allow: at shared shingles and inside groups."""
 
     def across(held: DataFrame, key: str, more: Column) -> DataFrame:
-        most = held.groupBy(key, "root").agg(F.count("*").alias("m")).groupBy(key).agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1")
-        sided = held.join(most.select(key, "main"), key)
+        sided = with_main(held, key)
         apart = (F.col(f"x.{key}") == F.col(f"y.{key}")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.sig") > F.col("y.sig")))
         met = sided.filter("root != main").alias("x").join(sided.alias("y"), apart & more & close(percent))
         return met.select(F.greatest("x.sig", "y.sig").alias("a"), F.least("x.sig", "y.sig").alias("b"))
