@@ -77,10 +77,10 @@ class Stage:
     ``drop()`` removes it once nothing reads it any more; what is left goes when the driver exits.
     """
 
-    def __init__(self, df: DataFrame, label: str):
+    def __init__(self, df: DataFrame, label: str, options: dict[str, str] | None = None):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{label}-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(self.path)
+        df.write.options(compression="zstd", **options or {}).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
         atexit.register(_remove, self.spark, self.path)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, jaccard_join, langid, lm, packing, quality, substring_dedup, suffix_dedup, toxicity
+from . import ann, decontaminate, filter_audit, jaccard_join, langid, lexical_search, line_dedup, lm, packing, quality, substring_dedup, suffix_dedup, toxicity
 from .common import fold, table
 from .labelled import labelled_sample
 
@@ -61,6 +61,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "row.held_out", "lang_pred", "score", "rejected")
 
 
+def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
@@ -72,6 +84,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
+    "op11_filter_interaction_audit": op11_filter_interaction_audit,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_ranked_lexical_search": op13_ranked_lexical_search,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op11_filter_interaction_audit": filter_audit.ORACLE,
+    "op12_line_dedup": line_dedup.ORACLE,
+    "op13_ranked_lexical_search": lexical_search.ORACLE,
+}
