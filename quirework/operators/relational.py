@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are worked out once, however often what follows uses them: a plain projection
+    would be merged into the next one, use by use."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
+
+
 def authorised(owned: DataFrame, requested: DataFrame, key: str) -> DataFrame:
     """All or nothing: the requested rows if every requested id is owned, else none.
 

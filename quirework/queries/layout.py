@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geometry as G
 from ..operators import aggregates as A
+from ..operators.spatial import touching
 from ..registry import query, table
 from .fixtures import LINES, OBJECTS, box, lines, objects
 
@@ -16,11 +17,12 @@ _AREA_L = "((l.x1 - l.x0) * (l.y1 - l.y0))"
 _AREA_O = "((o.x1 - o.x0) * (o.y1 - o.y0))"
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines beside objects of the same page; the page is the join key, so no pair crosses pages."""
+def _pairs(spark: SparkSession, sf_dir: str, axes: str = "xy", margin: float = 0.0) -> DataFrame:
+    """Lines beside the objects of their page that they touch, ``margin`` around these; with ``axes`` x, that
+    stand in their columns. They meet in grid cells."""
     ls = lines(spark, sf_dir).select("page", "line_id", "chars", box().alias("l"))
-    ob = objects(spark, sf_dir).select("page", "object_id", "kind", box().alias("o"))
-    return ls.join(ob, "page")
+    ob = objects(spark, sf_dir).select("page", "object_id", "kind", box().alias("o")).withColumn("_outer", G.expand(F.col("o"), margin))
+    return touching(ls, ob, ["page"], "l", "_outer", axes=axes).drop("_outer")
 
 
 @query("X15_bbox_kit", f"WITH {LINES}, {OBJECTS} SELECT line_id, object_id, round({_OVER}, 4) AS overlap, round({_OVER} / ({_AREA_L} + {_AREA_O} - {_OVER}), 6) AS iou FROM lines l JOIN objects o ON l.page = o.page WHERE {_OVER} > 0")
@@ -62,7 +64,7 @@ def j08(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT object_id, count(*) AS lines, CAST(sum(chars) AS BIGINT) AS chars, round(avg(r), 6) AS spatial_score FROM m GROUP BY object_id""")
 def j07(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = G.coverage(F.col("l"), G.expand(F.col("o"), 3.0))
-    return _pairs(spark, sf_dir).withColumn("r", share).filter("r >= 0.45").groupBy("object_id").agg(F.count("*").alias("lines"), F.sum("chars").alias("chars"), F.round(F.avg("r"), 6).alias("spatial_score"))
+    return _pairs(spark, sf_dir, margin=3.0).withColumn("r", share).filter("r >= 0.45").groupBy("object_id").agg(F.count("*").alias("lines"), F.sum("chars").alias("chars"), F.round(F.avg("r"), 6).alias("spatial_score"))
 
 
 def _narrow(a: str, b: str) -> str:
@@ -74,7 +76,7 @@ def _narrow(a: str, b: str) -> str:
 def j11(spark: SparkSession, sf_dir: str, least: float = 0.25, slack: float = 3.0) -> DataFrame:
     """Each caption's nearest object above it; thresholds are the profile's."""
     share = G.horizontal_overlap(F.col("l"), F.col("o"))
-    near = _pairs(spark, sf_dir).filter(F.col("chars") >= 40).filter((share >= least) & (F.col("l.y0") >= F.col("o.y1") - slack))
+    near = _pairs(spark, sf_dir, axes="x").filter(F.col("chars") >= 40).filter((share >= least) & (F.col("l.y0") >= F.col("o.y1") - slack))
     near = near.withColumn("cost", F.abs(F.col("l.y0") - F.col("o.y1")) - share)
     best = F.min_by(F.struct("object_id", "cost"), F.struct(F.round("cost", 9), "object_id"))
     return near.groupBy("line_id").agg(best.alias("b")).select("line_id", "b.object_id", F.round("b.cost", 6).alias("cost"))
@@ -85,7 +87,8 @@ def j24(spark: SparkSession, sf_dir: str) -> DataFrame:
     ls = lines(spark, sf_dir).select("page", "line_id", "chars", box().alias("l"))
     other = ls.select("page", F.col("line_id").alias("other"), F.col("l").alias("o"))
     small = ls.filter("chars < 5")
-    return small.join(other, (small.page == other.page) & (small.line_id != other.other) & (G.overlap(small.l, other.o) > 0), "left_semi").select("line_id")
+    met = touching(small, other, ["page"], "l", "o").filter((F.col("line_id") != F.col("other")) & (G.overlap(F.col("l"), F.col("o")) > 0))
+    return small.join(met.select("page", "line_id", "l"), ["page", "line_id", "l"], "left_semi").select("line_id")
 
 
 @query("A15_column_geometry", f"""WITH {LINES}, b AS (SELECT * FROM lines WHERE chars >= 20 AND x0 >= 36 AND x1 <= 588), s AS (SELECT page, CASE WHEN x0 < 229.5 THEN 'left' WHEN x0 > 255 THEN 'right' END AS side, x0 FROM b),
