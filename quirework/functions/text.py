@@ -32,6 +32,12 @@ QUESTION_ROLES = {
     "introduction": ["问题", "背景", "动机", "problem", "background", "motivation"],
     "conclusion": ["结论", "贡献", "局限", "conclusion", "contribution", "limitation"],
 }
+DIAERESIS, HIGH_MARK = "¨", "~"
+#: Blanks that character-spaced formulas have too many of; a blank after a command is kept by a mark meanwhile.
+FORMULA_RULES = [
+    (r"(\\[A-Za-z]+)\s+(?=[A-Za-z])", "$1\x00"), (r"(?<=[A-Za-z])\s+(?=[A-Za-z])", ""), (r"(?<=[A-Za-z])\s+_\s*", "_"), (r"(?<=[A-Za-z])\s+\\_\s*", "\\\\_"), (r"(?<=_)\s+(?=[A-Za-z{])", ""),
+    (r"(?<=\\_)\s+(?=[A-Za-z])", ""), (r"(?<=\d)\.\s+(?=\d)", "."), (r"(?<=[{^])\s+(?=-\s*\d)", ""), (r"(?<=-)\s+(?=\d)", ""),
+]
 NUMBER = r"(?U)(?<![\w.])[-+]?\d+(?:\.\d+)?%?(?![\w.])"
 UUID_NAMESPACE_URL = "6ba7b8119dad11d180b400c04fd430c8"
 
@@ -42,14 +48,9 @@ def _nfkc(s: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(StringType())
-def _nfkd_key(s: pd.Series) -> pd.Series:
-    def key(x: str | None) -> str | None:
-        if x is None:
-            return None
-        plain = "".join(c if c != "̈" else "￿" for c in unicodedata.normalize("NFKD", x.replace("¨", "̈")) if not unicodedata.combining(c) or c == "̈" and x.strip() == "¨")
-        return plain.casefold()
-
-    return s.map(key)
+def _bare_letters(s: pd.Series) -> pd.Series:
+    """NFKD without combining marks, case-folded."""
+    return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)).casefold())
 
 
 def nfkc(text: Column) -> Column:
@@ -60,12 +61,15 @@ def nfkc(text: Column) -> Column:
 def letters_key(text: Column) -> Column:
     """Word characters alone, case-folded, of the NFKC form; empty for null."""
     bare = F.regexp_replace(nfkc(F.coalesce(text, F.lit(""))), r"(?U)[^\w]+", "")
-    return F.lower(F.upper(bare))
+    return F.replace(F.lower(bare), F.lit("ß"), F.lit("ss"))  # a plain lower(upper(...)) is simplified to lower(...)
 
 
 def sort_key(name: Column) -> Column:
-    """Case-folded name without combining marks."""
-    return _nfkd_key(name)
+    """Case-folded Latin letters of a name, null if it has none. A diaeresis that stands alone, as some fonts print
+    it, is kept as a mark behind all letters. ASCII names stay in the JVM."""
+    marked = F.translate(name, DIAERESIS, HIGH_MARK)
+    bare = F.coalesce(_bare_letters(F.when(marked.rlike(r"[^\x00-\x7F]"), marked)), F.lower(marked))
+    return F.nullif(F.regexp_replace(bare, f"[^a-z{HIGH_MARK}]", ""), F.lit(""))
 
 
 def normalize_spacing(text: Column) -> Column:
@@ -90,6 +94,14 @@ def unwrap(text: Column) -> Column:
     return strip(t)
 
 
+def formula_spacing(formula: Column) -> Column:
+    """A formula without the blanks that character by character recognition puts between its parts."""
+    t = normalize_spacing(nfkc(formula))
+    for pattern, put in FORMULA_RULES:
+        t = F.regexp_replace(t, pattern, put)
+    return F.replace(t, F.lit("\x00"), F.lit(" "))
+
+
 def normalize_prose(text: Column) -> Column:
     return unwrap(normalize_spacing(nfkc(text)))
 

@@ -64,3 +64,28 @@ def budget_prefix(df: DataFrame, group: list[str], order: list[Column], size: Co
     cut = df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= items).withColumn("_size", F.least(size, F.lit(each)))
     before = F.coalesce(F.sum("_size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return cut.withColumn("_before", before).filter(F.col("_before") < total).withColumn("taken", F.least(F.col("_size"), total - F.col("_before"))).drop("_n", "_size", "_before")
+
+
+def visual_lines(df: DataFrame, group: list[str], near: float = 1.0) -> DataFrame:
+    """Fragments (text, box, baseline; the box's bottom where that is null) put together to the lines one sees: a
+    fragment joins a line if its baseline is within ``near`` of the line's first one.
+
+    Fragments further than ``near`` apart from their neighbours can't share a line, so each stretch without
+    such a gap is folded by itself. Adds ``line`` (from 1), baseline (median), box, text (by x0), fragments."""
+    base = F.coalesce(F.col("baseline"), F.col("box.y1"))
+    order = Window.partitionBy(*group).orderBy("_base", "_x", "_text")
+    placed = df.withColumn("_base", base).withColumn("_x", F.col("box.x0")).withColumn("_text", F.col("text"))
+    apart = F.col("_base") - F.lag("_base").over(order) > near
+    stretches = placed.withColumn("_stretch", F.sum(F.when(apart, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    items = F.array_sort(F.collect_list(F.struct(F.col("_base").alias("b"), F.col("_x").alias("x"), F.col("_text").alias("t"), "box")))
+    fragment = f"array<struct<b:double,x:double,t:string,box:{df.schema['box'].dataType.simpleString()}>>"
+    last = lambda a: F.get(a, F.size(a) - 1)
+    joins = lambda a, f: (F.size(a) > 0) & (F.abs(f["b"] - F.get(last(a), F.lit(0))["b"]) <= near)
+    fold = F.aggregate(items.cast(fragment), F.array().cast(f"array<{fragment}>"), lambda a, f: F.when(joins(a, f), F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.concat(last(a), F.array(f))))).otherwise(F.concat(a, F.array(F.array(f)))))
+    lines = stretches.groupBy(*group, "_stretch").agg(fold.alias("_lines")).select(*group, "_stretch", F.posexplode("_lines").alias("_at", "_f"))
+    by_x = F.array_sort(F.transform("_f", lambda f: F.struct(f["x"].alias("x"), f["b"].alias("b"), f["t"].alias("t"))))
+    bases, n = F.transform("_f", lambda f: f["b"]), F.size("_f")
+    median = (F.get(bases, F.floor((n - 1) / 2).cast("int")) + F.get(bases, F.floor(n / 2).cast("int"))) / 2
+    box = F.struct(*(f(F.col(f"_f.box.{c}")).alias(c) for c, f in (("x0", F.array_min), ("y0", F.array_min), ("x1", F.array_max), ("y1", F.array_max))))
+    number = F.row_number().over(Window.partitionBy(*group).orderBy("_stretch", "_at"))
+    return lines.select(*group, number.alias("line"), median.alias("baseline"), box.alias("box"), F.array_join(F.transform(by_x, lambda f: f["t"]), " ").alias("text"), n.alias("fragments"))

@@ -151,8 +151,8 @@ def x32(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("W05_visual_lines", f"WITH {LINES}, g AS (SELECT page, line_id, y0, CASE WHEN y0 - lag(y0) OVER w <= 1 THEN 0 ELSE 1 END AS fresh FROM lines WINDOW w AS (PARTITION BY page ORDER BY y0, line_id)) SELECT page, line_id, CAST(sum(fresh) OVER (PARTITION BY page ORDER BY y0, line_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS visual_line FROM g")
 def w05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines whose tops follow within 1.0 of the one before; tops are whole numbers here, so a chain never
-    drifts past its first line by less than the gap."""
+    """Numbers lines whose tops follow within 1.0 of the one before: a chain of neighbours. Tops are whole numbers
+    here. W05_anchored_lines compares with a line's first fragment instead."""
     w = Window.partitionBy("page").orderBy("y0", "line_id")
     fresh = F.when(F.col("y0") - F.lag("y0").over(w) <= 1, 0).otherwise(1)
     return lines(spark, sf_dir).withColumn("fresh", fresh).select("page", "line_id", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("visual_line"))

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as G
+from ..operators.columns import body_geometry, column_geometry
 from ..operators.fusion import fuse_blocks
+from ..operators.order import visual_lines
 from ..operators.sequences import holding_runs, similar_runs
 from ..operators.spatial import touching
 from ..registry import query
@@ -78,7 +80,7 @@ def page_sizes(lines: DataFrame) -> DataFrame:
     return lines.select(*KEYS).distinct().select(*KEYS, F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"))
 
 
-_KEY = "lower(upper(replace(regexp_replace({0}, '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]', '', 'g'), 'ß', 'ss')))"
+_KEY = "replace(lower(regexp_replace({0}, '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]', '', 'g')), 'ß', 'ss')"
 _SAME = "CASE WHEN {0} = '' OR {1} = '' THEN 0 WHEN contains({0}, {1}) OR contains({1}, {0}) THEN least(length({0}), length({1})) / greatest(length({0}), length({1})) ELSE 0 END"
 _COVER = "greatest(0.0, least(l.x1, b.x1 + {0}) - greatest(l.x0, b.x0 - {0})) * greatest(0.0, least(l.y1, b.y1 + {0}) - greatest(l.y0, b.y0 - {0})) / ((l.x1 - l.x0) * (l.y1 - l.y0))"
 _SHARED = "greatest(0.0, least(s.x1, {0}x1) - greatest(s.x0, {0}x0)) * greatest(0.0, least(s.y1, {0}y1) - greatest(s.y0, {0}y0))"
@@ -161,3 +163,72 @@ def j10_holding_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j10_similar_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each block's run of consecutive lines by similarity; the ratio is beyond SQL, tests hold it against all windows."""
     return similar_runs(*_keyed(spark, sf_dir), KEYS)
+
+
+@query("W05_anchored_lines", f"""WITH RECURSIVE {PAGE_LINES}, w AS (SELECT doc_id, page, line_id, x0, y0, string_split(text, ' ') AS w, unnest(range(0, (len(string_split(text, ' ')) + 1) // 2)) AS f FROM page_lines),
+ frag AS (SELECT doc_id, page, array_to_string(w[2 * f + 1:2 * f + 2], ' ') AS text, x0 + 40 * f AS x0, y0 + 8 + 0.6::DOUBLE * f AS b FROM w), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY b, x0, text) AS n FROM frag),
+ r AS (SELECT doc_id, page, n, b, b AS anchor, 1 AS line FROM o WHERE n = 1 UNION ALL SELECT o.doc_id, o.page, o.n, o.b, CASE WHEN o.b - r.anchor <= 1 THEN r.anchor ELSE o.b END, CASE WHEN o.b - r.anchor <= 1 THEN r.line ELSE r.line + 1 END FROM r JOIN o ON o.doc_id = r.doc_id AND o.page = r.page AND o.n = r.n + 1)
+ SELECT doc_id, page, line, round(median(r.b), 6) AS baseline, min(o.x0) AS x0, string_agg(o.text, ' ' ORDER BY o.x0, r.b, o.text) AS text, CAST(count(*) AS INTEGER) AS fragments FROM r JOIN o USING (doc_id, page, n) GROUP BY doc_id, page, line""")
+def w05_anchored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments of two words, each 0.6 lower than the one before, put together to lines."""
+    parts = F.split("line.text", " ")
+    pieces = page_lines(spark, sf_dir).select(*KEYS, "line", parts.alias("w"), F.explode(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / 2).cast("int"))).alias("f"))
+    x0 = F.col("line.box.x0") + 40 * F.col("f")
+    box = F.struct(x0.alias("x0"), F.col("line.box.y0").alias("y0"), (x0 + 30).alias("x1"), F.col("line.box.y1").alias("y1"))
+    given = pieces.select(*KEYS, F.array_join(F.slice("w", F.col("f") * 2 + 1, F.lit(2)), " ").alias("text"), box.alias("box"), (F.col("line.box.y0") + 8 + 0.6 * F.col("f")).alias("baseline"))
+    return visual_lines(given, KEYS).select(*KEYS, "line", F.round("baseline", 6).alias("baseline"), F.col("box.x0").alias("x0"), "text", "fragments")
+
+
+COLUMN_LINES = PAGE_LINES + """, shaped AS (SELECT doc_id, page, line_id, block_no, part, text, CASE WHEN doc_id % 3 = 0 THEN (line_id % 50) // 25 ELSE 0 END AS col, doc_id % 3 = 0 AS two, CASE WHEN doc_id % 3 = 0 THEN line_id % 25 ELSE line_id % 50 END AS slot FROM page_lines),
+ col_lines AS (SELECT doc_id, page, line_id, block_no, text, CASE WHEN two THEN 60.0::DOUBLE + 258 * col ELSE 72.0::DOUBLE END + CASE WHEN part = 0 THEN 10 ELSE 0 END + 0.25::DOUBLE * (line_id % 7) AS x0, 52.0::DOUBLE + 13 * slot AS y0,
+   CASE WHEN two THEN 290.0::DOUBLE + 258 * col ELSE 540.0::DOUBLE END - 0.5::DOUBLE * (line_id % 5) AS x1, 62.0::DOUBLE + 13 * slot AS y1, 60.0::DOUBLE + 13 * slot AS baseline, CASE block_no % 5 WHEN 4 THEN 8.0::DOUBLE WHEN 3 THEN 10.375::DOUBLE ELSE 10.0::DOUBLE END AS size,
+   CASE WHEN block_no % 5 = 3 THEN 'Times-Bold' ELSE 'Times' END AS font, 612.0::DOUBLE AS width, 792.0::DOUBLE AS height FROM shaped)"""
+
+
+def column_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page's lines set in one column, or in two for a third of the documents."""
+    at, n, two = F.col("line.line_id"), F.col("line.native_id"), F.col("doc_id") % 3 == 0
+    col = F.when(two, F.floor(at % 50 / 25)).otherwise(0)
+    slot = F.when(two, at % 25).otherwise(at % 50)
+    first = F.col("line.box.x0") == 84.0
+    x0 = F.when(two, 60.0 + 258 * col).otherwise(72.0) + F.when(first, 10).otherwise(0) + 0.25 * (at % 7)
+    x1 = F.when(two, 290.0 + 258 * col).otherwise(540.0) - 0.5 * (at % 5)
+    size = F.when(n % 5 == 4, 8.0).when(n % 5 == 3, 10.375).otherwise(10.0)
+    return page_lines(spark, sf_dir).select(
+        *KEYS, at.alias("line_id"), n.alias("native_id"), F.col("line.text").alias("text"), x0.alias("x0"), (52.0 + 13 * slot).alias("y0"), x1.alias("x1"), (62.0 + 13 * slot).alias("y1"), (60.0 + 13 * slot).alias("baseline"),
+        size.alias("size"), F.when(n % 5 == 3, "Times-Bold").otherwise("Times").alias("font"), F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"), F.lit(8).alias("body_end"), F.lit(5).alias("references_at"))
+
+
+def _mode_sql(table: str, value: str, width: float, keys: str) -> str:
+    """Median of the fullest bin; less spread, then the lower bin."""
+    return f"(SELECT {keys}, m FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY n DESC, sd, bin) AS r FROM (SELECT {keys}, round_even({value} / {width}, 0) AS bin, count(*) AS n, round(stddev_pop({value}), 9) AS sd, median({value}) AS m FROM {table} GROUP BY ALL)) WHERE r = 1)"
+
+
+_KEYED = _KEY.format("text")
+
+
+@query("A15_document_columns", f"""WITH {COLUMN_LINES}, fit AS (SELECT *, round_even(size * 2, 0) / 2 AS half FROM col_lines WHERE page <= 8 AND x0 >= width * 0.07 AND x1 <= width * 0.96 AND y0 >= height * 0.06 AND y1 <= height * 0.93 AND size BETWEEN 7.5 AND 12.5 AND length({_KEYED}) >= 20),
+ dom AS (SELECT doc_id, half AS body_size FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, at1) AS r FROM (SELECT doc_id, half, sum(length(text)) AS w, min(line_id) AS at1 FROM fit GROUP BY ALL)) WHERE r = 1),
+ body AS (SELECT fit.*, body_size, CASE WHEN x0 < 612 * 0.45 THEN 'left' WHEN x0 > 612 * 0.5 THEN 'right' END AS side FROM fit JOIN dom USING (doc_id) WHERE abs(size - body_size) <= 0.55),
+ starts AS {_mode_sql("(SELECT * FROM body WHERE side IS NOT NULL)", "x0", 2.0, "doc_id, side")}, ends AS {_mode_sql("(SELECT * FROM body WHERE side IS NOT NULL)", "x1", 2.0, "doc_id, side")},
+ n AS (SELECT doc_id, body_size, count(*) AS lines, count(DISTINCT page) AS pages, count(*) FILTER (side = 'left') >= 5 AND count(*) FILTER (side = 'right') >= 5 AS two FROM body GROUP BY ALL),
+ e AS (SELECT n.*, CASE WHEN two THEN a.m END AS ls, CASE WHEN two THEN b.m END AS rs, CASE WHEN two THEN c.m END AS le, CASE WHEN two THEN d.m END AS re FROM n LEFT JOIN starts a ON a.doc_id = n.doc_id AND a.side = 'left' LEFT JOIN starts b ON b.doc_id = n.doc_id AND b.side = 'right' LEFT JOIN ends c ON c.doc_id = n.doc_id AND c.side = 'left' LEFT JOIN ends d ON d.doc_id = n.doc_id AND d.side = 'right')
+ SELECT doc_id, CASE WHEN two THEN 2 ELSE 1 END AS columns, body_size, lines, pages, round(ls, 6) AS left_start, round(le, 6) AS left_end, round(rs, 6) AS right_start, round(re, 6) AS right_end, round(re - ls, 6) AS text_width, round(rs - le, 6) AS ink_gap, round(re - ls - (rs - ls), 6) AS column_width, round(2 * (rs - ls) - (re - ls), 6) AS gutter,
+  round(CASE WHEN two THEN least(0.99::DOUBLE, 0.75::DOUBLE + lines / 1000) ELSE 0.7::DOUBLE END, 6) AS confidence FROM e""")
+def a15_document_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of each document."""
+    found = column_geometry(column_lines(spark, sf_dir), ["doc_id"])
+    return found.withColumns({c: F.round(c, 6) for c in ("left_start", "left_end", "right_start", "right_end", "text_width", "ink_gap", "column_width", "gutter", "confidence")})
+
+
+@query("A16_document_body", f"""WITH {COLUMN_LINES}, fit AS (SELECT *, length(text) AS n FROM col_lines WHERE page < 5 AND y0 >= 45 AND size BETWEEN 9.25 AND 10.75 AND length({_KEYED}) >= 20),
+ l AS {_mode_sql("fit", "x0", 2.0, "doc_id")}, r AS {_mode_sql("fit", "x1", 2.0, "doc_id")}, tops AS (SELECT doc_id, page, min(y0) AS top FROM fit WHERE y0 < 100 GROUP BY ALL), t AS {_mode_sql("tops", "top", 1.5, "doc_id")},
+ runs AS (SELECT doc_id, size, sum(w) OVER (PARTITION BY doc_id ORDER BY size) AS run, sum(w) OVER (PARTITION BY doc_id) AS whole FROM (SELECT doc_id, size, sum(greatest(n, 1)) AS w FROM fit GROUP BY ALL)), s AS (SELECT doc_id, min(size) AS size FROM runs WHERE run * 2 >= whole GROUP BY doc_id),
+ f AS (SELECT doc_id, font FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, at1) AS k FROM (SELECT doc_id, font, sum(n) AS w, min(line_id) AS at1 FROM fit GROUP BY ALL)) WHERE k = 1),
+ g AS (SELECT doc_id, lead(baseline) OVER (PARTITION BY doc_id, page, block_no ORDER BY baseline) - baseline AS gap FROM fit), gm AS (SELECT doc_id, median(gap) AS line_gap FROM g WHERE gap BETWEEN 5 AND 30 GROUP BY doc_id)
+ SELECT c.doc_id, lines, pages, round(l.m, 6) AS "left", round(r.m, 6) AS "right", round(r.m - l.m, 6) AS width, round(t.m, 6) AS top, s.size, f.font, gm.line_gap FROM (SELECT doc_id, count(*) AS lines, count(DISTINCT page) AS pages FROM fit GROUP BY doc_id) c
+  LEFT JOIN l ON l.doc_id = c.doc_id LEFT JOIN r ON r.doc_id = c.doc_id LEFT JOIN t ON t.doc_id = c.doc_id LEFT JOIN s ON s.doc_id = c.doc_id LEFT JOIN f ON f.doc_id = c.doc_id LEFT JOIN gm ON gm.doc_id = c.doc_id""")
+def a16_document_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The body's frame in each document."""
+    found = body_geometry(column_lines(spark, sf_dir), ["doc_id"])
+    return found.withColumns({c: F.round(c, 6) for c in ("left", "right", "width", "top")})

@@ -35,10 +35,16 @@ def x04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, _D).select("doc_id", X.estimate_tokens(F.col("text")).alias("tokens"))
 
 
-@query("X06_formula_spacing", r"SELECT doc_id, regexp_replace(regexp_replace(text, '\s+([,;:.!?])', '\1', 'g'), '([(\[])\s+', '\1', 'g') AS text FROM documents")
+_SPACED = r"concat('\frac ', split_part(content, ' ', 1), ' _ {', split_part(content, ' ', 2), '} ^{ - 3 } \alpha  \beta x _ i j \_ k _ {', split_part(content, ' ', 3), '} 1. 5. 7 - 2 a - 4 ', content)"
+
+
+@query("X06_formula_spacing", rf"""WITH {BLOCKS}, f AS (SELECT doc_id, block_no, trim(regexp_replace({_SPACED}, '[ \t\f\v]+', ' ', 'g')) AS t FROM blocks), a AS (SELECT doc_id, block_no, regexp_replace(t, '(\\[A-Za-z]+)\s+([A-Za-z])', '\1@@\2', 'g') AS t FROM f),
+ b AS (SELECT doc_id, block_no, regexp_replace(regexp_replace(t, '([A-Za-z])\s+([A-Za-z])', '\1\2', 'g'), '([A-Za-z])\s+([A-Za-z])', '\1\2', 'g') AS t FROM a), c AS (SELECT doc_id, block_no, regexp_replace(regexp_replace(t, '([A-Za-z])\s+_\s*', '\1_', 'g'), '([A-Za-z])\s+\\_\s*', '\1\\_', 'g') AS t FROM b),
+ d AS (SELECT doc_id, block_no, regexp_replace(regexp_replace(t, '_\s+([A-Za-z{{])', '_\1', 'g'), '\\_\s+([A-Za-z])', '\\_\1', 'g') AS t FROM c), e AS (SELECT doc_id, block_no, regexp_replace(regexp_replace(t, '(\d)\.\s+(\d)', '\1.\2', 'g'), '(\d)\.\s+(\d)', '\1.\2', 'g') AS t FROM d)
+ SELECT doc_id, block_no, replace(regexp_replace(regexp_replace(t, '([{{^])\s+(-\s*\d)', '\1\2', 'g'), '-\s+(\d)', '-\1', 'g'), '@@', ' ') AS formula FROM e""")
 def x06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.regexp_replace(F.regexp_replace("text", r"\s+([,;:.!?])", "$1"), r"([(\[])\s+", "$1")
-    return table(spark, sf_dir, _D).select("doc_id", t.alias("text"))
+    """Formulas written with a blank between characters, made around each block."""
+    return blocks(spark, sf_dir).select("doc_id", "block_no", X.formula_spacing(F.expr(_SPACED.replace("\\", "\\\\"))).alias("formula"))
 
 
 @query("X07_html_to_prose")
@@ -89,9 +95,11 @@ def x23(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks(spark, sf_dir).select("doc_id", "block_no", ok.alias("titled"))
 
 
-@query("X24_author_sort_key")
+@query("X24_author_sort_key", f"WITH {BLOCKS}, n AS (SELECT doc_id, block_no, CASE WHEN block_no % 3 = 0 THEN replace(content, 'a', '¨a') ELSE content END AS name FROM blocks) SELECT doc_id, block_no, nullif(regexp_replace(lower(strip_accents(replace(replace(name, '¨', '~'), 'ß', 'ss'))), '[^a-z~]', '', 'g'), '') AS key FROM n")
 def x24(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks(spark, sf_dir).filter("block_no = 0").select("doc_id", X.sort_key(F.split("content", " ")[0]).alias("key"))
+    """Keys of whole blocks; every third has its a's printed with a diaeresis that stands alone."""
+    name = F.when(F.col("block_no") % 3 == 0, F.replace("content", F.lit("a"), F.lit("¨a"))).otherwise(F.col("content"))
+    return blocks(spark, sf_dir).select("doc_id", "block_no", X.sort_key(name).alias("key"))
 
 
 @query("X25_fingerprint", "SELECT doc_id, sha256(text) AS fingerprint, md5(source || ':' || lang) AS group_key FROM documents")
@@ -110,9 +118,13 @@ def x29(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.try_element_at(stages, F.col("event_type")), F.lit(0.0)).alias("progress"))
 
 
-@query("X35_markdown_preview", r"SELECT doc_id, left(trim(regexp_replace(regexp_replace(text, '[#*_`>|]+', '', 'g'), '\s+', ' ', 'g')), 260) AS preview FROM documents WHERE NOT regexp_matches(text, '\[|\]')")
+@query("X35_markdown_preview", r"""WITH m AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '# [' || source || '](http://x/y) ' || text WHEN 1 THEN '![' || source || '](a.png)' || text ELSE text END AS text FROM documents)
+ SELECT doc_id, left(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '[#*_`>|]+', '', 'g'), '\s+', ' ', 'g')), 260) AS preview FROM m""")
 def x35(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, _D).select("doc_id", X.preview(F.col("text")).alias("preview"))
+    """Previews of texts, a third of which begin with a link and a third with an image."""
+    kind = F.col("doc_id") % 3
+    linked = F.when(kind == 0, F.concat(F.lit("# ["), "source", F.lit("](http://x/y) "), "text")).when(kind == 1, F.concat(F.lit("!["), "source", F.lit("](a.png)"), "text")).otherwise(F.col("text"))
+    return table(spark, sf_dir, _D).select("doc_id", X.preview(linked).alias("preview"))
 
 
 @query("F11_spurious_heading", rf"WITH {BLOCKS} SELECT doc_id, block_no FROM blocks WHERE regexp_matches(content, '^(?:\d+\s+){{2,}}\d+$')")
