@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..registry import query, table
 from ..streaming import events as E
+from ..streaming import json_field as J
 
 
 @query("E01_bounded_log", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n <= 20")
@@ -54,3 +55,15 @@ def e07(spark: SparkSession, sf_dir: str) -> DataFrame:
 def e08(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.join(e.filter("event_id % 97 = 0").select("user_id").distinct(), "user_id", "left_anti").groupBy("user_id").agg(F.count("*").alias("events"))
+
+
+@query("E06_json_field", "SELECT conv_id * 1000 + turn AS message, role || ': ' || text AS value FROM conversations")
+def e06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each message put into JSON, every e as a \\u escape, cut into pieces of seven characters, and read again as they
+    come; SQL holds the message itself."""
+    c = table(spark, sf_dir, "conversations")
+    said = F.concat("role", F.lit(": "), "text")
+    inner = F.to_json(F.struct(F.col("turn"), F.lit("not this").alias("tx"), said.alias("txt"), F.lit("nor that").alias("txu")))
+    given = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("message"), F.replace(inner, F.lit("e"), F.lit("\\u0065")).alias("json"))
+    cut = E.chunked(given, "json", 7).withColumnRenamed("offset", "at")
+    return J.whole_field(J.field_pieces(cut, "message", "at", "delta", "txt"), "message", "at")
