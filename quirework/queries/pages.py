@@ -17,6 +17,7 @@ from ..operators.order import visual_lines
 from ..operators.sequences import holding_runs, similar_runs
 from ..operators.spatial import touching
 from ..registry import query
+from ..sources.layout_json import layout_blocks
 from .fixtures import BLOCKS, blocks
 
 KEYS = ["doc_id", "page"]
@@ -232,3 +233,33 @@ def a16_document_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The body's frame in each document."""
     found = body_geometry(column_lines(spark, sf_dir), ["doc_id"])
     return found.withColumns({c: F.round(c, 6) for c in ("left", "right", "width", "top")})
+
+
+def page_layouts(lines: DataFrame) -> DataFrame:
+    """doc_id, layout: JSON of each document, as a tree of pages of half size for even ids, else as a flat list. Some
+    blocks come twice, some are of an unknown kind, and figures hold a caption."""
+    own = _own_blocks(lines).withColumn("text", F.replace("text", F.lit("-"), F.lit("")))
+    k, b, even = F.col("k"), F.col("own"), F.col("doc_id") % 2 == 0
+    kind = F.when(k == 0, "title").when(k == 4, "table").when(k == 6, "watermark").when(k == 7, "ref_text").when(k == 8, "equation").when(k == 9, "image").otherwise("text")
+    bbox = F.array(*(b[c] / F.when(even, 2.0).otherwise(1.0) for c in ("x0", "y0", "x1", "y1")))
+    level = F.when(k == 0, 1 + F.col("block_id") % 20 / 10).cast("int")
+    spans = F.array(F.struct(F.array(F.struct(F.col("text").alias("content"))).alias("spans")))
+    caption = F.struct(F.lit("image_caption").alias("type"), bbox.alias("bbox"), F.concat(F.lit("Figure 3.  "), F.col("block_id").cast("string")).alias("text"))
+    node = F.struct(kind.alias("type"), (F.col("page") - 1).alias("page_idx"), bbox.alias("bbox"), level.alias("level"), F.when(~even, F.col("text")).alias("text"), F.when(even, spans).alias("lines"), F.when(k == 9, F.array(caption)).alias("blocks"))
+    each = own.select(*KEYS, "block_id", node.alias("node"), "k").withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(k == 5, 2).otherwise(1))))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("block_id", "copy", "node"))), lambda x: x["node"])
+    tree = each.filter(even).groupBy(*KEYS).agg(ordered.alias("para_blocks")).groupBy("doc_id").agg(F.collect_list(F.struct((F.col("page") - 1).alias("page_idx"), F.array(F.lit(WIDTH / 2), F.lit(HEIGHT / 2)).alias("page_size"), "para_blocks")).alias("pdf_info"))
+    flat = each.filter(~even).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page", "block_id", "copy", "node"))), lambda x: x["node"]).alias("nodes"))
+    return tree.select("doc_id", F.to_json(F.struct("pdf_info")).alias("layout")).union(flat.select("doc_id", F.to_json("nodes").alias("layout")))
+
+
+@query("S06_layout_blocks", rf"""WITH {PAGE_BLOCKS}, base AS (SELECT doc_id, page, block_no, k, replace(text, '-', '') AS text, x0, y0, x1, y1 FROM own), every AS (
+ SELECT doc_id, page, block_no, CASE k WHEN 0 THEN 'title' WHEN 4 THEN 'table' WHEN 7 THEN 'ref_text' WHEN 8 THEN 'equation' WHEN 9 THEN 'image' ELSE 'text' END AS kind, CASE WHEN k = 0 THEN CAST(1 + block_no % 20 // 10 AS BIGINT) END AS level, text, x0, y1 FROM base WHERE k <> 6
+ UNION ALL SELECT doc_id, page, block_no, 'image_caption', NULL, 'Figure 3. ' || block_no, x0, y1 FROM base WHERE k = 9)
+ SELECT doc_id, page, kind, level, CASE WHEN regexp_matches(t, '^(?i:Figure|Fig\.)\s*\d+\s*[.:]') THEN 'figure_caption' WHEN regexp_matches(t, '^(?i:Table)\s*\d+\s*[.:]') THEN 'table_caption' WHEN kind = 'title' THEN CASE WHEN page = 1 AND level = 1 THEN 'document_title' ELSE 'section_heading' END WHEN kind = 'table' THEN 'table_object' WHEN kind = 'ref_text' THEN 'reference_entry' WHEN kind = 'equation' THEN 'display_formula' WHEN kind = 'image' THEN 'figure_object' ELSE 'paragraph' END AS role,
+  t AS text, x0, y1, kind = 'image_caption' AS nested FROM (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM every)""")
+def s06_layout_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of layouts in both shapes, in the page's measure and without repeats."""
+    ls = page_lines(spark, sf_dir)
+    found = layout_blocks(page_layouts(ls), page_sizes(ls))
+    return found.select(*KEYS, "kind", "level", "role", "text", F.col("box.x0").alias("x0"), F.col("box.y1").alias("y1"), F.col("parent").isNotNull().alias("nested"))
