@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from ..functions import geometry as G
 from ..operators.columns import body_geometry, column_geometry
 from ..operators.fusion import fuse_blocks
+from ..operators.native_text import tagged_blocks
 from ..operators.order import visual_lines
 from ..operators.sequences import holding_runs, similar_runs
 from ..operators.spatial import touching
@@ -263,3 +264,38 @@ def s06_layout_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     ls = page_lines(spark, sf_dir)
     found = layout_blocks(page_layouts(ls), page_sizes(ls))
     return found.select(*KEYS, "kind", "level", "role", "text", F.col("box.x0").alias("x0"), F.col("box.y1").alias("y1"), F.col("parent").isNotNull().alias("nested"))
+
+
+STREAM_LINES = PAGE_LINES + """, stream AS (SELECT doc_id, line_id AS position, page, block_no AS raw_block, x0, y1, CASE WHEN block_no % 10 = 2 AND part = 0 THEN '3.1' WHEN block_no % 10 = 2 AND part = 2 AND doc_id % 2 = 0 THEN '4.' WHEN block_no % 10 = 4 AND part = 0 THEN block_no || '. ' || text WHEN block_no % 10 = 6 AND part = 1 THEN CASE WHEN doc_id % 2 = 0 THEN 'References' ELSE 'Abstract:' END
+   WHEN block_no % 10 = 7 AND part = 1 THEN ' ' ELSE text END AS text, CASE WHEN block_no = 0 THEN 16.0::DOUBLE WHEN block_no % 10 = 2 AND part < 3 THEN 12.0::DOUBLE WHEN block_no % 10 = 4 AND part = 0 THEN 10.5::DOUBLE ELSE 10.0::DOUBLE END AS max_size FROM page_lines)"""
+
+
+def stream_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page's lines as a native text layer gives them: with titles, numbered and named headings, and empty lines."""
+    n, first = F.col("line.native_id"), F.col("line.box.x0") == 84.0
+    starts = F.min("line.line_id").over(Window.partitionBy("doc_id", "line.native_id"))
+    given = page_lines(spark, sf_dir).withColumn("part", F.col("line.line_id") - starts)
+    k, part, even = n % 10, F.col("part"), F.col("doc_id") % 2 == 0
+    text = (
+        F.when((k == 2) & first, "3.1").when((k == 2) & (part == 2) & even, "4.").when((k == 4) & first, F.concat(n.cast("string"), F.lit(". "), "line.text"))
+        .when((k == 6) & (part == 1), F.when(even, "References").otherwise("Abstract:")).when((k == 7) & (part == 1), " ").otherwise(F.col("line.text"))
+    )
+    size = F.when(n == 0, 16.0).when((k == 2) & (part < 3), 12.0).when((k == 4) & first, 10.5).otherwise(10.0)
+    return given.select(*KEYS, F.col("line.line_id").alias("position"), n.alias("raw_block"), text.alias("text"), F.col("line.box").alias("box"), size.alias("max_size"))
+
+
+@query("S11_native_blocks", rf"""WITH {STREAM_LINES}, t AS (SELECT * REPLACE (trim(text) AS text) FROM stream WHERE trim(text) <> ''),
+ sizes AS (SELECT doc_id, body FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, at1) AS r FROM (SELECT doc_id, round_even(max_size, 1) AS body, sum(length(text)) AS w, min(position) AS at1 FROM t GROUP BY ALL)) WHERE r = 1),
+ b AS (SELECT t.*, body, max_size >= body + 0.5 AS big FROM t JOIN sizes USING (doc_id)), s AS (SELECT *, big AND regexp_matches(text, '^\d+(?:\.\d+)*\.?$') AS begins FROM b),
+ g AS (SELECT *, max(position) FILTER (begins) OVER w AS begun, max(position) FILTER (NOT big) OVER w AS small FROM s WINDOW w AS (PARTITION BY doc_id, page, raw_block ORDER BY position ROWS UNBOUNDED PRECEDING)),
+ m AS (SELECT *, coalesce(begun > coalesce(small, -1), false) AS member FROM g),
+ r AS (SELECT *, CASE WHEN member THEN 'heading' WHEN page = 1 AND max_size >= body + 4 AND length(text) <= 240 THEN 'title' WHEN lower(regexp_replace(text, ':+$', '')) IN ('abstract', 'references', 'bibliography', 'acknowledgments', 'acknowledgements') OR (length(text) <= 160 AND big AND regexp_matches(text, '^\d+(?:\.\d+)*\.?\s+\S')) THEN 'heading' ELSE 'paragraph' END AS role FROM m),
+ n AS (SELECT *, CASE WHEN CASE WHEN member THEN NOT begins ELSE role = 'paragraph' AND lag(role) OVER w = 'paragraph' AND NOT lag(member) OVER w END THEN 0 ELSE 1 END AS fresh FROM r WINDOW w AS (PARTITION BY doc_id, page, raw_block ORDER BY position)),
+ k AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY position ROWS UNBOUNDED PRECEDING) AS block FROM n),
+ a AS (SELECT doc_id, CAST(block AS BIGINT) AS block, min(page) AS page, min(role) AS role, string_agg(text, ' ' ORDER BY position) AS text, min(x0) AS x0, max(y1) AS y1, count(*) AS lines FROM k GROUP BY doc_id, block),
+ h AS (SELECT *, CASE WHEN role = 'title' THEN '' ELSE coalesce(last_value(CASE WHEN role = 'heading' THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY block ROWS UNBOUNDED PRECEDING), '') END AS section FROM a)
+ SELECT doc_id, block, page, CASE WHEN role = 'paragraph' AND lower(trim(section)) IN ('references', 'bibliography') THEN 'reference_entry' ELSE role END AS role, section, CASE WHEN role IN ('title', 'heading') THEN 'metadata' WHEN lower(trim(section)) IN ('references', 'bibliography') THEN 'reference' ELSE 'text' END AS content_type, text, x0, y1, lines FROM h""")
+def s11_native_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of a native text layer with their roles and sections."""
+    found = tagged_blocks(stream_lines(spark, sf_dir), ["doc_id"])
+    return found.select("doc_id", F.col("block").cast("long").alias("block"), "page", "role", "section", "content_type", "text", F.col("box.x0").alias("x0"), F.col("box.y1").alias("y1"), "lines")

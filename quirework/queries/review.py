@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans import context
 from ..plans.review_units import KINDS, plan_units, refine_units, unit_members
 from ..registry import query, table
 from .fixtures import BLOCKS, blocks
@@ -87,3 +88,55 @@ def r08_refined_units(spark: SparkSession, sf_dir: str, budget: int = 600) -> Da
     given = units.join(rules, "o", "left").withColumn("rules", F.coalesce("rules", F.array().cast(rules.schema["rules"].dataType)))
     found = refine_units(given.withColumn("unit", (F.col("o") * 1000 + F.col("part")).cast("int")), budget)
     return found.withColumns({"rules": F.array_join("rule_ids", ","), "first_page": F.col("first_page").cast("long"), "last_page": F.col("last_page").cast("long")}).drop("rule_ids")
+
+
+_CROLE = "CASE WHEN block_no % 11 = 7 THEN CASE WHEN doc_id % 6 = 1 THEN 'derived_rule_assessment' ELSE 'derived_column_geometry' END WHEN block_no % 11 = 9 THEN 'derived_captions' WHEN block_no % 5 = 3 THEN 'native_text_span' WHEN block_no % 7 = 5 THEN 'native_image_object' WHEN block_no = 2 THEN 'derived_abstract' ELSE 'paragraph' END"
+_CQUOTE = "CASE block_no % 8 WHEN 1 THEN concat('Figure 2. ', content) WHEN 4 THEN concat('see the figure and the section on references ', content) WHEN 6 THEN concat('abstract ', content) ELSE content END"
+_CSOURCE = "CASE WHEN doc_id % 3 = 0 THEN 'native_pdf+mineru' ELSE 'native_pdf' END"
+_CONTEXT_FACTS = f"{BLOCKS}, facts AS (SELECT doc_id, block_no AS position, doc_id * 1000000 + block_no AS evidence_id, coalesce({PAGE}, 0) AS page, {_CROLE} AS role, {SECTION} AS section, {_CQUOTE} AS quote, {_CSOURCE} AS source, block_no % 3 = 0 AS sized, block_no % 4 <> 3 AS measured FROM blocks)"
+CATEGORIES = ["figure", "heading", "reference", "page_layout", "abstract"]
+_CMOST = 6
+
+
+def context_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = {name: F.expr(text.replace("//", "DIV")) for name, text in (("page", PAGE), ("role", _CROLE), ("section", SECTION), ("quote", _CQUOTE), ("source", _CSOURCE))}
+    no = F.col("block_no")
+    b = blocks(spark, sf_dir).drop("page", "source")
+    return b.select("doc_id", no.alias("position"), (F.col("doc_id") * 1000000 + no).alias("evidence_id"), *(c.alias(n) for n, c in made.items()), F.when(no % 3 == 0, 10.0).alias("font_size"), F.when(no % 4 != 3, 612.0).alias("page_width"), F.array(F.lit("figure"), F.lit("heading")).alias("rule_categories"))
+
+
+def _context_sql(category: str) -> str:
+    text = "lower(concat(quote, ' ', role, ' ', section))"
+    terms = " + ".join(f"8 * contains({text}, '{t}')::INT" for t in context.TERMS.get(category, [])) or "0"
+    names = ", ".join(f"'derived_{n}'" for n in context.DERIVED.get(category, [])) or f"'derived_{category}'"
+    listed = "true" if category in ("figure", "heading") else "false"
+    relevant = f"CASE WHEN role = 'derived_rule_assessment' THEN {listed} ELSE role IN ({names}) END"
+    pictured = category == "figure"
+    graphic = "role = 'native_image_object'" if pictured else "false"
+    fits = f"(NOT starts_with(role, 'derived_') OR {relevant})" + (f" AND (role <> 'paragraph' OR regexp_matches(quote, '^\\s*(?i:figure|fig\\.|table)\\s*\\d+\\b')) AND (({terms}) > 0 OR {graphic} OR {relevant})" if pictured else "")
+    more = {"page_layout": " + 6 * measured::INT", "heading": " + 2 * sized::INT"}.get(category, "")
+    return f"""SELECT '{category}' AS category, doc_id, evidence_id, page, role, {relevant} AS relevant, {terms} + 40 * ({relevant})::INT + 8 * ({graphic})::INT + 3 * (source = 'native_pdf+mineru')::INT + (role <> 'native_text_span')::INT{more} AS score FROM facts WHERE {fits}"""
+
+
+@query("R09_category_context", f"""WITH {_CONTEXT_FACTS}, kept AS ({' UNION ALL '.join(map(_context_sql, CATEGORIES))}), r AS (SELECT *, row_number() OVER (PARTITION BY category, doc_id ORDER BY score DESC, (role = 'native_text_span')::INT, page, evidence_id) AS rank FROM kept),
+ d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY category, doc_id ORDER BY rank) AS n FROM r WHERE relevant) WHERE n <= {_CMOST}), c AS (SELECT category, doc_id, count(*) AS taken, bool_or(role = 'derived_rule_assessment') AS assessed FROM d GROUP BY 1, 2),
+ rest AS (SELECT r.*, coalesce(taken, 0) AS taken, row_number() OVER (PARTITION BY r.category, r.doc_id, page ORDER BY rank) = 1 AS opens FROM r LEFT JOIN c ON r.category = c.category AND r.doc_id = c.doc_id WHERE NOT relevant AND coalesce(NOT assessed AND c.taken < {_CMOST}, true)),
+ l AS (SELECT *, CASE WHEN opens THEN 2 ELSE 3 END AS pass, row_number() OVER (PARTITION BY category, doc_id ORDER BY CASE WHEN opens THEN 2 ELSE 3 END, rank) + taken AS n FROM rest WHERE opens OR score > 0),
+ whole AS (SELECT category, doc_id, evidence_id, 1 AS pass, score, rank FROM d UNION ALL SELECT category, doc_id, evidence_id, pass, score, rank FROM l WHERE n <= {_CMOST})
+ SELECT category, doc_id, evidence_id, pass, CAST(score AS INTEGER) AS score, CAST(row_number() OVER (PARTITION BY category, doc_id ORDER BY pass, rank) AS INTEGER) AS place FROM whole""")
+def r09_category_context(spark: SparkSession, sf_dir: str, most: int = _CMOST) -> DataFrame:
+    """For each document and category the facts that a question about its rules is given."""
+    given = context_facts(spark, sf_dir)
+    out = [context.category_context(given, c, most).withColumn("category", F.lit(c)) for c in CATEGORIES]
+    whole = out[0]
+    for more in out[1:]:
+        whole = whole.unionByName(more)
+    return whole
+
+
+@query("W11_global_context", f"""WITH {_CONTEXT_FACTS}, t AS (SELECT *, lower(concat(quote, ' ', role, ' ', section)) AS text, starts_with(role, 'derived_') AS derived FROM facts), m AS (SELECT *, NOT derived AND page > 0 AND measured AS meas FROM t),
+ p AS (SELECT *, CASE WHEN derived THEN 1 WHEN meas AND row_number() OVER (PARTITION BY doc_id, page, meas ORDER BY evidence_id) = 1 THEN 2 WHEN contains(text, 'author') OR contains(text, 'acknowledg') OR contains(text, 'references') OR contains(text, 'bibliography') OR contains(text, 'page') THEN 3 END AS pass FROM m),
+ n AS (SELECT doc_id, evidence_id, pass, row_number() OVER (PARTITION BY doc_id ORDER BY pass, CASE WHEN pass = 2 THEN page ELSE 0 END, CASE WHEN pass = 2 THEN evidence_id ELSE position END) AS place FROM p WHERE pass IS NOT NULL) SELECT doc_id, evidence_id, pass, CAST(place AS INTEGER) AS place FROM n WHERE place <= 8""")
+def w11_global_context(spark: SparkSession, sf_dir: str, most: int = 8) -> DataFrame:
+    """For each document the facts that a question about it as a whole is given."""
+    return context.global_context(context_facts(spark, sf_dir), most)
