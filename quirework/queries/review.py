@@ -6,10 +6,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.columns import body_geometry
+from ..operators.native_text import tagged_blocks
+from ..plans import assessment as A
 from ..plans import context
 from ..plans.review_units import KINDS, plan_units, refine_units, unit_members
-from ..registry import query, table
+from ..registry import ORACLES, query, table
 from .fixtures import BLOCKS, blocks
+from .pages import column_lines, stream_lines
 
 # How facts are made from blocks, in both dialects.
 _NO = "greatest(block_no - 3, 0)"
@@ -140,3 +144,44 @@ def r09_category_context(spark: SparkSession, sf_dir: str, most: int = _CMOST) -
 def w11_global_context(spark: SparkSession, sf_dir: str, most: int = 8) -> DataFrame:
     """For each document the facts that a question about it as a whole is given."""
     return context.global_context(context_facts(spark, sf_dir), most)
+
+
+#: A profile for the pages that the fixtures lay out.
+HOUSE = [
+    A.rule("H-01", "body frame", A.near("frame_left", 72.5, 3), A.near("frame_width", 467, 3), A.near("frame_top", 52, 3)),
+    A.rule("H-02", "body font and line pitch", A.near("body_size", 10, 0.25), A.near("line_gap", 13, 0.5), A.least("times", 1)),
+    A.rule("H-03", "title", A.near("titles", 1, 1)),
+    A.rule("H-04", "headings of level 1", A.most("h1_longest", 60)),
+    A.rule("H-05", "headings of level 2", A.most("h2_longest", 45), applies="h2_count"),
+    A.rule("H-06", "references", A.least("references", 1), A.least("entries", 2, needed=False)),
+]
+
+
+def _house_sql() -> str:
+    body, native = ORACLES["A16_document_body"], ORACLES["S11_native_blocks"]
+    return rf"""WITH g AS ({body}), b AS ({native}), h AS (SELECT doc_id, nullif(count(*) FILTER (role = 'title'), 0) AS titles, max(length(text)) FILTER (role = 'heading' AND regexp_matches(text, '^\d+\.\s')) AS h1, count(*) FILTER (role = 'heading' AND regexp_matches(text, '^\d+\.\d+\b')) AS n2,
+  max(length(text)) FILTER (role = 'heading' AND regexp_matches(text, '^\d+\.\d+\b')) AS h2, nullif(count(*) FILTER (role = 'heading' AND text = 'References'), 0) AS refs, nullif(count(*) FILTER (role = 'reference_entry'), 0) AS entries FROM b GROUP BY doc_id),
+ j AS (SELECT h.*, g."left" AS l, g.width AS w, g.top AS t, g.size AS s, g.line_gap AS gap, contains(lower(g.font), 'times') AS times FROM h LEFT JOIN g ON h.doc_id = g.doc_id),
+ r AS (SELECT doc_id, unnest([
+  {{'rule': 'H-01', 'result': CASE WHEN l IS NULL OR w IS NULL OR t IS NULL THEN 'unverifiable' WHEN abs(l - 72.5) <= 3 AND abs(w - 467) <= 3 AND abs(t - 52) <= 3 THEN 'compliant' ELSE 'non_compliant' END}},
+  {{'rule': 'H-02', 'result': CASE WHEN s IS NULL OR gap IS NULL OR times IS NULL THEN 'unverifiable' WHEN abs(s - 10) <= 0.25 AND abs(gap - 13) <= 0.5 AND times THEN 'compliant' ELSE 'non_compliant' END}},
+  {{'rule': 'H-03', 'result': CASE WHEN titles IS NULL THEN 'unverifiable' WHEN titles <= 2 THEN 'compliant' ELSE 'non_compliant' END}}, {{'rule': 'H-04', 'result': CASE WHEN h1 IS NULL THEN 'unverifiable' WHEN h1 <= 60 THEN 'compliant' ELSE 'non_compliant' END}},
+  {{'rule': 'H-05', 'result': CASE WHEN n2 = 0 THEN 'not_applicable' WHEN h2 <= 45 THEN 'compliant' ELSE 'non_compliant' END}}, {{'rule': 'H-06', 'result': CASE WHEN refs IS NULL THEN 'unverifiable' WHEN entries >= 2 THEN 'compliant' ELSE 'non_compliant' END}}]) AS x FROM j)
+ SELECT doc_id, x.rule AS rule, x.result AS result FROM r"""
+
+
+@query("A37_profile_assessment", _house_sql())
+def a37_profile_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's results for the house profile, from the body's geometry and the native blocks."""
+    body = body_geometry(column_lines(spark, sf_dir), ["doc_id"])
+    role, text = F.col("role"), F.col("text")
+    first, second = (role == "heading") & text.rlike(r"^\d+\.\s"), (role == "heading") & text.rlike(r"^\d+\.\d+\b")
+    count = lambda c: F.nullif(F.count_if(c), F.lit(0))
+    blocks_ = tagged_blocks(stream_lines(spark, sf_dir), ["doc_id"]).groupBy("doc_id").agg(
+        count(role == "title").alias("titles"), F.max(F.when(first, F.length(text))).alias("h1_longest"), F.count_if(second).alias("h2_count"), F.max(F.when(second, F.length(text))).alias("h2_longest"),
+        count((role == "heading") & (text == "References")).alias("references"), count(role == "reference_entry").alias("entries"))
+    both = blocks_.join(body.drop("lines", "pages"), "doc_id", "left")
+    named = {"frame_left": "left", "frame_width": "width", "frame_top": "top", "body_size": "size", "line_gap": "line_gap"} | {c: c for c in ("titles", "h1_longest", "h2_count", "h2_longest", "references", "entries")}
+    pairs = [x for name, c in named.items() for x in (F.lit(name), F.col(c).cast("double"))]
+    measures = F.create_map(*pairs, F.lit("times"), F.contains(F.lower("font"), F.lit("times")).cast("double"))
+    return A.assess(both.select("doc_id", measures.alias("measures")), HOUSE).select("doc_id", "rule", "result")

@@ -184,3 +184,25 @@ def test_layout_json_of_both_shapes(spark):  # noqa: ANN001, ANN201
     assert blocks_in("[]") == [] and blocks_in(None) is blocks_in("{") is blocks_in('{"x": 1}') is blocks_in('"text"') is None
     with pytest.raises(Exception, match="no layout: document 9"):
         layout_blocks(spark.createDataFrame([(9, '{"x": 1}')], "doc_id int, layout string"), pages).select(F.max("page")).collect()
+
+
+# ---------------------------------------------------------------- profiles
+
+
+def test_profile_of_ten_groups(spark):  # noqa: ANN001, ANN201
+    from quirework.plans.assessment import SINGLE_COLUMN, assess
+
+    good = {
+        "frame_width": 396, "frame_left": 110, "frame_top": 72, "frame_right": 504, "body_size": 10, "line_gap": 11.5, "times_compatible": 1, "first_indent": -1.5, "paragraph_gap": 7.5, "title_size": 17, "title_bold": 1,
+        "title_rules": 2, "title_off_centre": 3, "title_rules_above": 1, "title_rules_below": 1, "abstract_left_indent": 36, "abstract_right_indent": 41, "abstract_size": 10, "abstract_line_gap": 11, "abstract_paragraphs": 1,
+        "abstract_heading_size": 12, "abstract_heading_bold": 0.9, "abstract_heading_off_centre": 8, "h1_size_off_12": 0.5, "h1_bold": 0.8, "h1_off_left": 0, "h2_count": 2, "h2_size_off_10": 0, "h3_count": 0, "reference_entries": 5,
+        "references_named": 1, "references_numbered": 0, "entries_before_references": 0, "caption_kinds": 1, "captions_continuous": 1, "captions_below": 1, "captions_centred": 1,
+    }
+    bad = good | {"frame_top": 80, "body_size": 10.3, "paragraph_gap": None, "title_off_centre": None, "abstract_paragraphs": 2, "h1_size_off_12": None, "h2_size_off_10": 0.6, "h3_count": 1, "h3_size_off_10": float("nan"), "references_numbered": 1, "caption_kinds": 0}
+    df = spark.createDataFrame([(1, {k: float(v) for k, v in good.items()}), (2, {k: None if v is None else float(v) for k, v in bad.items()}), (3, {})], "doc_id int, measures map<string,double>")
+    rows = {(r["doc_id"], r["rule"][-2:]): r for r in assess(df, SINGLE_COLUMN).collect()}
+    result = lambda d: [rows[d, f"{i:02}"]["result"][:6] for i in range(1, 11)]
+    assert len(rows) == 30 and result(1) == ["compli"] * 7 + ["not_ap"] + ["compli"] * 2
+    assert result(2) == ["non_co", "non_co", "unveri", "non_co", "non_co", "unveri", "non_co", "unveri", "non_co", "not_ap"]
+    assert result(3) == ["unveri"] * 6 + ["not_ap"] * 2 + ["unveri", "not_ap"]
+    assert rows[2, "04"]["failed"] == ["title_off_centre"] and rows[2, "03"]["missing"] == ["paragraph_gap"]
