@@ -1,39 +1,63 @@
-"""Nested JSON as rows, by Spark's variant: a row for each value at any depth."""
+"""Nested JSON as rows: a row for each value at any depth, in one pass over the texts."""
 
 from __future__ import annotations
 
+import json
+from typing import Any, NoReturn
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Key parts that mark a secret.
 SECRET_MARKERS = ("api_key", "secret", "password", "authorization", "access_token", "refresh_token")
 #: Keys that may hold a page, the first that does counts.
 PAGE_KEYS = ("page_number", "page", "references_start", "appendix_start")
-DEPTH = 12
-
-
-def values(df: DataFrame, key: str, body: str, depth: int = DEPTH) -> DataFrame:
-    """``key``, path (positions from the root; objects are walked in the order of their keys), name (null
-    for array items), parent (path), value (variant), text (of strings) for each value below the root.
-
-    A level is one lateral explode without a shuffle. Values below ``depth`` raise, they are not dropped.
-    A null or malformed body has no values."""
-    spark = df.sparkSession
-    now = df.select(F.col(key).alias("_key"), F.array().cast("array<int>").alias("path"), F.try_parse_json(F.col(body)).alias("value"))
-    levels = []
-    for level in range(depth + 1):
-        now.createOrReplaceTempView("_nested_level")
-        now = spark.sql("SELECT _key, path AS parent, array_append(path, e.pos) AS path, e.key AS name, e.value FROM _nested_level, LATERAL variant_explode(value) AS e")
-        spark.catalog.dropTempView("_nested_level")
-        if level < depth:
-            levels.append(now)
-            now = now.select("_key", "path", "value")
-    beyond = now.select("_key", "parent", F.raise_error(F.lit(f"JSON nested deeper than {depth}")).cast("array<int>").alias("path"), "name", "value")
-    out = beyond
-    for one in levels:
-        out = out.unionByName(one)
-    kind = F.schema_of_variant("value")
-    return out.select(F.col("_key").alias(key), "path", "parent", "name", "value", F.when(kind == "STRING", F.variant_get("value", "$", "string")).alias("text"))
+
+_ROW = pa.struct([("path", pa.list_(pa.int32())), ("parent", pa.list_(pa.int32())), ("name", pa.string()), ("kind", pa.string()), ("text", pa.string()), ("whole", pa.int64())])
+_DDL = "array<struct<path:array<int>,parent:array<int>,name:string,kind:string,text:string,whole:bigint>>"
+
+
+def _kind(value: Any) -> str:
+    if value is None:
+        return "null"
+    return {dict: "object", list: "array", str: "string", bool: "boolean", int: "integer"}.get(type(value), "number")
+
+
+def _strict(name: str) -> NoReturn:
+    raise ValueError(name)
+
+
+def _walked(text: str | None) -> list[dict[str, Any]]:
+    try:
+        root = json.loads(text, parse_constant=_strict) if text else None
+    except (ValueError, RecursionError):
+        return []
+    out: list[dict[str, Any]] = []
+    open_ = [([], root)]
+    while open_:
+        parent, value = open_.pop()
+        items = sorted(value.items()) if isinstance(value, dict) else [(None, x) for x in value] if isinstance(value, list) else []
+        for i, (name, inner) in enumerate(items):
+            kind = _kind(inner)
+            whole = inner if kind == "integer" and abs(inner) < 1 << 63 else None
+            out.append({"path": [*parent, i], "parent": parent, "name": name, "kind": kind, "text": inner if kind == "string" else None, "whole": whole})
+            if isinstance(inner, dict | list):
+                open_.append(([*parent, i], inner))
+    return out
+
+
+def values(df: DataFrame, key: str, body: str) -> DataFrame:
+    """``key``, path (positions from the root; objects are walked in the order of their keys), parent (path), name
+    (null for array items), kind (object, array, string, integer, number, boolean, null), text (of strings) and
+    whole (of whole numbers of 64 bits) for each value below the root.
+
+    A null or malformed body, or one nested deeper than the parser goes (some thousand levels), has no values."""
+    ship(df.sparkSession)
+    walk = F.arrow_udf(lambda texts: pa.array([_walked(t) for t in texts.to_pylist()], pa.list_(_ROW)), _DDL)
+    return df.select(F.col(key), walk(F.col(body)).alias("_values")).select(key, F.explode("_values").alias("_v")).select(key, "_v.*")
 
 
 def is_secret(name: Column) -> Column:
@@ -50,6 +74,5 @@ def first_page(nodes: DataFrame, key: str) -> DataFrame:
     rank = F.lit(None).cast("int")
     for i, name in reversed(list(enumerate(PAGE_KEYS))):
         rank = F.when(F.col("name") == name, i).otherwise(rank)
-    number = F.when(F.schema_of_variant("value") == "BIGINT", F.variant_get("value", "$", "long"))
-    found = nodes.select(key, "parent", rank.alias("rank"), number.alias("page")).filter("rank IS NOT NULL AND page > 0")
+    found = nodes.select(key, "parent", rank.alias("rank"), F.col("whole").alias("page")).filter("rank IS NOT NULL AND page > 0")
     return found.groupBy(key).agg(F.min(F.struct("parent", "rank", "page")).alias("least")).select(key, "least.page")
