@@ -25,6 +25,18 @@ def _grams(df: DataFrame, keys: list[str], own: str, text: str) -> DataFrame:
     return parts.filter(F.length("_chunk") >= GRAM).select(*keys, own, F.explode(F.array_distinct(each)).alias("_gram")).distinct()
 
 
+def gram_pairs(left: DataFrame, right: DataFrame, keys: list[str], a: tuple[str, str], b: tuple[str, str]) -> DataFrame:
+    """keys and ids of pairs where one text may hold the other: the first GRAM characters of either are a run of
+    characters of the other. ``a`` and ``b``: names of id and text. Texts shorter than GRAM meet nothing."""
+
+    def head(df: DataFrame, own: str, text: str) -> DataFrame:
+        return df.filter(F.length(text) >= GRAM).select(*keys, own, F.substring(text, 1, GRAM).alias("_gram"))
+
+    one = head(left, *a).join(_grams(right, keys, *b), [*keys, "_gram"])
+    other = head(right, *b).join(_grams(left, keys, *a), [*keys, "_gram"])
+    return one.select(*keys, a[0], b[0]).union(other.select(*keys, a[0], b[0])).distinct()
+
+
 def starts(blocks: DataFrame, lines: DataFrame, keys: list[str], head: int, least: int) -> DataFrame:
     """keys, block_id, at: lines of at least ``least`` characters that hold the first ``head`` characters of the
     block's key, or whose own first ones it holds.

@@ -16,6 +16,7 @@ from ..operators.fusion import fuse_blocks
 from ..operators.native_text import tagged_blocks
 from ..operators.order import visual_lines
 from ..operators.sequences import holding_runs, similar_runs
+from ..operators.spans import matching_spans
 from ..operators.spatial import touching
 from ..registry import query
 from ..sources.layout_json import layout_blocks
@@ -299,3 +300,14 @@ def s11_native_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of a native text layer with their roles and sections."""
     found = tagged_blocks(stream_lines(spark, sf_dir), ["doc_id"])
     return found.select("doc_id", F.col("block").cast("long").alias("block"), "page", "role", "section", "content_type", "text", F.col("box.x0").alias("x0"), F.col("box.y1").alias("y1"), "lines")
+
+
+@query("J09_matching_spans", f"""WITH {PAGE_BLOCKS}, b AS (SELECT doc_id, page, block_no, boxed, x0, y0, x1, y1, lower(regexp_replace(text, '\\s+', '', 'g')) AS key FROM page_blocks), l AS (SELECT doc_id, page, line_id, x0, y0, x1, y1, lower(regexp_replace(text, '\\s+', '', 'g')) AS key FROM page_lines),
+ bt AS (SELECT *, list_distinct(regexp_extract_all(key, '[a-z0-9]{{3,}}')) AS t FROM b), lt AS (SELECT *, list_distinct(regexp_extract_all(key, '[a-z0-9]{{3,}}')) AS t FROM l),
+ j AS (SELECT b.doc_id, b.page, b.block_no, l.line_id, b.key AS bk, l.key AS lk, len(list_intersect(b.t, l.t)) AS m, least(len(b.t), len(l.t)) AS n, CASE WHEN boxed AND b.x1 > b.x0 THEN {_IOU} / ((l.x1 - l.x0) * (l.y1 - l.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - {_IOU}) ELSE 0 END AS iou FROM bt b JOIN lt l ON b.doc_id = l.doc_id AND b.page = l.page),
+ s AS (SELECT *, greatest(CASE WHEN length(bk) >= 8 AND length(lk) >= 8 AND (contains(bk, lk) OR contains(lk, bk)) THEN 100 + least(length(bk), length(lk), 50) WHEN m >= 3 AND m::DOUBLE / n >= 0.8 THEN 70 + CAST(floor(m::DOUBLE / n * 20) AS INTEGER) ELSE 0 END, CASE WHEN iou >= 0.8 THEN 90 + CAST(floor(iou * 9) AS INTEGER) ELSE 0 END) AS score FROM j)
+ SELECT doc_id, page, block_no AS block_id, line_id AS span_id, CAST(score AS INTEGER) AS score, CAST(row_number() OVER (PARTITION BY doc_id, page, block_no ORDER BY score DESC, line_id) AS INTEGER) AS rank FROM s WHERE score > 0""")
+def j09_matching_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each block's spans, the page's lines, by text and place."""
+    ls = page_lines(spark, sf_dir)
+    return matching_spans(page_blocks(ls), ls.select(*KEYS, F.col("line.line_id").alias("span_id"), F.col("line.text").alias("text"), F.col("line.box").alias("box")), KEYS)
