@@ -79,6 +79,7 @@ class Stage:
 
     def __init__(self, df: DataFrame, label: str, options: dict[str, str] | None = None):
         self.spark = df.sparkSession
+        ship(self.spark)
         self.path = f"{shared_dir(self.spark)}/{label}-{uuid.uuid4().hex}"
         df.write.options(compression="zstd", **options or {}).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)

@@ -22,10 +22,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LETTER, buffers, spans, text_bytes
+from .common import LETTER, buffers, ship, spans, text_bytes
 
 BUCKETS = 1 << 15
 WIDTH = 16
@@ -153,14 +153,15 @@ def fit_rows(rows: list[tuple[str, bytes, bytes]], epochs: int = 4, batch: int =
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, **options: float) -> Model:
-    """``labelled``: doc_id, text, label (not null)."""
+    """``labelled``: doc_id, text, label (null: left out). At most ``sample`` rows are fitted, as many of each label: those
+    of least hash of id and text, so rows without an id are drawn like others. Every task keeps that many of a
+    label before they meet."""
+    ship(labelled.sparkSession)
     usable = labelled.filter(F.col("label").isNotNull() & F.col("text").rlike(LETTER))
-    sizes = {r[0]: r[1] for r in labelled.filter(F.col("label").isNotNull()).groupBy("label").count().collect()}
-    quota = sample / max(1, len(sizes))
-    share = F.lit(0.0)
-    for label, n in sizes.items():
-        share = F.when(F.col("label") == label, F.lit(min(1.0, quota / n))).otherwise(share)
-    chosen = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1_000_000)) < share * 1_000_000)
+    n_labels = usable.select("label").distinct().count()
+    draw = F.xxhash64("doc_id", "text", F.lit("langid"))
+    place = F.row_number().over(Window.partitionBy("label").orderBy(draw, "doc_id", "text"))
+    chosen = usable.select("doc_id", "text", "label").withColumn("_n", place).filter(F.col("_n") <= sample // max(1, n_labels)).drop("_n")
     return fit_rows(sorted((r[0], bytes(r[1]), bytes(r[2])) for r in counted(chosen).collect()), **options)
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, buffers, spans, text_bytes
+from .common import Words, buffers, ship, spans, text_bytes
 
 _CLASSES = {
     "upper": range(65, 91),
@@ -211,6 +211,7 @@ def fit_rows(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, rate
 
 def fit(sample: DataFrame, **options: float) -> Ensemble:
     """``sample``: text, label, of a bounded number of rows; only their figures reach the driver."""
+    ship(sample.sparkSession)
     rows = statistics(sample, [F.col("label")]).select("row.label", *NAMES).collect()
     table = np.array(sorted(tuple(r) for r in rows), dtype=float).reshape(len(rows), len(NAMES) + 1)
     order = np.random.default_rng(3).permutation(len(table))

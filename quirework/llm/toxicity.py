@@ -30,14 +30,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, buffers, mix, spans, text_bytes
+from .common import Words, buffers, mix, ship, spans, text_bytes
 
 BUCKETS = 1 << 15
 FIT_TEXTS = 1500  # labelled texts that the field's weights are fitted on; words are mined from all
 STEMS = (3, 4, 5, 6, 7)  # bytes
 FEATURES = ("word", *(f"first {k} bytes" for k in STEMS), "last 3 bytes")
-SUSPECTS = 5000  # most suspect words and stems kept
-CANDIDATES = 200_000  # words and stems of toxic texts looked up in the others
 
 _INSIDE = np.zeros(256, bool)
 _INSIDE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -181,15 +179,16 @@ def _contexts(texts: DataFrame, among: np.ndarray | None) -> DataFrame:
 
 def suspects(sample: DataFrame, least: int = 6, ratio: float = 20.0) -> list[int]:
     """Fingerprints of words and stems that stand in ``least`` contexts or more in toxic texts and, per
-    text, ``ratio`` times as often there as in others."""
+    text, ``ratio`` times as often there as in others. All of them: how many there can be is bounded by the
+    sample's texts alone."""
     totals = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
     if not totals.get(1) or not totals.get(0):
         return []
     seen = _contexts(sample.filter("label = 1"), None).filter(F.col("count") >= least)
-    bad = {r[0]: r[1] for r in seen.orderBy(F.desc("count"), "feature").limit(CANDIDATES).collect()}
+    bad = {r[0]: r[1] for r in seen.toLocalIterator()}
     good = {r[0]: r[1] for r in _contexts(sample.filter("label = 0"), np.array(sorted(bad), np.int64)).collect()}
     odds = {h: n / totals[1] / ((good.get(h, 0) + 0.5) / totals[0]) for h, n in bad.items()}
-    return sorted((h for h, o in odds.items() if o >= ratio), key=lambda h: (-odds[h], h))[:SUSPECTS]
+    return sorted((h for h, o in odds.items() if o >= ratio), key=lambda h: (-odds[h], h))
 
 
 def tagged(sample: DataFrame, words: list[int]) -> DataFrame:
@@ -296,6 +295,7 @@ def tag(docs: DataFrame, field: Field, keep: list[Column]) -> DataFrame:
 
 def fit(sample: DataFrame) -> Field:
     """``sample``: text, label, of a bounded number of rows."""
+    ship(sample.sparkSession)
     words = suspects(sample)
     if not words:
         none = np.zeros(BUCKETS)
