@@ -154,14 +154,20 @@ def fit_rows(rows: list[tuple[str, bytes, bytes]], epochs: int = 4, batch: int =
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, **options: float) -> Model:
     """``labelled``: doc_id, text, label (null: left out). At most ``sample`` rows are fitted, as many of each label: those
-    of least hash of id and text, so rows without an id are drawn like others. Every task keeps that many of a
-    label before they meet."""
+    of least hash of id and text, so rows without an id are drawn like others. A range of hashes that holds about
+    twice as many is cut out of each label first, so that what meets to be ranked is bounded at any size."""
     ship(labelled.sparkSession)
     usable = labelled.filter(F.col("label").isNotNull() & F.col("text").rlike(LETTER))
-    n_labels = usable.select("label").distinct().count()
+    sizes = {r[0]: r[1] for r in usable.groupBy("label").count().collect()}
+    quota = sample // max(1, len(sizes))
     draw = F.xxhash64("doc_id", "text", F.lit("langid"))
-    place = F.row_number().over(Window.partitionBy("label").orderBy(draw, "doc_id", "text"))
-    chosen = usable.select("doc_id", "text", "label").withColumn("_n", place).filter(F.col("_n") <= sample // max(1, n_labels)).drop("_n")
+    below = F.lit(None).cast("long")
+    for label, n in sizes.items():
+        share = min(1.0, (2 * quota + 50) / n)
+        below = F.when(F.col("label") == label, F.lit(min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63)))).otherwise(below)
+    place = F.row_number().over(Window.partitionBy("label").orderBy("_draw", "doc_id", "text"))
+    drawn = usable.select("doc_id", "text", "label", draw.alias("_draw")).filter(F.col("_draw") <= below)
+    chosen = drawn.withColumn("_n", place).filter(F.col("_n") <= quota).drop("_n", "_draw")
     return fit_rows(sorted((r[0], bytes(r[1]), bytes(r[2])) for r in counted(chosen).collect()), **options)
 
 
