@@ -118,9 +118,16 @@ def x29(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.try_element_at(stages, F.col("event_type")), F.lit(0.0)).alias("progress"))
 
 
-@query("X35_markdown_preview", r"""WITH m AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '# [' || source || '](http://x/y) ' || text WHEN 1 THEN '![' || source || '](a.png)' || text ELSE text END AS text FROM documents)
- SELECT doc_id, left(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '[#*_`>|]+', '', 'g'), '\s+', ' ', 'g')), 260) AS preview FROM m""")
+_PREVIEW = r"left(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '[#*_`>|]+', '', 'g'), '\s+', ' ', 'g')), 260)"
+
+
+@query("X35_markdown_preview", f"SELECT doc_id, {_PREVIEW} AS preview FROM documents")
 def x35(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, _D).select("doc_id", X.preview(F.col("text")).alias("preview"))
+
+
+@query("X35_linked_previews", f"WITH m AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '# [' || source || '](http://x/y) ' || text WHEN 1 THEN '![' || source || '](a.png)' || text ELSE text END AS text FROM documents) SELECT doc_id, {_PREVIEW} AS preview FROM m")
+def x35_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Previews of texts, a third of which begin with a link and a third with an image."""
     kind = F.col("doc_id") % 3
     linked = F.when(kind == 0, F.concat(F.lit("# ["), "source", F.lit("](http://x/y) "), "text")).when(kind == 1, F.concat(F.lit("!["), "source", F.lit("](a.png)"), "text")).otherwise(F.col("text"))
