@@ -16,13 +16,13 @@ CHUNK = 256
 
 
 def _grams(df: DataFrame, keys: list[str], own: str, text: str) -> DataFrame:
-    """``own`` with each run of GRAM characters of its text. Long texts are cut into overlapping chunks first, as
+    """``own`` with each run of GRAM characters of its text, some of them twice (pairs are made distinct later). Long texts are cut into overlapping chunks first, as
     a substring costs its distance from the start."""
     n = F.length(text)
     chunks = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(n - GRAM, F.lit(0)) / CHUNK).cast("int")), lambda k: F.substring(F.col(text), k * CHUNK + 1, F.lit(CHUNK + GRAM - 1)))
     parts = df.filter(n >= GRAM).select(*keys, own, F.explode(chunks).alias("_chunk"))
     each = F.transform(F.sequence(F.lit(1), F.length("_chunk") - GRAM + 1), lambda i: F.substring(F.col("_chunk"), i, F.lit(GRAM)))
-    return parts.filter(F.length("_chunk") >= GRAM).select(*keys, own, F.explode(F.array_distinct(each)).alias("_gram")).distinct()
+    return parts.filter(F.length("_chunk") >= GRAM).select(*keys, own, F.explode(F.array_distinct(each)).alias("_gram"))
 
 
 def gram_pairs(left: DataFrame, right: DataFrame, keys: list[str], a: tuple[str, str], b: tuple[str, str]) -> DataFrame:
