@@ -5,9 +5,13 @@ deals them to cells; what is left after the cell's centre is coded with 4 bits f
 ``SUB`` dimensions. Codes and codebooks minimise an error that weighs the part parallel to the
 vector ``eta`` times as much as the rest, since only that part changes large inner products.
 
-A query looks up one table of 16 entries for each group (rounded to 8 bits) to scan a cell's codes,
-keeps the ``rerank`` best of each block and scores them exactly, in double precision, on the
-original vectors.
+A query looks up one table of 16 entries for each group (rounded to 8 bits) to scan a cell's codes
+and scores the ``rerank`` best of each block exactly, in double precision, on the original vectors.
+
+Codes of rows that lie close together say little about their order, so each row keeps the length of what
+its code leaves out, each cell that of its farthest row. A cosine is at most what the code says plus that
+length: rows and cells that could still pass the k-th best found are looked into too, so none of the k
+nearest is missed, however the vectors lie. Each query starts with its k-th best among the sample.
 
 All is fitted on at most ``sample`` vectors; every row is indexed. Of rows with the same vector only
 the ``k`` + 1 least ids can ever be returned, so the rest is not indexed (an exact saving: ties go to
@@ -33,6 +37,7 @@ SUB = 2
 SAMPLE = 20_000
 BLOCK = 8192
 QUERIES = 2048
+SLACK = 1e-9  # what rounding may add to a bound
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -48,6 +53,8 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 @dataclass
 class Codec:
+    """Centres and books; ``decoded`` gives what codes stand for, without the centre."""
+
     centres: np.ndarray  # cells x d
     books: np.ndarray  # groups x 16 x SUB
     width: int  # d, padded to whole groups
@@ -67,6 +74,9 @@ class Codec:
         """Codes (one of 16 for each group) by coordinate descent on the anisotropic error."""
         return _encode(self.padded(x), self.padded(x - self.centres[cell]), self.books, self.eta, sweeps)
 
+    def decoded(self, codes: np.ndarray) -> np.ndarray:
+        return self.books[np.arange(len(self.books))[None], codes].reshape(len(codes), -1)
+
 
 def _encode(x: np.ndarray, rest: np.ndarray, books: np.ndarray, eta: float, sweeps: int) -> np.ndarray:
     n, groups = len(x), books.shape[0]
@@ -136,8 +146,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def search(vectors: DataFrame, is_query: Column, k: int = 5, share: float = 0.8, rerank: int = 48, sample: int = SAMPLE, block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest other rows by cosine.
 
-    ``share``: part of the cells that a query looks into, nearest first. Vectors without clusters need
-    most cells for a recall of 0.9 (half of them gave 0.93 on isotropic data); clustered ones need few.
+    ``share``: part of the cells that a query looks into whatever their bounds, nearest first; ``rerank``: rows of a
+    block that it scores whatever theirs.
     """
     rows = usable(vectors)
     total = rows.count()
@@ -151,36 +161,63 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, share: float = 0.8,
     codec = train(x, cells)
     cells = len(codec.centres)
     probes = min(cells, max(1, -(-int(cells * share * 100) // 100)))
-    held = vectors.sparkSession.sparkContext.broadcast(codec)
-
-    def placed(n: int, coded: bool):  # noqa: ANN202
+    context = vectors.sparkSession.sparkContext
+    held, sampled = context.broadcast(codec), context.broadcast((np.array([r[0] for r in picked]), x))
+
+    def surely(ids: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """A score that k other rows reach: the k-th best of the sample."""
+        own, known = sampled.value
+        if len(own) <= k:
+            return np.full(len(u), -np.inf)
+        out = []
+        for at in range(0, len(u), 64):
+            s = u[at : at + 64] @ known.T
+            s[ids[at : at + 64, None] == own[None]] = -np.inf
+            out.append(np.partition(s, -k, axis=1)[:, -k])
+        return np.concatenate(out)
+
+    def coding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                u = _unit(_matrix(part.column(1), d))
+                cell = m.cells(u, 1)[:, 0]
+                codes = m.encode(u, cell)
+                rest = u - m.centres[cell]
+                far, left_out = np.linalg.norm(rest, axis=1), np.linalg.norm(m.padded(rest) - m.decoded(codes), axis=1)
+                codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
+                packed = pa.array([c.tobytes() for c in codes[:, ::2] | codes[:, 1::2] << 4], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cell.astype(np.int32)), packed, pa.array(left_out), pa.array(far)], names=["vec_id", "v", "cell", "codes", "left_out", "far"])
+
+    def asking(reach: np.ndarray):  # noqa: ANN202
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m = held.value
             for batch in batches:
                 for at in range(0, batch.num_rows, 1024):
                     part = batch.slice(at, 1024)
                     u = _unit(_matrix(part.column(1), d))
-                    near = held.value.cells(u, n)
-                    arrays = [part.column(0), part.column(1), pa.array(list(near.astype(np.int32)), pa.list_(pa.int32()))]
-                    if coded:
-                        codes = held.value.encode(u, near[:, 0])
-                        codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
-                        arrays.append(pa.array([c.tobytes() for c in codes[:, ::2] | codes[:, 1::2] << 4], pa.binary()))
-                    yield pa.RecordBatch.from_arrays(arrays, names=["vec_id", "v", "cells", "codes"][: len(arrays)])
+                    least = surely(part.column(0).to_numpy(), u)
+                    look = u @ m.centres.T + reach[None] >= least[:, None] - SLACK
+                    np.put_along_axis(look, m.cells(u, probes), True, 1)
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(least), pa.array([np.flatnonzero(r).astype(np.int32) for r in look], pa.list_(pa.int32()))], names=["vec_id", "v", "least", "cells"])
 
         return run
 
     # the k + 1 least ids of each distinct vector; Spark keeps that many in each task before it deals them out
     least = Window.partitionBy("v").orderBy("vec_id")
     base = rows.withColumn("n", F.row_number().over(least)).filter(F.col("n") <= k + 1).drop("n")
-    coded = base.mapInArrow(placed(1, True), "vec_id long, v array<double>, cells array<int>, codes binary").withColumn("cell", F.col("cells")[0]).drop("cells")
-    asked = rows.filter(is_query).mapInArrow(placed(probes, False), "vec_id long, v array<double>, cells array<int>").select("vec_id", "v", F.explode("cells").alias("cell"))
+    coded = base.mapInArrow(coding, "vec_id long, v array<double>, cell int, codes binary, left_out double, far double")
+    held_by = {r[0]: (r[1], r[2]) for r in coded.groupBy("cell").agg(F.count("*"), F.max("far")).collect()}  # at most one row for each cell
+    sizes = {c: n for c, (n, _) in held_by.items()}
+    reach = np.array([held_by[c][1] if c in held_by else -np.inf for c in range(cells)])
+    asked = rows.filter(is_query).mapInArrow(asking(reach), "vec_id long, v array<double>, least double, cells array<int>").select("vec_id", "v", "least", F.explode("cells").alias("cell"))
 
-    sizes = {r[0]: r[1] for r in coded.groupBy("cell").count().collect()}  # at most one row for each cell
     loads = {r[0]: r[1] for r in asked.groupBy("cell").count().collect()}
     counts = F.array(*[F.lit(max(1, -(-sizes.get(c, 0) // block))) for c in range(cells)])
     parts = F.array(*[F.lit(max(1, -(-loads.get(c, 0) // queries))) for c in range(cells)])
     salt = F.xxhash64("vec_id")
-    coded = coded.withColumn("block", F.pmod(salt, F.get(counts, F.col("cell"))).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.get(parts, F.col("cell")) - 1)))
+    coded = coded.drop("far").withColumn("block", F.pmod(salt, F.get(counts, F.col("cell"))).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.get(parts, F.col("cell")) - 1)))
     asked = asked.withColumn("part", F.pmod(salt, F.get(parts, F.col("cell"))).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.get(counts, F.col("cell")) - 1)))
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -195,11 +232,18 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, share: float = 0.8,
             codes = np.stack([packed & 15, packed >> 4], axis=2).reshape(len(ids), -1)
             scale = np.abs(original).max(axis=1, keepdims=True)
             norms = np.linalg.norm(original / scale, axis=1) * scale[:, 0]
+            left_out, centre = left["left_out"].to_numpy()[order], m.centres[left["cell"][0].as_py()]
             asked_ids, asked_v = right["vec_id"].to_numpy(), _matrix(right["v"].combine_chunks(), d)
-            for q, v in zip(asked_ids, asked_v, strict=True):
+            for q, v, least in zip(asked_ids, asked_v, right["least"].to_numpy(), strict=True):
+                size = np.abs(v).max()
+                length = np.linalg.norm(v / size) * size
+
+                def exactly(rows: np.ndarray) -> np.ndarray:
+                    return (original[rows] @ v) / (norms[rows] * length)  # noqa: B023
+
                 if len(ids) > rerank:
-                    u = m.padded(_unit(v[None]))[0].reshape(-1, SUB)
-                    tables = np.einsum("gks,gs->gk", m.books, u)
+                    unit = _unit(v[None])
+                    tables = np.einsum("gks,gs->gk", m.books, m.padded(unit)[0].reshape(-1, SUB))
                     step = max(1e-12, float(np.abs(tables).max()) / 127)
                     table = np.round(tables / step).astype(np.int32)
                     guess = np.zeros(len(ids), np.int32)
@@ -207,12 +251,18 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, share: float = 0.8,
                         guess += table[g][codes[:, g]]
                     cut = np.partition(guess, len(guess) - rerank)[len(guess) - rerank]
                     above, level = np.flatnonzero(guess > cut), np.flatnonzero(guess == cut)
-                    best = np.sort(np.concatenate([above, level[: rerank - len(above)]]))
+                    best = np.concatenate([above, level[: rerank - len(above)]])
+                    known = exactly(best[ids[best] != q])
+                    if len(known) >= k:
+                        least = max(least, np.partition(known, -k)[-k])
+                    most = float(unit[0] @ centre) + guess * step + len(table) * step / 2 + left_out
+                    could = most >= least - SLACK
+                    could[best] = True
+                    best = np.flatnonzero(could)
                 else:
                     best = np.arange(len(ids))
                 best = best[ids[best] != q]
-                size = np.abs(v).max()
-                score = (original[best] @ v) / (norms[best] * (np.linalg.norm(v / size) * size))
+                score = exactly(best)
                 top = np.lexsort((ids[best], -score))[:k]
                 out.append(pa.RecordBatch.from_arrays([pa.array(np.full(len(top), q)), pa.array(ids[best][top]), pa.array(score[top])], names=["query_id", "vec_id", "score"]))
         none = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
