@@ -17,6 +17,7 @@ FRONT_ROLES = ["title", "document_title", "author", "authors", "affiliation", "f
 GRAPHIC_ROLES = ["native_image_object", "native_vector_graphic_object"]
 REFERENCE_TERMS = ["references", "bibliography"]
 GRAPHIC_TERMS = ["figure", "fig.", "table"]
+HEADING_ROLES = ["heading", "title", "section"]
 APPENDIX = r"(?i)^(?:appendix\b|[A-Z]\.\s+)"
 KINDS = ["front_matter", "abstract", "body_section", "figure_table", "reference", "appendix", "global"]
 TITLES = ["Front matter", "Abstract", None, "Figures and tables", "References", "Appendix", "Global layout"]
@@ -32,10 +33,10 @@ def _names(terms: list[str]) -> Column:
     return found
 
 
-def _marked(facts: DataFrame) -> DataFrame:
+def _marked(facts: DataFrame, heading_roles: list[str]) -> DataFrame:
     """Facts with what they say of themselves."""
     section, role = F.trim(F.coalesce("section", F.lit(""))), F.lower(F.coalesce("role", F.lit("")))
-    heads = section.rlike(APPENDIX) | (role.isin("heading", "title", "section") & F.trim(F.coalesce("quote", F.lit(""))).rlike(APPENDIX))
+    heads = section.rlike(APPENDIX) | (role.isin(heading_roles) & F.trim(F.coalesce("quote", F.lit(""))).rlike(APPENDIX))
     root = F.nullif(F.regexp_extract(section, r"^(\d+)(?:\s|\.|$)", 1), F.lit(""))
     return facts.select(
         "doc_id", "position", "evidence_id", F.coalesce("page", F.lit(0)).alias("page"), section.alias("section"), role.alias("role"), root.alias("root"),
@@ -75,9 +76,11 @@ def _body_groups(body: DataFrame) -> DataFrame:
     return numbered.drop("roots").unionByName(paged.drop("roots"))
 
 
-def unit_members(facts: DataFrame) -> DataFrame:
-    """doc_id, kind, part (within the kind), title, evidence_id, position, page: each fact of each unit."""
-    marked = _marked(facts)
+def unit_members(facts: DataFrame, heading_roles: list[str] = HEADING_ROLES) -> DataFrame:
+    """doc_id, kind, part (within the kind), title, evidence_id, position, page: each fact of each unit.
+
+    ``heading_roles``: roles whose quotes may begin the appendix, as sections do."""
+    marked = _marked(facts, heading_roles)
     known = marked.join(_bounds(marked), "doc_id")
     on_first = F.col("page") == F.col("first_page")
     opening = on_first & ~F.col("abstract") & (F.col("role").isin(FRONT_ROLES) | ~F.col("section").rlike(r"^\d+(?:\s|\.|$)"))
@@ -101,11 +104,11 @@ def unit_members(facts: DataFrame) -> DataFrame:
     return rest.select(*columns).unionByName(_body_groups(body.drop("has_front", "opening")).withColumn("kind", F.lit("body_section")).select(*columns))
 
 
-def plan_units(facts: DataFrame) -> DataFrame:
+def plan_units(facts: DataFrame, heading_roles: list[str] = HEADING_ROLES) -> DataFrame:
     """doc_id, unit (from 1, in order), kind, title, first_page, last_page, n_facts, first_fact (by position).
 
     Facts without a page count in a unit, not in its range of pages."""
-    units = unit_members(facts).groupBy("doc_id", "kind", "part", "title").agg(
+    units = unit_members(facts, heading_roles).groupBy("doc_id", "kind", "part", "title").agg(
         F.min(F.when(F.col("page") > 0, F.col("page"))).alias("first_page"), F.max("page").alias("last_page"), F.count("*").alias("n_facts"), F.min_by("evidence_id", "position").alias("first_fact"))
     rank = F.array_position(F.array(*(F.lit(k) for k in KINDS)), F.col("kind"))
     order = Window.partitionBy("doc_id").orderBy(rank, "part")
