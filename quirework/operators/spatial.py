@@ -5,12 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geometry import overlap
 from .relational import settled
 
 CELL = 64.0
 MOST_CELLS = 256
 
 
+def equal_boxes(df: DataFrame, keys: list[str], box: str, *aggregates: Column) -> DataFrame:
+    """One row for each different ``box`` of a key. What boxes alone decide, as who meets whom, is then worked out
+    once for all rows that share one, so a page crowded with copies makes no more pairs than one without."""
+    return df.groupBy(*keys, box).agg(*aggregates)
+
+
+def overlapped(some: DataFrame, rows: DataFrame, keys: list[str], box: str, own: str, cell: float = 3.0) -> DataFrame:
+    """The rows of ``some`` (``keys``, ``own``, ``box``, maybe more) whose box shares an area with the box of a row
+    of ``rows`` with another ``own``.
+
+    Boxes that cover the same small cell overlap, so each looks first into the first cell that it covers whole.
+    Only those who find nobody there meet their neighbours one by one: the more crowded a page, the fewer."""
+
+    def homes(df: DataFrame) -> DataFrame:
+        at = {f"_home_{x}": F.ceil(F.col(box)[f"{x}0"] / cell) for x in "xy"}
+        covered = [(at[f"_home_{x}"] + 1) * cell <= F.col(box)[f"{x}1"] for x in "xy"]
+        # a box whose sides are no finite numbers has no home
+        fine = covered[0] & covered[1]
+        for side in ("x0", "y0", "x1", "y1"):
+            fine = fine & (F.abs(F.col(box)[side]) < 1e15)
+        return df.withColumns({name: F.when(fine, c) for name, c in at.items()})
+
+    at = ["_home_x", "_home_y"]
+    full = homes(rows).filter(F.col("_home_x").isNotNull()).groupBy(*keys, *at).agg(F.min(own).alias("_least"), F.max(own).alias("_most"))
+    met = F.coalesce((F.col("_least") != F.col(own)) | (F.col("_most") != F.col(own)), F.lit(False))
+    seen = homes(some).join(full, [*keys, *at], "left").withColumn("_met", met)
+    alone = seen.filter("NOT _met").select(*some.columns)
+    other = rows.select(*keys, F.col(own).alias("_other"), F.col(box).alias("_near"))
+    pairs = touching(alone, other, keys, box, "_near").filter((F.col(own) != F.col("_other")) & (overlap(F.col(box), F.col("_near")) > 0))
+    return seen.filter("_met").select(*some.columns).unionByName(alone.join(pairs.select(*keys, own, box), [*keys, own, box], "left_semi").select(*some.columns))
+
+
 def _span(box: Column, low: str, high: str, cell: float) -> tuple[Column, Column]:
     return tuple(F.floor(box[c] / cell).cast("long") for c in (low, high))
 
