@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from ..functions import geometry as G
 from ..operators import aggregates as A
-from ..operators.relational import page_of, top_per_group
+from ..operators.relational import page_of
+from ..operators.spatial import equal_boxes, touching
 from ..registry import query, table
 from .fixtures import BLOCKS, LINES, OBJECTS, blocks, box, lines, objects
 
@@ -81,11 +82,13 @@ def j04(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("J09_span_to_block", f"""WITH {LINES}, {OBJECTS}, m AS (SELECT line_id, object_id, CASE WHEN l.x0 >= o.x0 AND l.x1 <= o.x1 THEN 4 ELSE 0 END + CASE WHEN l.y0 >= o.y0 AND l.y1 <= o.y1 THEN 2 ELSE 0 END + 1 AS score FROM lines l JOIN objects o ON l.page = o.page WHERE greatest(0.0, least(l.x1, o.x1) - greatest(l.x0, o.x0)) * greatest(0.0, least(l.y1, o.y1) - greatest(l.y0, o.y0)) > 0)
  SELECT line_id, object_id, score FROM (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY score DESC, object_id) AS n FROM m) WHERE n = 1""")
 def j09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ls, ob = lines(spark, sf_dir).select("page", "line_id", box().alias("l")), objects(spark, sf_dir).select("page", "object_id", box().alias("o"))
+    ls = lines(spark, sf_dir).select("page", "line_id", box().alias("l"))
+    ob = equal_boxes(objects(spark, sf_dir).select("page", "object_id", box().alias("o")), ["page"], "o", F.min("object_id").alias("object_id"))
     across = (F.col("l.x0") >= F.col("o.x0")) & (F.col("l.x1") <= F.col("o.x1"))
     down = (F.col("l.y0") >= F.col("o.y0")) & (F.col("l.y1") <= F.col("o.y1"))
-    found = ls.join(ob, "page").filter(G.overlap(F.col("l"), F.col("o")) > 0).withColumn("score", F.when(across, 4).otherwise(0) + F.when(down, 2).otherwise(0) + 1)
-    return top_per_group(found.select("line_id", "object_id", "score"), ["line_id"], [F.desc("score"), F.asc("object_id")], 1).drop("rank")
+    found = touching(ls, ob, ["page"], "l", "o").filter(G.overlap(F.col("l"), F.col("o")) > 0).withColumn("score", F.when(across, 4).otherwise(0) + F.when(down, 2).otherwise(0) + 1)
+    best = F.min_by(F.struct("object_id", "score"), F.struct(-F.col("score"), F.col("object_id")))
+    return found.groupBy("line_id").agg(best.alias("b")).select("line_id", "b.object_id", "b.score")
 
 
 @query("A16_body_geometry", f"WITH {LINES}, p AS (SELECT page, min(y0) AS top, max(y1) AS bottom FROM lines GROUP BY page) SELECT median(top) AS top, median(bottom) AS bottom, count(*) AS pages FROM p")
