@@ -47,6 +47,7 @@ BUCKETS = 1 << 13
 FEATURES = 4
 RANGES = 32
 BLOCK_BYTES = 16 << 20
+PIECE = 1 << 20
 
 
 def spelling(data: np.ndarray, words: Words) -> np.ndarray:
@@ -179,11 +180,17 @@ def _asks(blocks: DataFrame) -> DataFrame:
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):
                 if i == j:
                     continue
-                own = data[offsets[i] : offsets[j]]
-                words = Words(own, offsets[i : j + 1] - offsets[i], lower=True)
-                word, first, where = np.unique(words.hash, return_index=True, return_inverse=True)
-                n = np.bincount(where, ~held[i:j][words.row], minlength=len(word)).astype(np.int64)
-                k = spelling(own, words)[first].astype(np.int32)
+                # words of a piece at a time: those of a whole block take some fifty times its bytes
+                found = []
+                for p, q in spans(offsets[i : j + 1], PIECE):
+                    own = data[offsets[i + p] : offsets[i + q]]
+                    words = Words(own, offsets[i + p : i + q + 1] - offsets[i + p], lower=True)
+                    word, first, where = np.unique(words.hash, return_index=True, return_inverse=True)
+                    found.append((word, spelling(own, words)[first].astype(np.int32), np.bincount(where, ~held[i + p : i + q][words.row], minlength=len(word)).astype(np.int64)))
+                every, klass, counts = (np.concatenate(x) for x in zip(*found, strict=True))
+                word, first, where = np.unique(every, return_index=True, return_inverse=True)
+                n, k = np.zeros(len(word), np.int64), klass[first]
+                np.add.at(n, where, counts)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(word), block[i])), pa.array(word.view(np.int64)), pa.array(k), pa.array(n)], names=["block", "word", "klass", "n"])
 
     return blocks.select("block", "held_out", "text").mapInArrow(run, "block long, word long, klass int, n long")
