@@ -13,6 +13,8 @@ from .relational import settled
 
 GRAM = 8
 CHUNK = 256
+HEADS = 256
+STRIDE = 64
 
 
 def _grams(df: DataFrame, keys: list[str], own: str, text: str) -> DataFrame:
@@ -25,6 +27,22 @@ def _grams(df: DataFrame, keys: list[str], own: str, text: str) -> DataFrame:
     return parts.filter(F.length("_chunk") >= GRAM).select(*keys, own, F.explode(F.array_distinct(each)).alias("_gram"))
 
 
+def holding(heads: DataFrame, texts: DataFrame, keys: list[str], own: str, text: str) -> DataFrame:
+    """The rows of ``heads`` (``keys``, an id, _gram of GRAM characters) beside each ``own`` of ``texts`` whose text holds
+    the gram, all without texts.
+
+    A page's heads travel to its texts as one row, and no text is taken apart. Only where a page has more than
+    HEADS heads its texts' grams are made and joined instead, so that such a page doesn't compare all with all."""
+    theirs = [c for c in heads.columns if c not in keys]
+    counted = heads.groupBy(*keys).agg(F.count("*").alias("_heads"))
+    crowded = counted.filter(F.col("_heads") > HEADS).select(*keys)
+    few = heads.join(crowded, keys, "left_anti").groupBy(*keys).agg(F.collect_list(F.struct(*theirs)).alias("_all"))
+    met = texts.select(*keys, own, text).join(few, keys).select(*keys, own, F.explode(F.filter("_all", lambda h: F.contains(F.col(text), h["_gram"]))).alias("_head"))
+    near = met.select(*keys, own, *(F.col(f"_head.{c}").alias(c) for c in theirs))
+    many = heads.join(crowded, keys, "left_semi").join(_grams(texts.join(crowded, keys, "left_semi"), keys, own, text), [*keys, "_gram"])
+    return near.drop("_gram").unionByName(many.drop("_gram"))
+
+
 def gram_pairs(left: DataFrame, right: DataFrame, keys: list[str], a: tuple[str, str], b: tuple[str, str]) -> DataFrame:
     """keys and ids of pairs where one text may hold the other: the first GRAM characters of either are a run of
     characters of the other. ``a`` and ``b``: names of id and text. Texts shorter than GRAM meet nothing."""
@@ -32,8 +50,8 @@ def gram_pairs(left: DataFrame, right: DataFrame, keys: list[str], a: tuple[str,
     def head(df: DataFrame, own: str, text: str) -> DataFrame:
         return df.filter(F.length(text) >= GRAM).select(*keys, own, F.substring(text, 1, GRAM).alias("_gram"))
 
-    one = head(left, *a).join(_grams(right, keys, *b), [*keys, "_gram"])
-    other = head(right, *b).join(_grams(left, keys, *a), [*keys, "_gram"])
+    one = holding(head(left, *a), right, keys, *b)
+    other = holding(head(right, *b), left, keys, *a)
     return one.select(*keys, a[0], b[0]).union(other.select(*keys, a[0], b[0])).distinct()
 
 
@@ -47,8 +65,8 @@ def starts(blocks: DataFrame, lines: DataFrame, keys: list[str], head: int, leas
     ls = lines.filter(F.length("key") >= least).select(*keys, "at", F.col("key").alias("line_key"), first("key").alias("line_head"))
     fits = F.contains("line_key", "prefix") | F.contains("block_key", "line_head")
     long_, short = (lambda c: F.length(c) >= GRAM), (lambda c: F.length(c) < GRAM)
-    by_prefix = b.filter(long_("prefix")).select(*keys, "block_id", F.substring("prefix", 1, GRAM).alias("_gram")).join(_grams(ls, keys, "at", "line_key"), [*keys, "_gram"])
-    by_head = ls.filter(long_("line_head")).select(*keys, "at", F.substring("line_head", 1, GRAM).alias("_gram")).join(_grams(b, keys, "block_id", "block_key"), [*keys, "_gram"])
+    by_prefix = holding(b.filter(long_("prefix")).select(*keys, "block_id", F.substring("prefix", 1, GRAM).alias("_gram")), ls, keys, "at", "line_key")
+    by_head = holding(ls.filter(long_("line_head")).select(*keys, "at", F.substring("line_head", 1, GRAM).alias("_gram")), b, keys, "block_id", "block_key")
     near = by_prefix.select(*keys, "block_id", "at").union(by_head.select(*keys, "block_id", "at")).distinct()
     held = near.join(b, [*keys, "block_id"]).join(ls, [*keys, "at"]).filter(fits)
     brief = b.filter(short("prefix")).join(ls, keys).filter(fits).select(*keys, "block_id", "at")
@@ -59,9 +77,15 @@ def starts(blocks: DataFrame, lines: DataFrame, keys: list[str], head: int, leas
 def windows(blocks: DataFrame, lines: DataFrame, keys: list[str], head: int, least: int, most: int, low: Callable[[Column], Column], high: Callable[[Column], Column]) -> DataFrame:
     """keys, block_id, key, at, n, joined: each run of up to ``most`` lines from a start whose length is from
     ``low`` to ``high`` of the block's. Lengths decide before any text is joined."""
-    ahead = Window.partitionBy(*keys).orderBy("at").rowsBetween(0, most - 1)
-    runs = lines.select(*keys, "at", F.collect_list("key").over(ahead).alias("texts"))
-    found = starts(blocks, lines, keys, head, least).join(blocks.select(*keys, "block_id", "key"), [*keys, "block_id"]).join(runs, [*keys, "at"])
+    # a line travels with its own stretch of the page and the one before, not with every line it may follow
+    stride = max(STRIDE, most)
+    at = F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy("at")) - 1) / stride)
+    dealt = lines.select(*keys, "at", "key", at.alias("_own")).withColumn("_stretch", F.explode(F.array(F.col("_own"), F.col("_own") - 1)))
+    inner = F.when(F.col("_own") == F.col("_stretch"), F.col("at"))
+    runs = dealt.groupBy(*keys, "_stretch").agg(F.array_sort(F.collect_list(F.struct("at", F.col("key").alias("line_key")))).alias("_lines"), F.min(inner).alias("_from"), F.max(inner).alias("_to")).filter("_from IS NOT NULL")
+    found = starts(blocks, lines, keys, head, least).join(blocks.select(*keys, "block_id", "key"), [*keys, "block_id"]).join(runs, keys).filter("at BETWEEN _from AND _to")
+    follow = F.slice(F.filter("_lines", lambda x: x["at"] >= F.col("at")), F.lit(1), F.lit(most))
+    found = found.select(*keys, "block_id", "key", "at", F.transform(follow, lambda x: x["line_key"]).alias("texts"))
     sizes = F.transform("texts", lambda t: F.length(t))
     found = settled(found, _sizes=sizes, _n=F.length("key"))
     sums = F.transform(F.sequence(F.lit(1), F.size("_sizes")), lambda k: F.struct(k.alias("n"), F.aggregate(F.slice("_sizes", F.lit(1), k), F.lit(0), lambda a, x: a + x).alias("size")))
