@@ -23,6 +23,8 @@ MARGIN, LINE_SHARE, OBJECT_SHARE = 3.0, 0.45, 0.35
 ACCEPT, RECOVER, CONFLICT, LEAD, APART, MATCHED = 0.45, 0.55, 0.65, 0.15, 0.1, 0.65
 OBJECT_ROLES = ["figure_object", "table_object"]
 MOST = 4000
+# Lines are wide and low: cells of this shape hold most of them in one or two.
+LINE_CELL = {"x": 512.0, "y": 64.0}
 
 
 def unique_blocks(blocks: DataFrame, keys: list[str], width: str = "target_width", height: str = "target_height") -> DataFrame:
@@ -41,8 +43,12 @@ def unique_blocks(blocks: DataFrame, keys: list[str], width: str = "target_width
 def _lines_in(blocks: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
     """block_id, spatial_score, spatial: the lines that lie in the box, in reading order, summed up."""
     wide = blocks.filter("inside").select(*keys, "block_id", G.expand(F.col("box"), MARGIN).alias("outer"))
-    share = G.coverage(F.col("line.box"), F.col("outer"))
-    met = touching(lines, wide, keys, "line_box", "outer").withColumn("share", share).filter(F.col("share") >= LINE_SHARE)
+    share = G.coverage(F.col("line_box"), F.col("outer"))
+    # lines meet blocks by id and box alone; what they hold joins those that are met
+    each = lines.select(*keys, F.struct("line.line_id", "line.box").alias("_at"), "line")
+    narrow = each.select(*keys, "_at", F.col("line.box").alias("line_box")).distinct()
+    near = touching(narrow, wide, keys, "line_box", "outer", LINE_CELL).withColumn("share", share).filter(F.col("share") >= LINE_SHARE)
+    met = near.select(*keys, "_at", "block_id", "share").join(each, [*keys, "_at"])
     placed = F.struct(F.col("line.box.y0").alias("y"), F.col("line.box.x0").alias("x"), "line.line_id", "line")
     found = met.groupBy(*keys, "block_id").agg(F.avg("share").alias("spatial_score"), F.array_sort(F.collect_list(placed)).alias("_placed"))
     return summed_up(found.select(*keys, "block_id", "spatial_score", F.transform("_placed", lambda p: p["line"]).alias("lines")), "spatial")
@@ -74,7 +80,7 @@ def _recovered(blocks: DataFrame, native: DataFrame, keys: list[str]) -> DataFra
     asked = blocks.filter("block_key != ''").select(*keys, "block_id", "block_key", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: d + step("block_key"))).alias("_step"))
     given = native.filter("key != ''").withColumn("_step", step("key"))
     near = asked.join(given, [*keys, "_step"]).filter(F.least(size("key"), size("block_key")) >= least * F.greatest(size("key"), size("block_key")))
-    scored = near.withColumn("score", keys_similarity(F.col("block_key"), F.col("key"), MOST)).filter(F.col("score") >= RECOVER)
+    scored = near.withColumn("score", keys_similarity(F.col("block_key"), F.col("key"), MOST, RECOVER)).filter(F.col("score") >= RECOVER)
     best = scored.groupBy(*keys, "block_id").agg(F.min_by(F.struct("score", "native"), F.struct(-F.col("score"), "native_id")).alias("_best"))
     return best.select(*keys, "block_id", F.col("_best.score").alias("recovery_score"), F.col("_best.native").alias("recovery"))
 
@@ -117,9 +123,8 @@ def fuse_blocks(blocks: DataFrame, lines: DataFrame, objects: DataFrame, pages:
     fine = F.coalesce(G.valid(F.col("box")), F.lit(False))
     given = given.withColumn("box", F.when(fine, F.col("box"))).withColumn("inside", F.coalesce(G.inside_page(F.col("box"), F.col("width"), F.col("height")), F.lit(False)))
     given = given.withColumn("block_key", X.letters_key(F.col("text")))
-    boxed = lines.withColumn("line_box", F.col("line.box"))
     found = given
-    for more in (_lines_in(given, boxed, keys), _recovered(given, native_blocks(lines, keys), keys), _object_boxes(given, objects, keys)):
+    for more in (_lines_in(given, lines, keys), _recovered(given, native_blocks(lines, keys), keys), _object_boxes(given, objects, keys)):
         found = found.join(more, [*keys, "block_id"], "left")
     found = found.withColumns({"spatial_score": F.coalesce("spatial_score", F.lit(0.0)), "recovery_score": F.coalesce("recovery_score", F.lit(0.0)), "place_key": X.letters_key(F.col("spatial.text"))})
     score = keys_similarity(F.col("block_key"), F.col("place_key"), MOST)

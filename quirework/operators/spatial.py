@@ -48,16 +48,18 @@ def _span(box: Column, low: str, high: str, cell: float) -> tuple[Column, Column
     return tuple(F.floor(box[c] / cell).cast("long") for c in (low, high))
 
 
-def touching(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str, cell: float = CELL, axes: str = "xy", most_cells: int = MOST_CELLS) -> DataFrame:
+def touching(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str, cell: float | dict[str, float] = CELL, axes: str = "xy", most_cells: int = MOST_CELLS) -> DataFrame:
     """Pairs of rows equal in ``keys`` whose boxes, struct columns ``a`` of ``left`` and ``b`` of ``right``, share
     a point; with ``axes`` 'x' or 'y' their projections do. The sides must not share other column names.
 
     Each box goes to the cells it touches, and a pair is kept in the lowest cell the two share, so it comes
     once. A box that touches more than ``most_cells`` cells meets the others of its key instead: it covers so
-    much that most of them are its pairs anyway. Rows without a box, with a part of it null or not finite, or
+    much that most of them are its pairs anyway. ``cell`` may name a size for each axis. Rows without a box, with a part of it null or not finite, or
     turned inside out meet nothing.
     """
 
+    sizes = cell if isinstance(cell, dict) else dict.fromkeys(axes, cell)
+
     def usable(box: str) -> Column:
         sides = [F.col(box)[f"{x}{i}"].cast("double") for x in axes for i in (0, 1)]
         fine = F.lit(True)
@@ -71,14 +73,14 @@ def touching(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str,
         df = settled(df.withColumnRenamed(box, "_given"), **{box: F.col("_given")}).drop("_given")
         n: Column = F.lit(1)
         for x in axes:
-            lo, hi = _span(F.col(box), f"{x}0", f"{x}1", cell)
+            lo, hi = _span(F.col(box), f"{x}0", f"{x}1", sizes[x])
             n = n * (hi - lo + 1).cast("double")
         return df.filter(F.coalesce(usable(box), F.lit(False))).withColumn(f"_wide_{box}", n > most_cells)
 
     def dealt(df: DataFrame, box: str) -> DataFrame:
         out = df.filter(~F.col(f"_wide_{box}"))
         for x in axes:
-            lo, hi = _span(F.col(box), f"{x}0", f"{x}1", cell)
+            lo, hi = _span(F.col(box), f"{x}0", f"{x}1", sizes[x])
             out = out.withColumn(f"_cell_{x}", F.explode(F.sequence(lo, hi)))
         return out
 
@@ -86,7 +88,7 @@ def touching(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str,
     share, first = F.lit(True), F.lit(True)
     for x in axes:
         share = share & (F.col(a)[f"{x}0"] <= F.col(b)[f"{x}1"]) & (F.col(b)[f"{x}0"] <= F.col(a)[f"{x}1"])
-        first = first & (F.col(f"_cell_{x}") == F.floor(F.greatest(F.col(a)[f"{x}0"], F.col(b)[f"{x}0"]) / cell))
+        first = first & (F.col(f"_cell_{x}") == F.floor(F.greatest(F.col(a)[f"{x}0"], F.col(b)[f"{x}0"]) / sizes[x]))
     cells = [f"_cell_{x}" for x in axes]
     near = dealt(ls, a).join(dealt(rs, b), [*keys, *cells]).filter(share & first).drop(*cells)
     wide = ls.filter(f"_wide_{a}").join(rs, keys).filter(share).unionByName(ls.filter(f"NOT _wide_{a}").join(rs.filter(f"_wide_{b}"), keys).filter(share))
