@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import split, udfs
 from ..functions import text as X
-from ..operators.relational import first_wins, top_per_group
+from ..operators.relational import first_wins, settled, top_per_group
 from ..registry import query, table
 from ..sources.sinks import report_lines
 from .fixtures import BLOCKS, LINES, OBJECTS, blocks, lines, objects
@@ -123,7 +123,8 @@ def x08(spark: SparkSession, sf_dir: str) -> DataFrame:
 def x14(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy("block_no")
     b = blocks(spark, sf_dir).withColumn("before", F.lag("content").over(w)).filter("before is not null")
-    return b.select("doc_id", "block_no", F.round(udfs.similarity("content", "before"), 6).alias("similarity"))
+    keyed = settled(b, _x=X.letters_key(F.col("content")), _y=X.letters_key(F.col("before")))
+    return keyed.select("doc_id", "block_no", F.round(udfs.keys_similarity(F.col("_x"), F.col("_y")), 6).alias("similarity"))
 
 
 @query("X12_redaction", """SELECT event_id, regexp_replace(props, '"ref":\\s*"[^"]*"', '"ref":"***"', 'g') AS props FROM events""")
