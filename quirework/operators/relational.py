@@ -13,6 +13,11 @@ def settled(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same (narrow) rows, dealt to several tasks a core: a small file is few tasks, however much work follows."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def authorised(owned: DataFrame, requested: DataFrame, key: str) -> DataFrame:
     """All or nothing: the requested rows if every requested id is owned, else none.
 
