@@ -74,7 +74,8 @@ def visual_lines(df: DataFrame, group: list[str], near: float = 1.0) -> DataFram
     such a gap is folded by itself. Adds ``line`` (from 1), baseline (median), box, text (by x0), fragments."""
     base = F.coalesce(F.col("baseline"), F.col("box.y1"))
     order = Window.partitionBy(*group).orderBy("_base", "_x", "_text")
-    placed = df.withColumn("_base", base).withColumn("_x", F.col("box.x0")).withColumn("_text", F.col("text"))
+    # dealt anew, as fragments are often cut from fewer rows: tasks sized by those would sort many times as much
+    placed = df.select(*group, base.alias("_base"), F.col("box.x0").alias("_x"), F.col("text").alias("_text"), "box").repartition(*group)
     apart = F.col("_base") - F.lag("_base").over(order) > near
     stretches = placed.withColumn("_stretch", F.sum(F.when(apart, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     items = F.array_sort(F.collect_list(F.struct(F.col("_base").alias("b"), F.col("_x").alias("x"), F.col("_text").alias("t"), "box")))
