@@ -54,8 +54,8 @@ def touching(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str,
 
     Each box goes to the cells it touches, and a pair is kept in the lowest cell the two share, so it comes
     once. A box that touches more than ``most_cells`` cells meets the others of its key instead: it covers so
-    much that most of them are its pairs anyway. ``cell`` may name a size for each axis. Rows without a box, with a part of it null or not finite, or
-    turned inside out meet nothing.
+    much that most of them are its pairs anyway. ``cell`` may name a size for each axis. Rows without a box, with
+    a part of it null or not finite, or turned inside out meet nothing.
     """
 
     sizes = cell if isinstance(cell, dict) else dict.fromkeys(axes, cell)
