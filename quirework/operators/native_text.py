@@ -17,10 +17,12 @@ PREFIX, NUMBERED = r"^\d+(?:\.\d+)*\.?$", r"^\d+(?:\.\d+)*\.?\s+\S"
 LARGER, TITLE_LARGER, TITLE_LENGTH, HEADING_LENGTH = 0.5, 4.0, 240, 160
 
 
-def body_sizes(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """The size, to a tenth, of most characters; the first on a tie."""
-    each = lines.groupBy(*keys, F.bround("max_size", 1).alias("body_size")).agg(F.sum(F.length("text")).alias("_w"), F.min("position").alias("_at"))
-    return each.groupBy(*keys).agg(F.min_by("body_size", F.struct(-F.col("_w"), F.col("_at"))).alias("body_size"))
+def with_body_size(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """``lines`` with ``body_size``: the size, to a tenth, of most characters of the document; the first on a tie.
+    Windows, so that lines are read once and not met with a statistic of their own."""
+    of_size = Window.partitionBy(*keys, "_tenth")
+    sized = lines.withColumn("_tenth", F.bround("max_size", 1)).withColumn("_w", F.sum(F.length("text")).over(of_size)).withColumn("_at", F.min("position").over(of_size))
+    return sized.withColumn("body_size", F.min_by("_tenth", F.struct(-F.col("_w"), F.col("_at"))).over(Window.partitionBy(*keys))).drop("_tenth", "_w", "_at")
 
 
 def _line_role(text: Column) -> Column:
@@ -35,8 +37,8 @@ def tagged_blocks(lines: DataFrame, keys: list[str]) -> DataFrame:
 
     One row a block, in order: block (from 1), page, role (title, heading, paragraph, reference_entry), section,
     content_type, text, box, lines. A title has no section and doesn't change the one it stands in."""
-    given = lines.withColumn("text", F.trim(F.regexp_replace("text", r"(?U)^\s+|\s+$", ""))).filter("text != ''")
-    sized = given.join(body_sizes(given, keys), keys)
+    given = lines.filter(" AND ".join(f"{k} IS NOT NULL" for k in keys)).withColumn("text", F.trim(F.regexp_replace("text", r"(?U)^\s+|\s+$", ""))).filter("text != ''")
+    sized = with_body_size(given, keys)
     big = F.col("max_size") >= F.col("body_size") + LARGER
     raw = Window.partitionBy(*keys, "page", "raw_block").orderBy("position")
     so_far = raw.rowsBetween(Window.unboundedPreceding, 0)
