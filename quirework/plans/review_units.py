@@ -6,6 +6,8 @@ units: its section's, that of figures and tables, and the global one.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,7 +35,7 @@ def _names(terms: list[str]) -> Column:
     return found
 
 
-def _marked(facts: DataFrame, heading_roles: list[str]) -> DataFrame:
+def _marked(facts: DataFrame, heading_roles: list[str], carried: Sequence[str] = ()) -> DataFrame:
     """Facts with what they say of themselves."""
     section, role = F.trim(F.coalesce("section", F.lit(""))), F.lower(F.coalesce("role", F.lit("")))
     heads = section.rlike(APPENDIX) | (role.isin(heading_roles) & F.trim(F.coalesce("quote", F.lit(""))).rlike(APPENDIX))
@@ -41,67 +43,65 @@ def _marked(facts: DataFrame, heading_roles: list[str]) -> DataFrame:
     return facts.select(
         "doc_id", "position", "evidence_id", F.coalesce("page", F.lit(0)).alias("page"), section.alias("section"), role.alias("role"), root.alias("root"),
         section.rlike(r"^\d+(?:\s+|\.\s+)").alias("names_root"), F.startswith(F.coalesce("role", F.lit("")), F.lit("derived_")).alias("derived"), _names(["abstract"]).alias("abstract"), _names(REFERENCE_TERMS).alias("refers"),
-        (_names(GRAPHIC_TERMS) | F.coalesce(F.col("role").isin(GRAPHIC_ROLES), F.lit(False))).alias("graphic"), heads.alias("heads"),
+        (_names(GRAPHIC_TERMS) | F.coalesce(F.col("role").isin(GRAPHIC_ROLES), F.lit(False))).alias("graphic"), heads.alias("heads"), *carried,
     )
 
 
-def _bounds(marked: DataFrame) -> DataFrame:
-    """Where the parts of each document begin; documents without a page have no units."""
-    paged = F.col("page") > 0
-    b = marked.groupBy("doc_id").agg(
-        F.min(F.when(paged, F.col("page"))).alias("first_page"), F.min(F.when(paged & F.col("refers"), F.col("page"))).alias("references_at"),
-        F.min(F.when(paged & F.col("heads"), F.col("page"))).alias("appendix_at"), F.bool_or("abstract").alias("has_abstract"),
-    )
-    return b.filter("first_page IS NOT NULL")
-
-
-def _body_groups(body: DataFrame) -> DataFrame:
-    """body facts with ``part`` and ``title``: by numbered top-level section, in order of their first pages; facts
-    without a number go with the section that began last on their page or before. Documents without numbers
-    are cut into windows of PAGES_A_UNIT pages that have facts."""
-    named = F.min(F.when(F.col("names_root"), F.struct("position", "section")))
-    roots = body.filter("root IS NOT NULL").groupBy("doc_id", "root").agg(F.min("page").alias("start"), F.min("position").alias("at"), named.alias("named"))
-    listed = roots.select("doc_id", F.struct("start", "at", "root", F.coalesce("named.section", F.concat(F.lit("Section "), F.col("root"))).alias("title")).alias("r"))
-    of_doc = listed.groupBy("doc_id").agg(F.array_sort(F.collect_list("r")).alias("roots"))
-    placed = body.join(of_doc, "doc_id", "left")
+def _bounded(marked: DataFrame) -> DataFrame:
+    """Facts with where the parts of their document begin; documents without a page have no units."""
+    paged, of_doc = F.col("page") > 0, Window.partitionBy("doc_id")
+    first = lambda c: F.min(F.when(c, F.col("page"))).over(of_doc)
+    bounds = {"first_page": first(paged), "references_at": first(paged & F.col("refers")), "appendix_at": first(paged & F.col("heads")), "has_abstract": F.bool_or("abstract").over(of_doc)}
+    return marked.filter("doc_id IS NOT NULL").select("*", *(c.alias(n) for n, c in bounds.items())).filter("first_page IS NOT NULL")
+
+
+def _body_groups(known: DataFrame) -> DataFrame:
+    """``known`` with ``body_part`` and ``body_title`` of its ``body`` facts: by numbered top-level section, in order of
+    their first pages; facts without a number go with the section that began last on their page or before. Documents
+    without numbers are cut into windows of PAGES_A_UNIT pages that have facts. Null for facts of no such group."""
+    rooted, of_root = F.col("body") & F.col("root").isNotNull(), Window.partitionBy("doc_id", "body", "root")
+    named = F.min(F.when(F.col("names_root"), F.struct("position", "section"))).over(of_root)
+    started = known.withColumns({"_start": F.min("page").over(of_root), "_at": F.min("position").over(of_root), "_named": named})
+    listed = F.struct(F.col("_start").alias("start"), F.col("_at").alias("at"), "root", F.coalesce("_named.section", F.concat(F.lit("Section "), F.col("root"))).alias("title"))
+    placed = started.withColumn("_roots", F.collect_set(F.when(rooted, listed)).over(Window.partitionBy("doc_id")))
+    placed = settled(placed.drop("_start", "_at", "_named"), roots=F.array_sort("_roots")).drop("_roots")
     begun = F.size(F.filter("roots", lambda r: r["start"] <= F.col("page")))
     own = F.array_position(F.transform("roots", lambda r: r["root"]), F.col("root")).cast("int")
-    part = F.when(F.col("root").isNotNull(), own).otherwise(F.greatest(begun, F.lit(1)))
-    numbered = placed.filter("roots IS NOT NULL").withColumn("part", part).withColumn("title", F.get("roots", F.col("part") - 1)["title"])
-    pages = placed.filter("roots IS NULL AND page > 0").select("doc_id", "page").distinct()
-    dense = pages.withColumn("part", (F.ceil(F.row_number().over(Window.partitionBy("doc_id").orderBy("page")) / PAGES_A_UNIT)).cast("int"))
-    edge = lambda f: f("page").over(Window.partitionBy("doc_id", "part")).cast("string")
-    dense = dense.withColumn("title", F.concat(F.lit("Body pages "), edge(F.min), F.lit("-"), edge(F.max)))
-    paged = placed.filter("roots IS NULL AND page > 0").join(dense, ["doc_id", "page"])
-    return numbered.drop("roots").unionByName(paged.drop("roots"))
-
-
-def unit_members(facts: DataFrame, heading_roles: list[str] = HEADING_ROLES) -> DataFrame:
-    """doc_id, kind, part (within the kind), title, evidence_id, position, page: each fact of each unit.
-
-    ``heading_roles``: roles whose quotes may begin the appendix, as sections do."""
-    marked = _marked(facts, heading_roles)
-    known = marked.join(_bounds(marked), "doc_id")
+    numbered, paged = F.col("body") & (F.size("roots") > 0), F.col("body") & (F.size("roots") == 0) & (F.col("page") > 0)
+    dense = F.ceil(F.dense_rank().over(Window.partitionBy("doc_id", "_paged").orderBy("page")) / PAGES_A_UNIT)
+    part = F.when(numbered, F.when(F.col("root").isNotNull(), own).otherwise(F.greatest(begun, F.lit(1)))).when(F.col("_paged"), F.col("_dense"))
+    parted = placed.withColumn("_paged", paged).withColumn("_dense", dense).withColumn("body_part", part.cast("int"))
+    edge = lambda f: f("page").over(Window.partitionBy("doc_id", "_paged", "body_part")).cast("string")
+    title = F.when(F.col("_paged"), F.concat(F.lit("Body pages "), edge(F.min), F.lit("-"), edge(F.max))).otherwise(F.get("roots", F.col("body_part") - 1)["title"])
+    return parted.withColumn("body_title", title).drop("roots", "_paged", "_dense")
+
+
+def unit_members(facts: DataFrame, heading_roles: list[str] = HEADING_ROLES, carried: Sequence[str] = ()) -> DataFrame:
+    """doc_id, kind, part (within the kind), title, evidence_id, position, page, and the columns ``carried``: each fact
+    of each unit.
+
+    ``heading_roles``: roles whose quotes may begin the appendix, as sections do. Facts are read and dealt by document
+    once, without their texts; what a document or section says of a fact comes from windows."""
+    known = _bounded(_marked(facts, heading_roles, carried))
     on_first = F.col("page") == F.col("first_page")
     opening = on_first & ~F.col("abstract") & (F.col("role").isin(FRONT_ROLES) | ~F.col("section").rlike(r"^\d+(?:\s|\.|$)"))
     # a document whose first page has no opening facts opens with the whole page
-    opens = known.filter(opening).select("doc_id").distinct().withColumn("has_front", F.lit(True))
-    known = settled(known.join(opens, "doc_id", "left"), opening=opening)
+    known = settled(known, opening=opening).withColumn("has_front", F.bool_or("opening").over(Window.partitionBy("doc_id")))
     before = F.col("references_at").isNull() | (F.col("page") < F.col("references_at"))
-    body = known.filter(~F.col("abstract") & ~F.col("opening") & ~F.col("derived") & before)
+    grouped = _body_groups(known.withColumn("body", ~F.col("abstract") & ~F.col("opening") & ~F.col("derived") & before))
     belongs = {
         "front_matter": F.when(F.col("has_front"), F.col("opening")).otherwise(on_first),
         "abstract": F.when(F.col("has_abstract"), F.col("abstract")).otherwise(on_first),
+        "body_section": F.col("body_part").isNotNull(),
         "figure_table": F.col("graphic"),
         "reference": (F.col("page") >= F.col("references_at")) & (F.col("appendix_at").isNull() | (F.col("page") < F.col("appendix_at"))),
         "appendix": F.col("page") >= F.col("appendix_at"),
         "global": F.lit(True),
     }
-    kinds = F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in belongs.items())))
-    columns = ["doc_id", "kind", "part", "title", "evidence_id", "position", "page"]
-    title = F.create_map(*(F.lit(x) for k, t in zip(KINDS, TITLES, strict=True) if t for x in (k, t)))
-    rest = known.withColumn("kind", F.explode(kinds)).withColumn("part", F.lit(1)).withColumn("title", title[F.col("kind")])
-    return rest.select(*columns).unionByName(_body_groups(body.drop("has_front", "opening")).withColumn("kind", F.lit("body_section")).select(*columns))
+    fixed = dict(zip(KINDS, TITLES, strict=True))
+    unit = lambda k: F.struct(F.lit(k).alias("kind"), (F.lit(1) if fixed[k] else F.col("body_part")).alias("part"), (F.lit(fixed[k]) if fixed[k] else F.col("body_title")).alias("title"))
+    units = F.array_compact(F.array(*(F.when(c, unit(k)) for k, c in belongs.items())))
+    return grouped.select("doc_id", F.inline(units), "evidence_id", "position", "page", *carried)
 
 
 def plan_units(facts: DataFrame, heading_roles: list[str] = HEADING_ROLES) -> DataFrame:
@@ -126,9 +126,9 @@ def refine_units(units: DataFrame, budget: int, base: int = 0, most_depth: int =
     not_needed (no rules), within_budget, or minimum_unit_exceeds_budget (one rule and page, or ``most_depth``).
     """
     rules, pages = F.array_sort("rules"), F.array_sort("pages")
-    runs = lambda items: F.concat(F.array(F.lit(0).cast("bigint")), F.transform(F.sequence(F.lit(1), F.size(items)), lambda k: F.aggregate(F.slice(items, F.lit(1), k), F.lit(0).cast("bigint"), lambda a, x: a + x["tokens"])))
-    sums = lambda items: F.when(F.size(items) > 0, runs(items)).otherwise(F.array(F.lit(0).cast("bigint")))
-    given = settled(units.select("doc_id", F.col("unit").alias("parent"), "title", rules.alias("rules"), pages.alias("pages")), _r=sums(F.col("rules")), _p=sums(F.col("pages")))
+    none = F.array(F.lit(0).cast("bigint"))
+    runs = lambda items: F.aggregate(items, none, lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x["tokens"])))
+    given = settled(units.select("doc_id", F.col("unit").alias("parent"), "title", rules.alias("rules"), pages.alias("pages")), _r=runs(F.col("rules")), _p=runs(F.col("pages")))
 
     def piece(r0: Column, r1: Column, p0: Column, p1: Column, depth: Column, note: Column) -> Column:
         return F.struct(*(c.cast("int").alias(n) for c, n in ((r0, "r0"), (r1, "r1"), (p0, "p0"), (p1, "p1"), (depth, "depth"))), note.alias("note"))
