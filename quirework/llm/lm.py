@@ -132,6 +132,12 @@ def bias_of(n_class: np.ndarray) -> np.ndarray:
     return np.log(np.concatenate([(n.sum(axis=1) / n.sum())[None], n / n.sum(axis=1, keepdims=True)])).astype(np.float32)
 
 
+def by_value(rows: np.ndarray) -> np.ndarray:
+    """Stable order of row numbers, by their low and then their high half: 16 and 8 bits are counted, not compared."""
+    low = np.argsort(rows.astype(np.uint16), kind="stable")
+    return low[np.argsort((rows >> 16).astype(np.uint8)[low], kind="stable")]
+
+
 def train_block(table: np.ndarray, bias: np.ndarray, seen: np.ndarray, features: np.ndarray, klass: np.ndarray, rate: float = 0.1, batch: int = 1024) -> None:
     """Gradient steps in place; ``seen`` counts how often each row was used."""
     for i in range(0, len(klass), batch):
@@ -141,7 +147,7 @@ def train_block(table: np.ndarray, bias: np.ndarray, seen: np.ndarray, features:
         p /= p.sum(axis=1, keepdims=True)
         p[np.arange(len(y)), y] -= 1
         flat = rows.ravel()
-        order = np.argsort(flat, kind="stable")
+        order = by_value(flat)
         placed = flat[order]
         at = np.flatnonzero(np.append(True, placed[1:] != placed[:-1]))
         uniq, n = placed[at], np.diff(np.append(at, len(placed)))

@@ -40,3 +40,10 @@ def test_a_text_longer_than_a_block(spark, monkeypatch) -> None:  # noqa: ANN001
     docs = spark.createDataFrame([(0, text), (1, "w1 w2"), (2, None)], "doc_id long, text string")
     got = {r.doc_id: r for r in lm.score(docs).collect()}
     assert got[0].n_tokens == 300_001 and got[1].n_tokens == 3 and got[2].n_tokens == 1 and all(np.isfinite(r.score) for r in got.values())
+
+
+def test_rows_are_ordered_as_by_a_stable_sort():  # noqa: ANN201
+    rng = np.random.default_rng(5)
+    rows = rng.choice([0, 1, 65535, 65536, 65537, lm.BUCKETS * (lm.GROUPS + 1) - 1, *rng.integers(0, lm.BUCKETS * (lm.GROUPS + 1), 50)], 8192).astype(np.int32)
+    assert (lm.by_value(rows) == np.argsort(rows, kind="stable")).all()
+    assert len(lm.by_value(rows[:0])) == 0
