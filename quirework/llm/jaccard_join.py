@@ -11,7 +11,8 @@ fixed size; a wrong estimate costs time, not results), then goes by hash.
    member is verified against its head.
 3. Where that leaves nodes of a shingle with more than ``CROWD`` heads in different components,
    ``ROUNDS`` more rounds compare each node outside the component that has most nodes at the shingle with
-   up to PIVOTS others, drawn anew for each shingle and round, until families have joined.
+   up to PIVOTS others that share a shingle beside it too, drawn anew for each shingle and round, until
+   families have joined.
 4. Members: nodes of one group, or at one shingle, that are in different components even then are
    expanded into pairs. One side holds only nodes outside the component that has most nodes at the
    shingle, so what joined before is not compared with itself, and a pair is made at its first common
@@ -31,6 +32,7 @@ id). Shingles and sets are compared by 64-bit fingerprints.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,13 +45,16 @@ from .repeats import keyed, same_row
 
 SIZE = 5
 PERCENT = 80
-PARITY = 8  # 64-bit words of the least whole parity bitmap; folded ones have two words
+PARITY = 8  # 64-bit words of the least whole parity bitmap, and of the folded ones
+NARROW = 2  # words of those that travel with every open place of the last round
 CROWD = 8
 ROUNDS = 2
 PIVOTS = 4
 EARLIER = 8
+BESIDE = 4
 COUNTERS = 1 << 22
 KEPT_COUNTERS = 1 << 16
+FOLDED = [f"p{k}" for k in range(PARITY)]
 _SHIFT = np.uint64(64 - 22)
 
 
@@ -130,8 +135,8 @@ def differing(a: str, b: str) -> Column:
 
 
 def profiles(docs: DataFrame, levels: np.ndarray, size: int, percent: int) -> DataFrame:
-    """doc_id, text_key, n (set size), sig (of the set), gid (of prefix and size), bits (parity), p0 and
-    p1 (folded to two words), prefix."""
+    """doc_id, text_key, n (set size), sig (of the set), gid (of prefix and size), p0 to p7 (parity folded to
+    PARITY words), bits (parity), prefix."""
     held = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,12 +156,13 @@ def profiles(docs: DataFrame, levels: np.ndarray, size: int, percent: int) -> Da
             at = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             flat = np.concatenate([*prefixes, np.zeros(0, np.uint64)]).view(np.int64)
             arrays = [batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(sigs, pa.int64()), pa.array(gids, pa.int64())]
-            folded = [np.bitwise_xor.reduce(w.reshape(-1, 2), axis=0) for w in wholes]
-            arrays += [pa.array([w[k] for w in folded], pa.int64()) for k in (0, 1)]
+            folded = [np.bitwise_xor.reduce(w.reshape(-1, PARITY), axis=0) for w in wholes]
+            arrays += [pa.array([w[k] for w in folded], pa.int64()) for k in range(PARITY)]
             arrays += [pa.array(wholes, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_key", "n", "sig", "gid", "p0", "p1", "bits", "prefix"])
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_key", "n", "sig", "gid", *FOLDED, "bits", "prefix"])
 
-    return keyed(docs).mapInArrow(run, "doc_id long, text_key long, n long, sig long, gid long, p0 long, p1 long, bits array<long>, prefix array<long>")
+    words = ", ".join(f"{c} long" for c in FOLDED)
+    return keyed(docs).mapInArrow(run, f"doc_id long, text_key long, n long, sig long, gid long, {words}, bits array<long>, prefix array<long>")
 
 
 def prefix_shingles(nodes: DataFrame, bits: np.ndarray | None) -> DataFrame:
@@ -234,21 +240,39 @@ def step_of(n: str, percent: int) -> Column:
     return F.floor(F.log(F.col(n).cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
 
 
-def close(percent: int) -> Column:
-    """Whether sizes and folded bitmaps let x and y be similar enough."""
-    differ = F.bit_count(F.col("x.p0").bitwiseXOR(F.col("y.p0"))) + F.bit_count(F.col("x.p1").bitwiseXOR(F.col("y.p1")))
+def narrowed(words: int) -> list[Column]:
+    """The folded bitmap, folded on to ``words`` words."""
+    return [reduce(lambda a, b: a.bitwiseXOR(b), (F.col(c) for c in FOLDED[k::words])).alias(f"p{k}") for k in range(words)]
+
+
+def close(percent: int, words: int) -> Column:
+    """Whether sizes and folded bitmaps of ``words`` words let x and y be similar enough. A bitmap tells texts
+    apart that have up to about twice as many shingles as it has bits."""
+    differ = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in FOLDED[:words]))
     both = F.col("x.n") + F.col("y.n")
     return (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & ((both - differ) * (100 + percent) >= both * 2 * percent)
 
 
+def _places(percent: int) -> tuple[Column, Column, Column]:
+    """How many shingles x and y must share, and how many they can, before the one at hand and from it on."""
+    need = F.ceil((F.col("x.n") + F.col("y.n")) * percent / F.lit(100 + percent))
+    left = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    return need, F.least("x.at", "y.at"), left
+
+
 def first_common(percent: int) -> Column:
     """False where the shingle can't be the first that x and y share, as one shortly before it is shared
     too, or where, if it is the first, what follows can't hold enough others."""
-    need = F.ceil((F.col("x.n") + F.col("y.n")) * percent / F.lit(100 + percent))
-    left = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    need, _, left = _places(percent)
     return ~F.arrays_overlap("x.earlier", "y.earlier") & (left >= need)
 
 
+def placed_alike(percent: int) -> Column:
+    """False where x and y hold the shingle so far apart in the common order that they can't share enough."""
+    need, before, left = _places(percent)
+    return before + left >= need
+
+
 def merged(roots: DataFrame, links: DataFrame) -> Stage:
     """Components after ``links`` between nodes that have ``roots``: links are lifted to roots first."""
     a, b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
@@ -263,19 +287,23 @@ def merged(roots: DataFrame, links: DataFrame) -> Stage:
 
 def unsettled(shared: DataFrame, nodes: DataFrame, roots: DataFrame, crowd: int) -> tuple[Stage, Stage]:
     """(all nodes with their root, the rows of members at shingles that hold several roots and more than
-    ``crowd`` heads). ``earlier``: the EARLIER shingles before it of the same member among these rows; what
-    two members in different components share is among the rows of both."""
-    member = nodes.select("gid", "sig", "n", "p0", "p1").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    ``crowd`` heads). Among these rows of the same member, ``beside`` (with a crowd) holds the BESIDE shingles
+    before and behind it, ``earlier`` (without one) the EARLIER before it; what two members in different
+    components share is among the rows of both."""
+    member = nodes.select("gid", "sig", "n", *FOLDED).join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     member = Stage(member, "jaccard-members")
     # the roots that each group holds, which is one in nearly all cases, decide which shingles stay open
     of_group = member.df.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
     placed = shared.filter(F.col("heads") > crowd).select("gid", "at", "shingle")
     opened = placed.select("gid", "shingle").join(of_group, "gid").groupBy("shingle").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo != hi").select("shingle")
     rows = placed.join(opened, "shingle", "left_semi").join(member.df, "gid")
-    rows = rows.select("shingle", "sig", "root", "n", "at", "p0", "p1")
-    if not crowd:
-        before = Window.partitionBy("sig").orderBy("at").rowsBetween(-EARLIER, -1)
-        rows = rows.withColumn("earlier", F.collect_list("shingle").over(before))
+    rows = rows.select("shingle", "sig", "root", "n", "at", *(FOLDED if crowd else narrowed(NARROW)))
+    places = Window.partitionBy("sig").orderBy("at")
+    if crowd:
+        around = F.collect_list("shingle").over(places.rowsBetween(-BESIDE, BESIDE))
+        rows = rows.withColumn("beside", F.array_remove(around, F.col("shingle")))
+    else:
+        rows = rows.withColumn("earlier", F.collect_list("shingle").over(places.rowsBetween(-EARLIER, -1)))
     return member, Stage(rows, "jaccard-open")
 
 
@@ -288,26 +316,28 @@ def with_main(held: DataFrame, key: str) -> DataFrame:
 def drawn(rows: DataFrame, turn: int, percent: int) -> DataFrame:
     """Pairs (a, b) of open members outside their shingle's main component with pivots of other components:
     for each shingle and size class the member of least hash in each of PIVOTS parts, drawn anew for each
-    shingle and ``turn``."""
+    shingle and ``turn``. A pair that shares the shingle alone and nothing beside it shares it by chance and is
+    left to ``remaining``."""
     draw = F.xxhash64("sig", "shingle", F.lit(turn))
     part = F.pmod(F.xxhash64("sig", F.lit(turn)), F.lit(PIVOTS))
     rows = rows.withColumn("step", step_of("n", percent))
-    pivots = rows.groupBy("shingle", "step", part.alias("part")).agg(F.min_by(F.struct("sig", "root", "n", "p0", "p1"), draw).alias("p")).select("shingle", "step", "p.*")
-    met = with_main(rows, "shingle").filter("root != main").alias("x").join(pivots.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.step") == F.col("y.step")) & (F.col("x.root") != F.col("y.root")) & close(percent))
+    pivots = rows.groupBy("shingle", "step", part.alias("part")).agg(F.min_by(F.struct("sig", "root", "n", "at", "beside", *FOLDED), draw).alias("p")).select("shingle", "step", "p.*")
+    alike = (F.size("x.beside") == 0) | (F.size("y.beside") == 0) | F.arrays_overlap("x.beside", "y.beside")
+    met = with_main(rows, "shingle").filter("root != main").alias("x").join(pivots.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.step") == F.col("y.step")) & (F.col("x.root") != F.col("y.root")) & placed_alike(percent) & alike & close(percent, PARITY))
     return met.select(F.greatest("x.sig", "y.sig").alias("a"), F.least("x.sig", "y.sig").alias("b")).distinct()
 
 
 def remaining(rows: DataFrame, member: DataFrame, percent: int) -> DataFrame:
     """All pairs (a, b) across components that the filters allow: at shared shingles and inside groups."""
 
-    def across(held: DataFrame, key: str, more: Column) -> DataFrame:
+    def across(held: DataFrame, key: str, words: int, more: Column) -> DataFrame:
         sided = with_main(held, key)
         apart = (F.col(f"x.{key}") == F.col(f"y.{key}")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.sig") > F.col("y.sig")))
-        met = sided.filter("root != main").alias("x").join(sided.alias("y"), apart & more & close(percent))
+        met = sided.filter("root != main").alias("x").join(sided.alias("y"), apart & more & close(percent, words))
         return met.select(F.greatest("x.sig", "y.sig").alias("a"), F.least("x.sig", "y.sig").alias("b"))
 
     # members of one group share the whole prefix, which other groups needn't hold, so they meet at the group
-    return across(rows, "shingle", first_common(percent)).union(across(member, "gid", F.lit(True))).distinct()
+    return across(rows, "shingle", NARROW, first_common(percent)).union(across(member, "gid", PARITY, F.lit(True))).distinct()
 
 
 def rooted(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
