@@ -48,6 +48,7 @@ FEATURES = 4
 RANGES = 32
 BLOCK_BYTES = 16 << 20
 PIECE = 1 << 20
+LEAST = 1e-20
 
 
 def spelling(data: np.ndarray, words: Words) -> np.ndarray:
@@ -103,14 +104,23 @@ def rows_of(features: np.ndarray, klass: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.concatenate([first, first + 1 + group], axis=1), np.concatenate([np.zeros_like(group), 1 + group]), np.concatenate([group, inner])
 
 
-def _scores(table: np.ndarray, bias: np.ndarray, rows: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Scores less the largest of each softmax."""
-    s = table[rows[0]]
+def _exps(table: np.ndarray, bias: np.ndarray, rows: np.ndarray, own: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each softmax the exponentials of its scores, their sum, and the score of ``y``, all after the same shift.
+
+    The largest score of the batch is taken off; where that leaves a softmax next to nothing, each one's own."""
+    s = table.take(rows[0], axis=0)
     for r in rows[1:]:
-        s += table[r]
-    s += bias[own]
-    s -= s.max(axis=1, keepdims=True)
-    return s
+        s += table.take(r, axis=0)
+    s += bias.take(own, axis=0)
+    s -= s.max(initial=-np.inf)
+    right = s.ravel().take(np.arange(0, s.size, WIDTH) + y)
+    e = np.exp(s)
+    total = np.einsum("ij->i", e)
+    if (total < LEAST).any():
+        s -= s.max(axis=1, keepdims=True)
+        right, e = s.ravel().take(np.arange(0, s.size, WIDTH) + y), np.exp(s)
+        total = np.einsum("ij->i", e)
+    return e, total, right
 
 
 def log_class(table: np.ndarray, bias: np.ndarray, features: np.ndarray, klass: np.ndarray, batch: int = 2048) -> np.ndarray:
@@ -118,10 +128,8 @@ def log_class(table: np.ndarray, bias: np.ndarray, features: np.ndarray, klass:
     out = np.empty(len(klass))
     for i in range(0, len(klass), batch):
         rows, own, y = rows_of(features[:, i : i + batch], klass[i : i + batch])
-        s = _scores(table, bias, rows, own)
-        right = s[np.arange(len(y)), y]
-        np.exp(s, out=s)
-        logp, n = right - np.log(s.sum(axis=1)), len(y) // 2
+        _, total, right = _exps(table, bias, rows, own, y)
+        logp, n = right - np.log(total), len(y) // 2
         out[i : i + n] = logp[:n] + logp[n:]
     return out
 
@@ -142,18 +150,21 @@ def train_block(table: np.ndarray, bias: np.ndarray, seen: np.ndarray, features:
     """Gradient steps in place; ``seen`` counts how often each row was used."""
     for i in range(0, len(klass), batch):
         rows, own, y = rows_of(features[:, i : i + batch], klass[i : i + batch])
-        p = _scores(table, bias, rows, own)
-        np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(y)), y] -= 1
+        p, total, _ = _exps(table, bias, rows, own, y)
+        p /= total[:, None]
+        p.ravel()[np.arange(0, p.size, WIDTH) + y] -= 1
         flat = rows.ravel()
         order = by_value(flat)
         placed = flat[order]
         at = np.flatnonzero(np.append(True, placed[1:] != placed[:-1]))
         uniq, n = placed[at], np.diff(np.append(at, len(placed)))
-        sums = np.add.reduceat(p[order % len(y)], at, axis=0)
-        seen[uniq] += n
-        table[uniq] -= (rate / np.sqrt(n * (1 + seen[uniq] / 50)))[:, None].astype(np.float32) * sums
+        # two scores at a time, as the real and the imaginary part: half as many sums to begin
+        sums = np.add.reduceat(p.view(np.complex64).take(order % len(y), axis=0), at, axis=0).view(np.float32)
+        often = seen.take(uniq) + n
+        seen[uniq] = often
+        now = table.take(uniq, axis=0)
+        now -= (rate / np.sqrt(n * (1 + often / 50)))[:, None].astype(np.float32) * sums
+        table[uniq] = now
 
 
 def _blocks(docs: DataFrame, modulus: int, held_out: int) -> DataFrame:
