@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,13 +16,55 @@ def nearest_rank(value: Column, n: Column, p: float) -> Column:
     return F.when(n > 0, F.get(value, at)).otherwise(F.lit(0))
 
 
+#: Rank error of the sketch is one part in SKETCH; bounds lie MARGIN such parts from the rank wanted.
+SKETCH, MARGIN = 4000, 4
+
+
+def _at_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict[str, tuple[float, Callable[[Column], Column]]]) -> DataFrame:
+    """keys, ``_n`` (values that aren't null), and for each name the ascending value at the rank (from 0) that
+    follows from ``_n``. ``ranks``: name -> (share near which the rank lies, rank).
+
+    A sketch bounds each wanted value; what lies below the bounds is counted and only the few values inside them
+    are sorted, so no task reads a whole large group. Should a bound be wrong, the query fails."""
+    near = [min(1.0, max(0.0, p + side * MARGIN / SKETCH)) for p, _ in ranks.values() for side in (-1, 1)]
+    bounds = df.groupBy(*keys).agg(F.count(value).alias("_n"), F.percentile_approx(value, F.array(*map(F.lit, near)), F.lit(SKETCH)).alias("_bounds"))
+    named = [F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)]
+    same = reduce(lambda x, y: x & y, (df[k].eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(keys)))
+    held = df.filter(F.col(value).isNotNull()).join(F.broadcast(bounds.select(*named, "_n", "_bounds")), same)
+    bound = lambda i: F.when(F.col("_n") >= SKETCH * MARGIN, F.get("_bounds", F.lit(i)))  # noqa: E731  else a rank more is more than the margin
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), rank(F.col("_n")).cast("long").alias("rank"), bound(2 * i).alias("lo"), bound(2 * i + 1).alias("hi")) for i, (name, (_, rank)) in enumerate(ranks.items())])
+    reached = F.filter(wanted, lambda w: w["hi"].isNull() | (F.col(value) <= w["hi"]))
+    each = held.select(*keys, F.col(value).alias("_v"), F.explode(reached).alias("w"))
+    per = each.groupBy(*keys, "w.name", "w.rank", F.when(F.col("w.lo").isNull() | (F.col("_v") >= F.col("w.lo")), F.col("_v")).alias("_v")).agg(F.count("*").alias("_c"))
+    run = F.sum("_c").over(Window.partitionBy(*keys, "name").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0))
+    hit = per.withColumn("_run", run).filter((F.col("_run") > F.col("rank")) & (F.col("_run") - F.col("_c") <= F.col("rank")))
+    found = hit.groupBy(*named).agg(*[F.max(F.when(F.col("name") == name, F.col("_v"))).alias(name) for name in ranks])
+    out = bounds.join(found, reduce(lambda x, y: x & y, (bounds[k].eqNullSafe(found[f"_key_{i}"]) for i, k in enumerate(keys))), "left")
+    kind = df.schema[value].dataType
+    sure = lambda name: F.when((F.col("_n") > 0) & F.col(name).isNull(), F.raise_error(F.lit("a sketch's bound was wrong")).cast(kind)).otherwise(F.col(name)).alias(name)
+    return out.select(*[bounds[k] for k in keys], "_n", *map(sure, ranks))
+
+
 def ranked_percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """Nearest-rank percentiles of each group, from sorted positions rather than gathered arrays."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    n = F.count("*").over(Window.partitionBy(*keys))
-    placed = df.filter(F.col(value).isNotNull()).withColumn("_at", F.row_number().over(w)).withColumn("_n", n)
-    wanted = lambda p: F.greatest(F.lit(1), F.least(F.col("_n"), F.floor(F.col("_n") * p + 0.9999)))
-    return placed.groupBy(*keys).agg(*[F.max(F.when(F.col("_at") == wanted(p), F.col(value))).alias(name) for name, p in shares.items()])
+    """Nearest-rank percentiles of each group that has a value."""
+    rank = lambda p: lambda n: F.greatest(F.lit(1), F.least(n, F.floor(n * p + 0.9999))) - 1
+    return _at_ranks(df, keys, value, {name: (p, rank(p)) for name, p in shares.items()}).filter("_n > 0").drop("_n")
+
+
+def linear_percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Percentiles of each group, linear between the two values next to the place; null without any value."""
+    place = lambda p: lambda n: (n - 1) * F.lit(p)
+    ranks = {}
+    for name, p in shares.items():
+        ranks[f"_lo_{name}"] = p, lambda n, at=place(p): F.floor(at(n))
+        ranks[f"_hi_{name}"] = p, lambda n, at=place(p): F.ceil(at(n))
+    found = _at_ranks(df, keys, value, ranks)
+
+    def between(name: str, p: float) -> Column:
+        at, lo, hi = place(p)(F.col("_n")), F.col(f"_lo_{name}").cast("double"), F.col(f"_hi_{name}").cast("double")
+        return F.when((F.floor(at) == F.ceil(at)) | (lo == hi), lo).otherwise((F.ceil(at) - at) * lo + (at - F.floor(at)) * hi).alias(name)
+
+    return found.select(*keys, *[between(name, p) for name, p in shares.items()])
 
 
 def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:

@@ -44,7 +44,8 @@ def a05(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("A06_linear_percentile", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.1), 6) AS p10, round(quantile_cont(l_extendedprice, 0.9), 6) AS p90 FROM lineitem GROUP BY l_returnflag")
 def a06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(F.percentile("l_extendedprice", F.lit(0.1)), 6).alias("p10"), F.round(F.percentile("l_extendedprice", F.lit(0.9)), 6).alias("p90"))
+    found = A.linear_percentiles(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", {"p10": 0.1, "p90": 0.9})
+    return found.select("l_returnflag", F.round("p10", 6).alias("p10"), F.round("p90", 6).alias("p90"))
 
 
 @query("A07_median", "SELECT lang, median(n_chars) AS median_chars FROM documents GROUP BY lang")
