@@ -22,7 +22,6 @@ from .spatial import touching
 MARGIN, LINE_SHARE, OBJECT_SHARE = 3.0, 0.45, 0.35
 ACCEPT, RECOVER, CONFLICT, LEAD, APART, MATCHED = 0.45, 0.55, 0.65, 0.15, 0.1, 0.65
 OBJECT_ROLES = ["figure_object", "table_object"]
-MOST = 4000
 # Lines are wide and low: cells of this shape hold most of them in one or two.
 LINE_CELL = {"x": 512.0, "y": 64.0}
 
@@ -75,12 +74,11 @@ def _recovered(blocks: DataFrame, native: DataFrame, keys: list[str]) -> DataFra
     A score below RECOVER decides nothing and isn't looked for. It needs lengths within a ratio of
     RECOVER / (2 - RECOVER), so blocks meet in neighbouring length classes only."""
     least = RECOVER / (2 - RECOVER)
-    size = lambda c: F.least(F.length(c), F.lit(MOST))
-    step = lambda c: F.floor(F.log(size(c).cast("double")) / F.log(F.lit(1 / least))).cast("int")
+    step = lambda c: F.floor(F.log(F.length(c).cast("double")) / F.log(F.lit(1 / least))).cast("int")
     asked = blocks.filter("block_key != ''").select(*keys, "block_id", "block_key", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: d + step("block_key"))).alias("_step"))
     given = native.filter("key != ''").withColumn("_step", step("key"))
-    near = asked.join(given, [*keys, "_step"]).filter(F.least(size("key"), size("block_key")) >= least * F.greatest(size("key"), size("block_key")))
-    scored = near.withColumn("score", keys_similarity(F.col("block_key"), F.col("key"), MOST, RECOVER)).filter(F.col("score") >= RECOVER)
+    near = asked.join(given, [*keys, "_step"]).filter(F.least(F.length("key"), F.length("block_key")) >= least * F.greatest(F.length("key"), F.length("block_key")))
+    scored = near.withColumn("score", keys_similarity(F.col("block_key"), F.col("key"), RECOVER)).filter(F.col("score") >= RECOVER)
     best = scored.groupBy(*keys, "block_id").agg(F.min_by(F.struct("score", "native"), F.struct(-F.col("score"), "native_id")).alias("_best"))
     return best.select(*keys, "block_id", F.col("_best.score").alias("recovery_score"), F.col("_best.native").alias("recovery"))
 
@@ -127,7 +125,7 @@ def fuse_blocks(blocks: DataFrame, lines: DataFrame, objects: DataFrame, pages:
     for more in (_lines_in(given, lines, keys), _recovered(given, native_blocks(lines, keys), keys), _object_boxes(given, objects, keys)):
         found = found.join(more, [*keys, "block_id"], "left")
     found = found.withColumns({"spatial_score": F.coalesce("spatial_score", F.lit(0.0)), "recovery_score": F.coalesce("recovery_score", F.lit(0.0)), "place_key": X.letters_key(F.col("spatial.text"))})
-    score = keys_similarity(F.col("block_key"), F.col("place_key"), MOST)
+    score = keys_similarity(F.col("block_key"), F.col("place_key"))
     return _decided(found.withColumn("place_text_score", F.when(F.col("spatial").isNotNull() & (F.col("text") != ""), score).otherwise(0.0)), keys)
 
 
