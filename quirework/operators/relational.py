@@ -18,6 +18,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
 
 
+def bundled(df: DataFrame, keys: list[str], own: str, most: int) -> DataFrame:
+    """``keys`` and ``own``: the ids of the rows equal in ``keys`` as arrays of at most ``most`` structs, in order.
+
+    Pairs made bundle by bundle repeat the same few ids one stretch after the other, which columnar files store in
+    a fraction of what the same pairs take in the order of a join."""
+    at = F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(own)) - 1) / most)
+    return df.select(*keys, own, at.alias("_at")).groupBy(*keys, "_at").agg(F.array_sort(F.collect_list(F.struct(own))).alias(own)).drop("_at")
+
+
 def authorised(owned: DataFrame, requested: DataFrame, key: str) -> DataFrame:
     """All or nothing: the requested rows if every requested id is owned, else none.
 

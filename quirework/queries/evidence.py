@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
-from ..operators.relational import spread
+from ..operators.relational import bundled, spread
 from ..plans import retrieval
 from ..registry import query, table
 from .fixtures import BLOCKS, blocks
@@ -150,12 +150,16 @@ def j06(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("J14_rule_allocation", """WITH rules AS (SELECT p_partkey AS rule_id, p_size % 7 AS kind FROM part), units AS (SELECT s_suppkey AS unit_id, s_suppkey % 5 AS kind FROM supplier) SELECT rule_id, unit_id FROM rules JOIN units USING (kind) UNION ALL SELECT rule_id, -1 FROM rules WHERE kind NOT IN (SELECT kind FROM units)""")
 def j14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules and units of a kind. There are five kinds that meet, so rules are dealt to tasks by themselves, not by kind,
-    and meet the units (two integers each) where they are."""
-    rules = spread(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("rule_id"), (F.col("p_size") % 7).cast("long").alias("kind")))
+    """Rules and units of a kind. There are five kinds that meet, so bundles of rules are dealt to tasks by themselves, not
+    by kind, and meet bundles of the broadcast units (two integers each) where they are."""
+    rules = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("rule_id"), (F.col("p_size") % 7).cast("long").alias("kind"))
     units = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("unit_id"), (F.col("s_suppkey") % 5).alias("kind"))
     none = rules.join(F.broadcast(units.select("kind").distinct()), "kind", "left_anti").select("rule_id", F.lit(-1).cast("long").alias("unit_id"))
-    return rules.join(F.broadcast(units), "kind").select("rule_id", "unit_id").unionByName(none)
+    # numbered by kind and range of ids, so that no task sorts all rules of a kind
+    dealt = spread(bundled(rules.withColumn("_range", F.floor(F.col("rule_id") / 65536)), ["kind", "_range"], "rule_id", 64).drop("_range"))
+    met = dealt.join(F.broadcast(bundled(units, ["kind"], "unit_id", 512)), "kind")
+    pairs = met.select(F.explode("rule_id").alias("_rule"), "unit_id").select("_rule", F.explode("unit_id").alias("_unit"))
+    return pairs.select("_rule.rule_id", "_unit.unit_id").unionByName(none)
 
 
 @query("J18_standard_resolution", "SELECT l_orderkey, l_linenumber, coalesce(CASE WHEN l_tax > 0.05 THEN l_partkey END, CASE WHEN l_discount > 0.05 THEN l_suppkey END, -1) AS standard_id FROM lineitem")
