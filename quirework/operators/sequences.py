@@ -126,3 +126,51 @@ def holding_runs(blocks: DataFrame, lines: DataFrame, keys: list[str], most: int
     found = windows(own, lines, keys, GRAM, GRAM, most, lambda n: F.greatest(F.lit(3), F.floor(n / 5)), lambda n: n * 1.25 + 12)
     held = found.filter(F.contains("key", "joined") | F.contains("joined", "key"))
     return _best(held.withColumn("score", -F.abs(F.length("key") - F.length("joined")).cast("long")), keys)
+
+
+def _page_windows(pages: DataFrame, keys: list[str], shortest: int, head: int, least: int, most: int, low: Callable[[Column], Column], high: Callable[[Column], Column]) -> DataFrame:
+    """keys, block_id, key, _whole (the page's lines as one text) and _windows (at, n, start in that text, size): as ``windows``
+    finds them, a row a block, for pages whose few ``blocks`` (block_id, key) and ``lines`` (at, key) come as arrays."""
+    ends = F.aggregate("lines", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x["key"]))))
+    rows = settled(pages.filter(F.size("lines") > 0).select(*keys, "blocks", "lines"), _ends=ends, _whole=F.array_join(F.transform("lines", lambda x: x["key"]), ""))
+    rows = rows.select(*keys, F.explode("blocks").alias("_b"), "lines", "_ends", "_whole").filter(F.length("_b.key") >= shortest)
+    rows = settled(rows.select(*keys, "_b.block_id", "_b.key", "lines", "_ends", "_whole"), _n=F.length("key"), _prefix=F.substring("key", 1, head))
+    fits = lambda x: (F.length(x["key"]) >= least) & (F.contains(x["key"], F.col("_prefix")) | F.contains(F.col("key"), F.substring(x["key"], 1, head)))
+    starts = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: fits(F.get("lines", i)))
+    size = lambda i, n: F.get("_ends", i + n) - F.get("_ends", i)
+    run = lambda i: F.sequence(F.lit(1), F.least(F.lit(most), F.size("lines") - i))
+    each = lambda i: F.transform(F.filter(run(i), lambda n: size(i, n).between(low(F.col("_n")), high(F.col("_n")))), lambda n: F.struct(F.get("lines", i)["at"].alias("at"), n.alias("n"), (F.get("_ends", i) + 1).alias("start"), size(i, n).alias("size")))
+    return settled(rows, _windows=F.flatten(F.transform(starts, each))).select(*keys, "block_id", "key", "_n", "_whole", "_windows")
+
+
+def _joined(w: Column) -> Column:
+    return F.substring(F.col("_whole"), w["start"], w["size"])
+
+
+def _held(w: Column) -> Column:
+    return F.contains(F.col("key"), _joined(w)) | F.contains(_joined(w), F.col("key"))
+
+
+def page_similar_runs(pages: DataFrame, keys: list[str], most: int = 45, least_score: float = 0.78) -> DataFrame:
+    """As ``similar_runs``, for pages whose few blocks and lines come as arrays of a row; only pairs that need the ratio
+    leave the row with their texts, for Python."""
+    found = _page_windows(pages, keys, 2, 10, 0, most, lambda n: F.greatest(F.lit(2), F.floor(n / 6)), lambda n: n * 1.18 + 24)
+    # a text that the other holds matches as a whole, so its ratio is the bound, which passes the length ratio
+    bound = lambda w: 2 * F.least(F.col("_n"), w["size"]) / (F.col("_n") + w["size"])
+    near = F.filter("_windows", lambda w: bound(w) >= least_score)
+    found = settled(found, _near=F.transform(near, lambda w: F.struct(w.alias("w"), bound(w).alias("bound"), F.when(_held(w), bound(w)).otherwise(0.0).alias("share"))))
+    found = settled(found.drop("_windows"), _most=F.array_max(F.transform("_near", lambda x: x["share"])))
+    asked = lambda x: (x["bound"] >= F.greatest("_most", F.lit(least_score))) & (F.col("_most") < 1)
+    kept = found.select(*keys, "block_id", "key", "_whole", F.explode(F.transform(F.filter("_near", lambda x: (x["share"] == F.col("_most")) | asked(x)), lambda x: F.struct(x["w"].alias("w"), x["share"].alias("share"), asked(x).alias("asked")))).alias("_x"))
+    some = F.when(F.col("_x.asked"), F.col("key")), F.when(F.col("_x.asked"), _joined(F.col("_x.w")))
+    narrow = kept.select(*keys, "block_id", "_x.w.at", "_x.w.n", "_x.share", some[0].alias("_key"), some[1].alias("_joined"))
+    score = F.greatest("share", F.coalesce(matching_ratio(F.col("_key"), F.col("_joined"), least_score), F.lit(0.0)))
+    return _best(narrow.withColumn("score", score).filter(F.col("score") >= least_score), keys).withColumn("score", F.round("score", 4))
+
+
+def page_holding_runs(pages: DataFrame, keys: list[str], most: int = 60) -> DataFrame:
+    """As ``holding_runs``, for pages whose few blocks and lines come as arrays of a row."""
+    found = _page_windows(pages, keys, 3, GRAM, GRAM, most, lambda n: F.greatest(F.lit(3), F.floor(n / 5)), lambda n: n * 1.25 + 12)
+    best = F.array_min(F.transform(F.filter("_windows", _held), lambda w: F.struct(F.abs(F.col("_n") - w["size"]).alias("off"), w["at"].alias("at"), w["n"].alias("n"))))
+    found = settled(found, _best=best).filter("_best IS NOT NULL")
+    return found.select(*keys, "block_id", F.col("_best.at").alias("first_line"), F.col("_best.n").alias("lines"), (-F.col("_best.off")).cast("long").alias("score"))
