@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as G
+from .relational import settled
 from .sequences import gram_pairs
 from .spatial import touching
 
@@ -45,3 +46,25 @@ def matching_spans(blocks: DataFrame, spans: DataFrame, keys: list[str]) -> Data
     # a text that is held decides over shared tokens, though their score could not pass it anyway
     best = contained.unionByName(worded).unionByName(placed).groupBy(*keys, "block_id", "span_id").agg(F.max("score").cast("int").alias("score"))
     return best.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "block_id").orderBy(F.desc("score"), "span_id")))
+
+
+def page_matching_spans(pages: DataFrame, keys: list[str]) -> DataFrame:
+    """As ``matching_spans``, for pages whose few ``blocks`` (block_id, text, box) and ``spans`` (span_id, text, box) come
+    as arrays of a row: all pairs of a page are looked at where they are, and nothing travels."""
+
+    def parts(column: str) -> Column:
+        keyed = F.transform(column, lambda x: F.struct(x[f"{column[:-1]}_id"].alias("id"), match_key(x["text"]).alias("key"), x["box"].alias("box")))
+        return F.transform(keyed, lambda x: F.struct(x["id"].alias("id"), x["key"].alias("key"), F.array_distinct(F.regexp_extract_all(x["key"], F.lit(TOKEN), F.lit(0))).alias("tokens"), x["box"].alias("box")))
+
+    pairs = settled(pages.select(*keys, "blocks", "spans"), _b=parts("blocks"), _s=parts("spans"))
+    pairs = pairs.select(*keys, F.explode("_b").alias("b"), "_s").select(*keys, "b", F.explode("_s").alias("s"))
+    shorter = F.least(F.length("b.key"), F.length("s.key"))
+    contained = (shorter >= SHORTEST) & (F.contains("b.key", "s.key") | F.contains("s.key", "b.key"))
+    few = F.least(F.size("b.tokens"), F.size("s.tokens"))
+    share = F.when(few >= SHARED, F.size(F.array_intersect("b.tokens", "s.tokens"))) / few
+    worded = (share * few >= SHARED) & (share >= SHARE)
+    by_text = F.when(contained, 100 + F.least(shorter, F.lit(50))).when(worded, (70 + F.floor(share * 20)).cast("int")).otherwise(0)
+    overlap = G.iou(F.col("b.box"), F.col("s.box"))
+    placed = F.when(overlap >= SAME_PLACE, (90 + F.floor(overlap * 9)).cast("int")).otherwise(0)
+    best = pairs.select(*keys, F.col("b.id").alias("block_id"), F.col("s.id").alias("span_id"), F.greatest(by_text, placed).cast("int").alias("score")).filter("score > 0")
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "block_id").orderBy(F.desc("score"), "span_id")))
