@@ -7,7 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 # Words, patterns and classes that results depend on.
 FONT_MARK = r"(?s)字体白名单\s*[:：]\s*(.+)"
@@ -47,6 +47,11 @@ def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _nfkc_each(s: pd.Series) -> pd.Series:
+    return s.map(lambda xs: None if xs is None else [unicodedata.normalize("NFKC", x) for x in xs])
+
+
 @F.pandas_udf(StringType())
 def _bare_letters(s: pd.Series) -> pd.Series:
     """NFKD without combining marks, case-folded."""
@@ -60,7 +65,18 @@ def nfkc(text: Column) -> Column:
 
 def letters_key(text: Column) -> Column:
     """Word characters alone, case-folded, of the NFKC form; empty for null."""
-    bare = F.regexp_replace(nfkc(F.coalesce(text, F.lit(""))), r"(?U)[^\w]+", "")
+    return _bare_key(nfkc(F.coalesce(text, F.lit(""))))
+
+
+def letters_keys(texts: Column) -> Column:
+    """``letters_key`` of each of an array's texts."""
+    given = F.transform(texts, lambda x: F.coalesce(x, F.lit("")))
+    other = F.exists(given, lambda x: x.rlike(r"[^\x00-\x7F]"))
+    return F.transform(F.coalesce(_nfkc_each(F.when(other, given)), given), _bare_key)
+
+
+def _bare_key(text: Column) -> Column:
+    bare = F.regexp_replace(text, r"(?U)[^\w]+", "")
     return F.replace(F.lower(bare), F.lit("ß"), F.lit("ss"))  # a plain lower(upper(...)) is simplified to lower(...)
 
 

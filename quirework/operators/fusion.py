@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as X
-from ..functions.udfs import keys_similarity
+from ..functions.udfs import keys_similarity, matching_ratios
 from .relational import settled
 from .spatial import touching
 
@@ -117,13 +117,69 @@ def fuse_blocks(blocks: DataFrame, lines: DataFrame, objects: DataFrame, pages:
 
     One row a block: text, box and style as fused, the scores, where the box came from and why, and the
     lines taken. A null text counts as empty."""
-    given = blocks.join(pages, keys, "left").withColumn("text", F.coalesce("text", F.lit("")))
-    fine = F.coalesce(G.valid(F.col("box")), F.lit(False))
-    given = given.withColumn("box", F.when(fine, F.col("box"))).withColumn("inside", F.coalesce(G.inside_page(F.col("box"), F.col("width"), F.col("height")), F.lit(False)))
-    given = given.withColumn("block_key", X.letters_key(F.col("text")))
+    given = _given(blocks.join(pages, keys, "left")).withColumn("block_key", X.letters_key(F.col("text")))
     found = given
     for more in (_lines_in(given, lines, keys), _recovered(given, native_blocks(lines, keys), keys), _object_boxes(given, objects, keys)):
         found = found.join(more, [*keys, "block_id"], "left")
+    return _scored(found, keys)
+
+
+def fuse_pages(pages: DataFrame, keys: list[str]) -> DataFrame:
+    """As ``fuse_blocks``, for pages that come as rows: ``keys``, width, height, and the page's few blocks (block_id, role,
+    text, box), lines, natives (native_id, lines in order) and objects (object_id, box) as arrays. A block looks at
+    all of its page where it is, so nothing travels but the texts that need a ratio, to Python."""
+    joined = F.transform("natives", lambda x: F.array_join(F.transform(x["lines"], lambda y: y["text"]), " "))
+    keyed = pages.withColumns({"_block_keys": X.letters_keys(F.transform("blocks", lambda x: x["text"])), "_native_keys": X.letters_keys(joined)})
+    blocks = F.zip_with("blocks", "_block_keys", lambda x, k: F.struct(*(x[c].alias(c) for c in ("block_id", "role", "text", "box")), k.alias("block_key")))
+    natives = F.zip_with("natives", "_native_keys", lambda x, k: F.struct(x["native_id"].alias("native_id"), k.alias("key"), x["lines"].alias("lines")))
+    rows = settled(keyed.select(*keys, "blocks", "lines", "natives", "objects", "width", "height", "_block_keys", "_native_keys"), _blocks=blocks, _natives=natives)
+    given = _given(rows.select(*keys, F.explode("_blocks").alias("_b"), "lines", F.col("_natives").alias("natives"), "objects", "width", "height").select(*keys, "_b.*", "lines", "natives", "objects", "width", "height"))
+    outer = G.expand(F.col("box"), MARGIN)
+    each = lambda x: F.struct(x["box"]["y0"].alias("y"), x["box"]["x0"].alias("x"), x["line_id"].alias("line_id"), G.coverage(x["box"], outer).alias("share"), x.alias("line"))
+    placed = F.array_sort(F.filter(F.transform("lines", each), lambda x: x["share"] >= LINE_SHARE))
+    cover = lambda x: F.greatest(G.coverage(x["box"], F.col("box")), G.coverage(F.col("box"), x["box"]))
+    held = F.filter("objects", lambda x: G.valid(x["box"]) & (cover(x) >= OBJECT_SHARE))
+    best = F.array_min(F.transform(held, lambda x: F.struct((-cover(x)).alias("share"), (-G.area(x["box"])).alias("area"), x["object_id"].alias("object_id"), x["box"].alias("box"))))
+    found = settled(given, _placed=F.when(F.col("inside"), placed), object_box=F.when(F.col("inside") & F.col("role").isin(OBJECT_ROLES), best["box"]))
+    n = F.coalesce(F.size("_placed"), F.lit(0))
+    found = found.withColumn("spatial_score", F.when(n > 0, F.aggregate("_placed", F.lit(0.0), lambda a, x: a + x["share"]) / n))
+    found = _page_recovered(found.withColumn("_here", F.when(n > 0, F.transform("_placed", lambda x: x["line"]))).drop("lines", "objects", "_placed"))
+    for name, lines in (("spatial", "_here"), ("recovery", "_there")):
+        found = summed_up(found.withColumn("lines", F.col(lines)), name).withColumn(name, F.when(F.col(lines).isNotNull(), F.col(name))).drop(lines)
+    return _scored(found, keys)
+
+
+def _page_recovered(blocks: DataFrame) -> DataFrame:
+    """Adds recovery_score and _there, the lines of the native block of most similar text, in place of ``natives``.
+
+    A ratio is worked out only where lengths allow more than what containment gives the block, or as much."""
+    least = RECOVER / (2 - RECOVER)
+    key = F.col("block_key")
+    short, long = (lambda x: F.least(F.length(x["key"]), F.length(key))), (lambda x: F.greatest(F.length(x["key"]), F.length(key)))
+    near = F.filter("natives", lambda x: (x["key"] != "") & (key != "") & (short(x) >= least * long(x)))
+    holds = lambda x: F.contains(x["key"], key) | F.contains(key, x["key"])
+    known = F.transform(near, lambda x: F.struct(x["native_id"].alias("native_id"), x["key"].alias("key"), x["lines"].alias("lines"), F.when(holds(x), short(x) / long(x)).alias("share"), (2 * short(x) / (short(x) + long(x))).alias("bound")))
+    found = settled(blocks, _near=known).drop("natives")
+    found = settled(found, _most=F.coalesce(F.array_max(F.transform("_near", lambda x: x["share"])), F.lit(0.0)))
+    asked = F.filter("_near", lambda x: x["share"].isNull() & (x["bound"] >= F.greatest(F.col("_most"), F.lit(RECOVER))) & (F.col("_most") < 1))
+    first = F.array_min(F.transform(F.filter("_near", lambda x: (x["share"] >= RECOVER) & (x["share"] == F.col("_most"))), lambda x: F.struct((-x["share"]).alias("score"), x["native_id"].alias("native_id"), x["lines"].alias("lines"))))
+    found = settled(found, _asked=asked, _first=first).drop("_near", "_most")
+    some = F.size("_asked") > 0
+    found = found.withColumn("_ratios", matching_ratios(F.when(some, key), F.when(some, F.transform("_asked", lambda x: x["key"])), RECOVER))
+    tried = F.filter(F.zip_with("_asked", F.coalesce("_ratios", F.array().cast("array<double>")), lambda x, r: F.struct((-r).alias("score"), x["native_id"].alias("native_id"), x["lines"].alias("lines"))), lambda x: x["score"] <= -RECOVER)
+    best = F.array_min(F.concat(F.array_compact(F.array("_first")), tried))
+    return settled(found, _best=best).withColumns({"recovery_score": -F.col("_best.score"), "_there": F.col("_best.lines")}).drop("_asked", "_first", "_ratios", "_best")
+
+
+def _given(blocks: DataFrame) -> DataFrame:
+    """Blocks with their page's size: no text is an empty one, boxes that are none are null, and what lies on the page."""
+    given = blocks.withColumn("text", F.coalesce("text", F.lit("")))
+    fine = F.coalesce(G.valid(F.col("box")), F.lit(False))
+    given = given.withColumn("box", F.when(fine, F.col("box"))).withColumn("inside", F.coalesce(G.inside_page(F.col("box"), F.col("width"), F.col("height")), F.lit(False)))
+    return given
+
+
+def _scored(found: DataFrame, keys: list[str]) -> DataFrame:
     found = found.withColumns({"spatial_score": F.coalesce("spatial_score", F.lit(0.0)), "recovery_score": F.coalesce("recovery_score", F.lit(0.0)), "place_key": X.letters_key(F.col("spatial.text"))})
     score = keys_similarity(F.col("block_key"), F.col("place_key"))
     return _decided(found.withColumn("place_text_score", F.when(F.col("spatial").isNotNull() & (F.col("text") != ""), score).otherwise(0.0)), keys)
